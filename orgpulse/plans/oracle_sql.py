@@ -69,3 +69,38 @@ def with_ctes(*ctes: str) -> str:
 
 A_BASE = with_ctes(EV_A, profile_cte(GOALS_A), flags_cte(GOALS_A))
 B_BASE = with_ctes(EV_B, profile_cte(GOALS_B), flags_cte(GOALS_B))
+
+
+def running_marks_cte(goals) -> str:
+    """W2 as a running window: per event the running count of each goal, ``met`` when all
+    reach their minimum, and the completing mark on the first met event."""
+    counts = ", ".join(f"sum(CASE WHEN {p} THEN 1 ELSE 0 END) OVER w AS c_{n}" for n, p, _ in goals)
+    met = " AND ".join(f"c_{n} >= {k}" for n, _, k in goals)
+    return f"""run AS (
+    SELECT *, {counts} FROM ev
+    WINDOW w AS (PARTITION BY organization_id ORDER BY "timestamp", event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+met AS (SELECT *, ({met}) AS m FROM run),
+marks AS (
+    SELECT *, m AND sum(CASE WHEN m THEN 1 ELSE 0 END) OVER w2 = 1 AS completes_activation FROM met
+    WINDOW w2 AS (PARTITION BY organization_id ORDER BY "timestamp", event_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+STAGING_CTE = """stg AS (
+    SELECT *, min("timestamp") OVER (PARTITION BY organization_id) AS first_activity_timestamp,
+           date_sub('second', min("timestamp") OVER (PARTITION BY organization_id), "timestamp")
+               AS time_since_first_activity
+    FROM ev)"""
+
+
+def check_rows(rows, source: str) -> str:
+    """UNION ALL of check rows ``(name, observed_sql, expected_sql | None, passed_sql | None)``."""
+    parts = []
+    for name, obs, exp, passed in rows:
+        exp_sql = "CAST(NULL AS BIGINT)" if exp is None else f"CAST({exp} AS BIGINT)"
+        if passed is None:
+            passed = "true" if exp is None else f"({obs}) = ({exp})"
+        parts.append(f"""SELECT '{name}' AS "check", CAST({obs} AS BIGINT) AS observed, {exp_sql} AS expected,
+       coalesce({passed}, false) AS passed FROM {source}""")
+    return "\nUNION ALL\n".join(parts)

@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.timefns import day_of_week, hour_of_day
 from orgpulse.operators import goals as G
+from orgpulse.operators import journey as J
 from orgpulse.operators import metrics as M
+from orgpulse.operators import quality as Q
 from orgpulse.operators.staging import stage
 from orgpulse.plans.oracle_sql import (
-    A_BASE, B_BASE, EV_A, EV_B, GOALS_A, LABELS_A, all_met_sql, with_ctes,
+    A_BASE, B_BASE, EV_A, EV_B, GOALS_A, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
+    profile_cte, running_marks_cte, with_ctes,
 )
+from orgpulse.plans.marts import build_tables, raw_events
 from orgpulse.plans.registry import register
+from orgpulse.session import scratch_path
 from orgpulse.sources.adapters import ORDER_GOALS, STREAM_GOALS, fixture_a, fixture_b
+from orgpulse.sources.csv import read_events_csv, write_events_csv
+from orgpulse.sources.sinks import write_and_read
 
 A_ADVANCED = ORDER_GOALS[-1]
 
@@ -184,3 +191,228 @@ FROM prof""" for n, _, k in GOALS_A]))
 def q_goal_reached_within_days(spark, sf_dir):
     """Share of organizations reaching each goal within 120 days."""
     return M.goal_reached_within_days(_profile_a(spark, sf_dir), ORDER_GOALS, WITHIN_DAYS)
+
+
+# --------------------------------------------------------------------------------------
+# journeys
+# --------------------------------------------------------------------------------------
+
+_MARKS_A = with_ctes(EV_A, running_marks_cte(GOALS_A))
+
+
+@register("completing_events", _MARKS_A + """
+SELECT event_id, organization_id, activity_name, activity_detail, "timestamp", completes_activation
+FROM marks""")
+def q_completing_events(spark, sf_dir):
+    """The event that completes activation, flagged on every event."""
+    return J.completing_events(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("activation_times", _MARKS_A + """,
+firsts AS (SELECT organization_id, min("timestamp") AS first_ts FROM ev GROUP BY organization_id)
+SELECT m.organization_id, m.event_id, m."timestamp" AS completing_timestamp,
+       date_sub('second', f.first_ts, m."timestamp") AS seconds_since_first,
+       round(date_sub('second', f.first_ts, m."timestamp") / 86400.0, 6) AS days_since_first
+FROM marks m JOIN firsts f USING (organization_id)
+WHERE m.completes_activation""")
+def q_activation_times(spark, sf_dir):
+    """O3: per activated organization its completing event and the time to it."""
+    return J.activation_times(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("completing_event_rate", _MARKS_A + """
+SELECT count(DISTINCT organization_id) FILTER (WHERE completes_activation) AS activated_orgs,
+       count(DISTINCT organization_id) AS total_orgs,
+       round(100.0 * count(DISTINCT organization_id) FILTER (WHERE completes_activation)
+             / nullif(count(DISTINCT organization_id), 0), 6) AS percent
+FROM marks""")
+def q_completing_event_rate(spark, sf_dir):
+    """Count and percentage of organizations with a completing event."""
+    return J.completing_event_rate(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+_TTG_PROFILE_A = """prof AS (
+    SELECT organization_id, min("timestamp") AS first_ts,
+           count(*) FILTER (WHERE activity_name = '1-URGENT') AS n_urgent,
+           min("timestamp") FILTER (WHERE activity_name = '1-URGENT') AS f_urgent,
+           count(*) FILTER (WHERE activity_name = '2-HIGH') AS n_high,
+           min("timestamp") FILTER (WHERE activity_name = '2-HIGH') AS f_high,
+           count(*) FILTER (WHERE activity_name = '3-MEDIUM') AS n_medium,
+           min("timestamp") FILTER (WHERE activity_name = '3-MEDIUM') AS f_medium,
+           count(*) FILTER (WHERE activity_name = '5-LOW') AS n_low,
+           min("timestamp") FILTER (WHERE activity_name = '5-LOW') AS f_low,
+           count(DISTINCT activity_detail) FILTER (WHERE activity_name = '4-NOT SPECIFIED'
+                                                   AND activity_detail IN ('F', 'O')) AS n_unspecified,
+           min("timestamp") FILTER (WHERE activity_name = '4-NOT SPECIFIED'
+                                    AND activity_detail IN ('F', 'O')) AS f_unspecified
+    FROM ev GROUP BY organization_id),
+ttg AS (""" + _union_rows([
+    f"""SELECT organization_id, '{n}' AS goal, date_sub('second', first_ts, f_{n}) / 86400.0 AS days
+    FROM prof WHERE n_{n} >= {k}""" for n, _, k in GOALS_A]) + ")"
+
+
+@register("time_to_goal", with_ctes(EV_A, _TTG_PROFILE_A) + """
+SELECT organization_id, goal, round(days, 6) AS days FROM ttg""")
+def q_time_to_goal(spark, sf_dir):
+    """M9: days to each reached goal per organization (distinct details for the detail goal)."""
+    return J.time_to_goal(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+# --------------------------------------------------------------------------------------
+# sources and sinks that write
+# --------------------------------------------------------------------------------------
+
+@register("raw_events", with_ctes(EV_A) + """
+SELECT event_id, coalesce(organization_id, 'nan') AS organization_id, activity_name,
+       activity_detail, "timestamp" FROM ev""")
+def q_raw_events(spark, sf_dir):
+    """The raw table written with overwrite semantics and read back."""
+    raw = raw_events(fixture_a(spark, sf_dir))
+    return write_and_read(spark, raw, scratch_path(spark, "raw_events"))
+
+
+@register("events_from_csv", with_ctes(EV_A) + """
+SELECT organization_id, activity_name, activity_detail, "timestamp" FROM ev""")
+def q_events_from_csv(spark, sf_dir):
+    """Events exported in the raw CSV layout and read back with the CSV source."""
+    path = scratch_path(spark, "events_csv")
+    write_events_csv(fixture_a(spark, sf_dir), path)
+    return read_events_csv(spark, path, with_event_id=False)
+
+
+# --------------------------------------------------------------------------------------
+# data quality
+# --------------------------------------------------------------------------------------
+
+def _tables_a(spark, sf_dir):
+    return build_tables(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+_Q_BASE = with_ctes(EV_A, profile_cte(GOALS_A), flags_cte(GOALS_A), STAGING_CTE)
+_ALL_A = all_met_sql(GOALS_A)
+
+
+@register("table_counts", _Q_BASE + """, c AS (SELECT
+    (SELECT count(*) FROM ev) AS raw_rows, (SELECT count(DISTINCT organization_id) FROM ev) AS raw_orgs,
+    (SELECT count(*) FROM stg) AS staging_rows,
+    (SELECT count(DISTINCT organization_id) FROM stg) AS staging_orgs,
+    (SELECT count(*) FROM flags) AS goal_rows,
+    (SELECT count(*) FROM flags WHERE """ + _ALL_A + """) AS activation_rows)
+""" + check_rows([
+    ("raw_rows", "raw_rows", None, None), ("staging_rows", "staging_rows", "raw_rows", None),
+    ("raw_orgs", "raw_orgs", None, None), ("staging_orgs", "staging_orgs", "raw_orgs", None),
+    ("goal_rows", "goal_rows", "staging_orgs", None),
+    ("activation_rows", "activation_rows", "goal_rows", "activation_rows <= goal_rows")], "c"))
+def q_table_counts(spark, sf_dir):
+    """V1, V4."""
+    return Q.table_counts(_tables_a(spark, sf_dir))
+
+
+@register("check_nulls", with_ctes(EV_A) + check_rows([
+    ("null_organization_id", "count(*) FILTER (WHERE organization_id IS NULL)", "0", None),
+    ("null_activity_name", "count(*) FILTER (WHERE activity_name IS NULL)", "0", None),
+    ("null_timestamp", 'count(*) FILTER (WHERE "timestamp" IS NULL)', "0", None)], "ev"))
+def q_check_nulls(spark, sf_dir):
+    """V2."""
+    return Q.check_nulls(fixture_a(spark, sf_dir))
+
+
+@register("check_time_range", with_ctes(EV_A) + """
+SELECT 'timestamp_range' AS "check", min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp,
+       coalesce(min("timestamp") <= max("timestamp"), false) AS passed
+FROM ev""")
+def q_check_time_range(spark, sf_dir):
+    """V3."""
+    return Q.check_time_range(fixture_a(spark, sf_dir))
+
+
+@register("check_org_coverage", _Q_BASE + """, c AS (
+    SELECT count(DISTINCT s.organization_id) AS staging_orgs, count(DISTINCT g.organization_id) AS goal_orgs
+    FROM stg s LEFT JOIN flags g ON s.organization_id = g.organization_id)
+""" + check_rows([("staging_org_count", "staging_orgs", None, None),
+                  ("trial_goals_org_count", "goal_orgs", "staging_orgs", None)], "c"))
+def q_check_org_coverage(spark, sf_dir):
+    """V5 (J3: left join staging → goals)."""
+    return Q.check_org_coverage(_tables_a(spark, sf_dir))
+
+
+@register("org_intersection", _Q_BASE + """, c AS (SELECT
+    (SELECT count(DISTINCT organization_id) FROM ev) AS raw_orgs,
+    (SELECT count(DISTINCT organization_id) FROM stg) AS staging_orgs,
+    (SELECT count(DISTINCT organization_id) FROM flags) AS goal_orgs,
+    (SELECT count(*) FROM (SELECT organization_id FROM ev INTERSECT SELECT organization_id FROM stg
+                           INTERSECT SELECT organization_id FROM flags)) AS common_orgs)
+""" + check_rows([("raw_orgs", "raw_orgs", None, None), ("staging_orgs", "staging_orgs", "raw_orgs", None),
+                  ("goal_orgs", "goal_orgs", "raw_orgs", None),
+                  ("common_orgs", "common_orgs", "raw_orgs", None)], "c"))
+def q_org_intersection(spark, sf_dir):
+    """V6 (U1: three-way INTERSECT)."""
+    return Q.org_intersection(_tables_a(spark, sf_dir))
+
+
+@register("check_atomic_values", with_ctes(EV_A, STAGING_CTE) + check_rows([
+    ("non_atomic_values", "count(*) FILTER (WHERE activity_name LIKE '%;%' OR activity_detail LIKE '%;%')",
+     "0", None)], "stg"))
+def q_check_atomic_values(spark, sf_dir):
+    """V7 (F4)."""
+    return Q.check_atomic_values(_tables_a(spark, sf_dir).table("staging"))
+
+
+@register("check_flag_domain", A_BASE + check_rows([
+    (f"goal_{n}", f"count(DISTINCT goal_{n})", "2", f"count(DISTINCT goal_{n}) <= 2") for n, _, _ in GOALS_A],
+    "flags"))
+def q_check_flag_domain(spark, sf_dir):
+    """V8 (A3: several COUNT DISTINCT)."""
+    return Q.check_flag_domain(_tables_a(spark, sf_dir).table("goals"), ORDER_GOALS)
+
+
+@register("check_constraints", _Q_BASE + """, act AS (SELECT organization_id FROM flags WHERE """ + _ALL_A
+          + """), c AS (SELECT
+    (SELECT count(*) - count(DISTINCT event_id) FROM stg) AS stg_dup,
+    (SELECT count(*) FILTER (WHERE event_id IS NULL) FROM stg) AS stg_id_null,
+    (SELECT count(*) FILTER (WHERE organization_id IS NULL) FROM stg) AS stg_org_null,
+    (SELECT count(*) FILTER (WHERE "timestamp" IS NULL) FROM stg) AS stg_ts_null,
+    (SELECT count(*) FILTER (WHERE first_activity_timestamp IS NULL) FROM stg) AS stg_first_null,
+    (SELECT count(*) - count(DISTINCT organization_id) FROM flags) AS goal_dup,
+    (SELECT count(*) FILTER (WHERE organization_id IS NULL) FROM flags) AS goal_org_null,
+    (SELECT count(*) FILTER (WHERE """ + " OR ".join(f"goal_{n} IS NULL" for n, _, _ in GOALS_A)
+          + """) FROM flags) AS goal_flag_null,
+    (SELECT count(*) - count(DISTINCT organization_id) FROM act) AS act_dup,
+    (SELECT count(*) FILTER (WHERE organization_id IS NULL) FROM act) AS act_org_null,
+    (SELECT count(*) FROM flags WHERE organization_id NOT IN (SELECT organization_id FROM stg)) AS goal_orphans,
+    (SELECT count(*) FROM act WHERE organization_id NOT IN (SELECT organization_id FROM flags)) AS act_orphans)
+""" + check_rows([(n, c, "0", None) for n, c in [
+    ("staging.id_duplicates", "stg_dup"), ("staging.id_nulls", "stg_id_null"),
+    ("staging.organization_id_nulls", "stg_org_null"), ("staging.timestamp_nulls", "stg_ts_null"),
+    ("staging.first_activity_timestamp_nulls", "stg_first_null"),
+    ("goals.organization_id_duplicates", "goal_dup"), ("goals.organization_id_nulls", "goal_org_null"),
+    ("goals.flag_nulls", "goal_flag_null"), ("activation.organization_id_duplicates", "act_dup"),
+    ("activation.organization_id_nulls", "act_org_null"),
+    ("goals.organizations_missing_in_staging", "goal_orphans"),
+    ("activation.organizations_missing_in_goals", "act_orphans")]], "c"))
+def q_check_constraints(spark, sf_dir):
+    """V9: keys, NOT NULL and foreign keys checked (Spark enforces none of them)."""
+    return Q.check_constraints(_tables_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("tables_not_empty", _Q_BASE + """, c AS (SELECT
+    (SELECT count(*) FROM ev) AS r, (SELECT count(*) FROM stg) AS s, (SELECT count(*) FROM flags) AS g,
+    (SELECT count(*) FROM flags WHERE """ + _ALL_A + """) AS a)
+""" + check_rows([("raw_rows", "r", None, "r > 0"), ("staging_rows", "s", None, "s > 0"),
+                  ("goals_rows", "g", None, "g > 0"), ("activation_rows", "a", None, "a > 0")], "c"))
+def q_tables_not_empty(spark, sf_dir):
+    """V10 (S5: list the tables of the build, count each)."""
+    return Q.tables_not_empty(_tables_a(spark, sf_dir))
+
+
+@register("check_goal_totals", _Q_BASE + """, per_org AS (
+    SELECT organization_id, """ + ", ".join(
+        f"CASE WHEN sum(CASE WHEN {p} THEN 1 ELSE 0 END) >= {k} THEN 1 ELSE 0 END AS r_{n}"
+        for n, p, k in GOALS_A) + """
+    FROM stg GROUP BY organization_id),
+c AS (SELECT * FROM (SELECT """ + ", ".join(f"sum(r_{n}) AS r_{n}" for n, _, _ in GOALS_A) + """ FROM per_org)
+      CROSS JOIN (SELECT """ + ", ".join(f"sum(goal_{n}) AS m_{n}" for n, _, _ in GOALS_A) + """ FROM flags))
+""" + check_rows([(f"goal_{n}", f"r_{n}", f"m_{n}", None) for n, _, _ in GOALS_A], "c"))
+def q_check_goal_totals(spark, sf_dir):
+    """Goal totals recomputed from staging equal the goals mart."""
+    return Q.check_goal_totals(_tables_a(spark, sf_dir), ORDER_GOALS)
