@@ -14,7 +14,10 @@ from orgpulse.functions.timefns import day_of_week, hour_of_day
 from orgpulse.operators import goals as G
 from orgpulse.operators import journey as J
 from orgpulse.operators import metrics as M
+from orgpulse.operators import profile as P
 from orgpulse.operators import quality as Q
+from orgpulse.operators import survival as S
+from orgpulse.functions.stats import Z_95
 from orgpulse.operators.staging import stage
 from orgpulse.plans.oracle_sql import (
     A_BASE, B_BASE, EV_A, EV_B, GOALS_A, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
@@ -416,3 +419,134 @@ c AS (SELECT * FROM (SELECT """ + ", ".join(f"sum(r_{n}) AS r_{n}" for n, _, _ i
 def q_check_goal_totals(spark, sf_dir):
     """Goal totals recomputed from staging equal the goals mart."""
     return Q.check_goal_totals(_tables_a(spark, sf_dir), ORDER_GOALS)
+
+
+# --------------------------------------------------------------------------------------
+# profiling
+# --------------------------------------------------------------------------------------
+
+@register("activity_name_counts", with_ctes(EV_A) + """
+SELECT activity_name, count(*) AS count FROM ev WHERE activity_name IS NOT NULL GROUP BY activity_name""")
+def q_activity_name_counts(spark, sf_dir):
+    """value_counts of the activity name."""
+    return P.value_counts(fixture_a(spark, sf_dir), NAME)
+
+
+@register("activity_detail_counts", with_ctes(EV_A) + """
+SELECT activity_detail, count(*) AS count FROM ev WHERE activity_detail IS NOT NULL GROUP BY activity_detail""")
+def q_activity_detail_counts(spark, sf_dir):
+    """value_counts of the activity detail."""
+    return P.value_counts(fixture_a(spark, sf_dir), DETAIL)
+
+
+def _describe_ts_sql(col: str) -> str:
+    return f"""SELECT '{col}' AS column_name, 'count' AS stat, CAST(count(x) AS DOUBLE) AS value,
+       CAST(NULL AS TIMESTAMP) AS value_ts FROM (SELECT epoch_us({col}) AS x FROM stg)
+UNION ALL SELECT '{col}', 'mean', NULL, make_timestamp(CAST(sum(x) // count(x) AS BIGINT))
+    FROM (SELECT epoch_us({col}) AS x FROM stg)
+UNION ALL SELECT '{col}', 'min', NULL, min({col}) FROM stg
+UNION ALL SELECT '{col}', 'max', NULL, max({col}) FROM stg
+UNION ALL SELECT '{col}', CAST(CAST(p * 100 AS INTEGER) AS VARCHAR) || '%', NULL,
+       make_timestamp(CAST(lo + floor(frac * (hi - lo)) AS BIGINT))
+    FROM (SELECT p, min(x) FILTER (WHERE r = floor((n - 1) * p)) AS lo,
+                 min(x) FILTER (WHERE r = ceil((n - 1) * p)) AS hi,
+                 any_value((n - 1) * p - floor((n - 1) * p)) AS frac
+          FROM (SELECT epoch_us({col}) AS x, row_number() OVER (ORDER BY epoch_us({col})) - 1 AS r,
+                       count(*) OVER () AS n FROM stg WHERE {col} IS NOT NULL)
+          CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(p)
+          GROUP BY p)"""
+
+
+_S = "time_since_first_activity"
+
+
+@register("describe_events", with_ctes(EV_B, STAGING_CTE) + f"""
+SELECT '{_S}' AS column_name, 'count' AS stat, CAST(count({_S}) AS DOUBLE) AS value, CAST(NULL AS TIMESTAMP) AS value_ts FROM stg
+UNION ALL SELECT '{_S}', 'mean', round(avg({_S}), 6), NULL FROM stg
+UNION ALL SELECT '{_S}', 'std', round(stddev_samp({_S}), 6), NULL FROM stg
+UNION ALL SELECT '{_S}', 'min', CAST(min({_S}) AS DOUBLE), NULL FROM stg
+UNION ALL SELECT '{_S}', 'max', CAST(max({_S}) AS DOUBLE), NULL FROM stg
+UNION ALL SELECT '{_S}', '25%', round(quantile_cont({_S}, 0.25), 6), NULL FROM stg
+UNION ALL SELECT '{_S}', '50%', round(quantile_cont({_S}, 0.5), 6), NULL FROM stg
+UNION ALL SELECT '{_S}', '75%', round(quantile_cont({_S}, 0.75), 6), NULL FROM stg
+UNION ALL {_describe_ts_sql('"timestamp"').replace("'\"timestamp\"'", "'timestamp'")}
+UNION ALL {_describe_ts_sql('first_activity_timestamp')}""")
+def q_describe_events(spark, sf_dir):
+    """describe() of the staged events' numeric and datetime columns (fixture B)."""
+    staged = stage(fixture_b(spark, sf_dir))
+    return P.describe(staged, [TS, "first_activity_timestamp", _S])
+
+
+@register("column_profile", with_ctes(EV_A, STAGING_CTE) + _union_rows([
+    f"SELECT '{c}' AS column_name, count({q}) AS non_null, '{t}' AS dtype FROM stg" for c, q, t in [
+        ("event_id", "event_id", "bigint"), ("organization_id", "organization_id", "string"),
+        ("activity_name", "activity_name", "string"), ("activity_detail", "activity_detail", "string"),
+        ("timestamp", '"timestamp"', "timestamp_ntz"),
+        ("first_activity_timestamp", "first_activity_timestamp", "timestamp_ntz"),
+        ("time_since_first_activity", "time_since_first_activity", "bigint")]]))
+def q_column_profile(spark, sf_dir):
+    """info() of the staged events."""
+    return P.column_profile(stage(fixture_a(spark, sf_dir)))
+
+
+@register("goal_correlation", A_BASE + _union_rows([
+    f"""SELECT 'goal_{a}' AS col_a, 'goal_{b}' AS col_b,
+       round(CASE WHEN isnan(corr(goal_{a}, goal_{b})) THEN NULL ELSE corr(goal_{a}, goal_{b}) END, 6) AS corr
+FROM flags""" for a, _, _ in GOALS_A for b, _, _ in GOALS_A]))
+def q_goal_correlation(spark, sf_dir):
+    """Correlation matrix of the goal flags."""
+    flags = G.goal_flags(_profile_a(spark, sf_dir), ORDER_GOALS)
+    return P.correlation_matrix(flags, [g.column for g in ORDER_GOALS])
+
+
+# --------------------------------------------------------------------------------------
+# survival
+# --------------------------------------------------------------------------------------
+
+_SURV_BASE = with_ctes(EV_A, _TTG_PROFILE_A) + """,
+sizes AS (SELECT goal, count(*) AS n_total FROM ttg GROUP BY goal),
+per_t AS (SELECT goal, days AS t, count(*) AS removed FROM ttg GROUP BY goal, days
+          UNION ALL SELECT goal, 0.0, 0 FROM sizes),
+tab AS (SELECT goal, t, CAST(sum(removed) AS BIGINT) AS removed FROM per_t GROUP BY goal, t),
+et AS (SELECT goal, t, removed, removed AS observed, CAST(0 AS BIGINT) AS censored,
+              CAST(CASE WHEN t = 0 THEN n_total ELSE 0 END AS BIGINT) AS entrance,
+              CAST(n_total - coalesce(sum(removed) OVER (PARTITION BY goal ORDER BY t
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_risk,
+              CAST(n_total - sum(removed) OVER (PARTITION BY goal ORDER BY t
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / n_total AS survival
+       FROM tab JOIN sizes USING (goal))
+"""
+
+
+def _durations_a(spark, sf_dir):
+    return J.time_to_goal(fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("survival_event_table", _SURV_BASE + """
+SELECT goal, round(t, 6) AS t, removed, observed, censored, entrance, at_risk FROM et""")
+def q_survival_event_table(spark, sf_dir):
+    """K1: event table of time-to-goal durations (all observed, as in the reference)."""
+    return S.event_table(_durations_a(spark, sf_dir), "goal", "days")
+
+
+@register("survival_curve", _SURV_BASE + """
+SELECT goal, round(t, 6) AS t, round(survival, 6) AS survival FROM et""")
+def q_survival_curve(spark, sf_dir):
+    """K2: Kaplan–Meier curve per goal (oracle: 1 - cumulative share, exact without censoring)."""
+    return S.km_curve(_durations_a(spark, sf_dir), "goal", "days")
+
+
+@register("survival_band", _SURV_BASE + f""", gw AS (
+    SELECT *, sum(CASE WHEN observed < at_risk
+                       THEN observed / (CAST(at_risk AS DOUBLE) * (at_risk - observed)) ELSE 0.0 END)
+              OVER (PARTITION BY goal ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
+    FROM et)
+SELECT goal, round(t, 6) AS t, round(survival, 6) AS survival,
+       round(CASE WHEN survival > 0 AND survival < 1
+                  THEN exp(-exp(ln(-ln(survival)) - {Z_95} * sqrt(v) / ln(survival))) END, 6) AS lower,
+       round(CASE WHEN survival > 0 AND survival < 1
+                  THEN exp(-exp(ln(-ln(survival)) + {Z_95} * sqrt(v) / ln(survival))) END, 6) AS upper
+FROM gw""")
+def q_survival_band(spark, sf_dir):
+    """K3: 95 % exponential-Greenwood band around the curve."""
+    return S.km_band(_durations_a(spark, sf_dir), "goal", "days")

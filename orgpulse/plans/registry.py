@@ -20,10 +20,17 @@ _ORACLES: dict[str, str] = {}
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round doubles as ``round(x * 10^d) / 10^d`` on the binary value (half away from zero).
+
+    ``F.round(x, d)`` rounds the shortest decimal form instead, which differs on values such
+    as 0.0640625 whose binary value lies just below the tie; the scaled form is the rule SQL
+    engines such as DuckDB apply to doubles, so both sides of a comparison round alike."""
+    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            c = F.col(f.name).cast("double")
+            cols.append((F.round(c * F.lit(scale)) / F.lit(scale)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
