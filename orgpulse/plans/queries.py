@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.timefns import day_of_week, hour_of_day
+from orgpulse.operators import classify as C
+from orgpulse.operators import features as F_
 from orgpulse.operators import goals as G
 from orgpulse.operators import journey as J
 from orgpulse.operators import metrics as M
@@ -20,7 +22,7 @@ from orgpulse.operators import survival as S
 from orgpulse.functions.stats import Z_95
 from orgpulse.operators.staging import stage
 from orgpulse.plans.oracle_sql import (
-    A_BASE, B_BASE, EV_A, EV_B, GOALS_A, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
+    A_BASE, B_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
     profile_cte, running_marks_cte, with_ctes,
 )
 from orgpulse.plans.marts import build_tables, raw_events
@@ -550,3 +552,123 @@ FROM gw""")
 def q_survival_band(spark, sf_dir):
     """K3: 95 % exponential-Greenwood band around the curve."""
     return S.km_band(_durations_a(spark, sf_dir), "goal", "days")
+
+
+# --------------------------------------------------------------------------------------
+# features and classifier (fixture B)
+# --------------------------------------------------------------------------------------
+
+_TF_CTE = """tf AS (
+    SELECT organization_id,
+           avg(isodow("timestamp") - 1) AS day_of_week_mean,
+           stddev_samp(isodow("timestamp") - 1) AS day_of_week_std,
+           avg(hour("timestamp")) AS hour_of_day_mean,
+           stddev_samp(hour("timestamp")) AS hour_of_day_std,
+           min("timestamp") AS start_time, max("timestamp") AS end_time,
+           date_sub('microsecond', min("timestamp"), max("timestamp")) / 86400e6 AS trial_duration
+    FROM ev GROUP BY organization_id)"""
+_B_GOAL_COLS = ", ".join(f"goal_{n}" for n, _, _ in GOALS_B)
+_B_FEATURES = [f"goal_{n}" for n, _, _ in GOALS_B[1:]] + [
+    "day_of_week_mean", "day_of_week_std", "hour_of_day_mean", "hour_of_day_std", "start_time", "end_time",
+    "trial_duration"]
+_MATRIX_B = with_ctes(EV_B, profile_cte(GOALS_B), flags_cte(GOALS_B), _TF_CTE) + """,
+feat AS (SELECT * FROM flags JOIN tf USING (organization_id)),
+mat AS (SELECT organization_id, goal_signup AS label, """ + ", ".join(
+    f"epoch_us({c}) / 1e6 AS {c}" if c in ("start_time", "end_time") else c for c in _B_FEATURES) + """ FROM feat),
+spl AS (SELECT *, CASE WHEN CAST(('0x' || substr(md5(organization_id || '-42'), 1, 8)) AS BIGINT) % 100 < 20
+                       THEN 'test' ELSE 'train' END AS split FROM mat)
+"""
+
+
+def _round_sql(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" if not c.startswith("goal_") else c for c in cols)
+
+
+@register("org_time_features", with_ctes(EV_B, _TF_CTE) + """
+SELECT organization_id, round(day_of_week_mean, 6) AS day_of_week_mean, round(day_of_week_std, 6) AS day_of_week_std,
+       round(hour_of_day_mean, 6) AS hour_of_day_mean, round(hour_of_day_std, 6) AS hour_of_day_std,
+       start_time, end_time, round(trial_duration, 6) AS trial_duration FROM tf""")
+def q_org_time_features(spark, sf_dir):
+    """L1: weekday / hour statistics and trial duration per organization."""
+    return F_.org_time_features(fixture_b(spark, sf_dir))
+
+
+@register("org_features", _MATRIX_B + f"""
+SELECT organization_id, {_B_GOAL_COLS}, round(day_of_week_mean, 6) AS day_of_week_mean,
+       round(day_of_week_std, 6) AS day_of_week_std, round(hour_of_day_mean, 6) AS hour_of_day_mean,
+       round(hour_of_day_std, 6) AS hour_of_day_std, start_time, end_time,
+       round(trial_duration, 6) AS trial_duration FROM feat""")
+def q_org_features(spark, sf_dir):
+    """L2: goal flags joined with time features (one aggregation in Spark)."""
+    return F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+
+
+@register("org_feature_matrix", _MATRIX_B + f"SELECT organization_id, label, {_round_sql(_B_FEATURES)} FROM mat")
+def q_org_feature_matrix(spark, sf_dir):
+    """L3: numeric feature matrix and label (target: the first goal)."""
+    feats = F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+    return F_.feature_matrix(feats, STREAM_GOALS[0].column)
+
+
+def _split_b(spark, sf_dir):
+    feats = F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+    return F_.train_test_split(F_.feature_matrix(feats, STREAM_GOALS[0].column))
+
+
+@register("train_test_split", _MATRIX_B + f"SELECT organization_id, label, {_round_sql(_B_FEATURES)}, split FROM spl")
+def q_train_test_split(spark, sf_dir):
+    """L4: deterministic 20 % hash split (md5 of organization id and seed 42)."""
+    return _split_b(spark, sf_dir)
+
+
+_STATS_B = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _B_FEATURES)
+
+
+@register("standardized_features", _MATRIX_B + f""",
+st AS (SELECT {_STATS_B} FROM spl WHERE split = 'train')
+SELECT organization_id, split, label, """ + ", ".join(
+    f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 6) AS {c}" for c in _B_FEATURES)
+          + " FROM spl CROSS JOIN st")
+def q_standardized_features(spark, sf_dir):
+    """Standardised with train-row mean and population std."""
+    return F_.standardize(_split_b(spark, sf_dir))
+
+
+@register("goal_classifier")
+def q_goal_classifier(spark, sf_dir):
+    """Logistic regression on the train rows, probabilities and predictions on the
+    test rows (no oracle: a fitted model)."""
+    return C.train_and_predict(F_.standardize(_split_b(spark, sf_dir)))
+
+
+@register("goal_classifier_report")
+def q_goal_classifier_report(spark, sf_dir):
+    """L8 on the fitted classifier's test predictions (rows only)."""
+    return C.classification_report(C.train_and_predict(F_.standardize(_split_b(spark, sf_dir))))
+
+
+@register("classification_report", _MATRIX_B + """,
+base AS (SELECT s.label AS y, f.goal_click AS p FROM spl s JOIN flags f USING (organization_id)
+         WHERE s.split = 'test'),
+classes AS (SELECT y AS c FROM base UNION SELECT p FROM base),
+per AS (SELECT c, count(*) FILTER (WHERE y = c AND p = c) AS tp, count(*) FILTER (WHERE y = c) AS support,
+               count(*) FILTER (WHERE p = c) AS predicted
+        FROM classes CROSS JOIN base GROUP BY c),
+m AS (SELECT c, coalesce(CAST(tp AS DOUBLE) / nullif(predicted, 0), 0.0) AS precision,
+             coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS recall,
+             coalesce(2.0 * tp / nullif(support + predicted, 0), 0.0) AS f1, support, tp FROM per)
+SELECT CAST(c AS VARCHAR) AS row_label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1_score, support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(coalesce(CAST(sum(tp) AS DOUBLE) / nullif(sum(support), 0), 0.0), 6),
+       CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       CAST(sum(support) AS BIGINT) FROM m""")
+def q_classification_report(spark, sf_dir):
+    """L8 with a deterministic predictor (the click goal's flag predicts the signup goal on
+    the test organizations), so the report arithmetic has an oracle."""
+    split = _split_b(spark, sf_dir).filter(F.col("split") == "test")
+    preds = split.select(F.col("label"), F.col("goal_click").alias("prediction"))
+    return C.classification_report(preds)
