@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgpulse.session import reliable_checkpoint
+from orgpulse.session import materialize
 
 # Rows a broadcast side may have.  Sides passed here are narrow (a key and a few numbers),
 # so this bounds the broadcast to a few tens of MB per executor.
@@ -28,21 +28,38 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return (F.broadcast(df) if n <= max_rows else df), n
 
 
+# Rows one window task may hold when a running total is computed per group in one task.
+SINGLE_TASK_ROWS = 2_000_000
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[str],
-                   parts: int | None = None, few_groups: bool = True) -> DataFrame:
+                   parts: int | None = None, few_groups: bool = True,
+                   single_task_rows: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same ``by`` group up to and including
     the current row in ``order`` (order keys must be unique within a group).
 
-    Two-level prefix sum: rows are range-partitioned on ``by + order`` (balanced by
-    sampling), each partition computes local running sums, and a table of per-partition
-    totals (at most ``parts`` + groups rows) supplies each partition's offset.  The partition
-    id is read once and frozen by a reliable checkpoint, so a recomputation cannot reassign it.
+    The largest group is measured first: when it has at most ``single_task_rows`` rows
+    (default :data:`SINGLE_TASK_ROWS`) a plain window per group is used, so each task holds at
+    most that many rows.  Otherwise (or with ``single_task_rows=0``) a two-level prefix sum runs: rows are
+    range-partitioned on ``by + order`` (balanced by sampling), each partition computes local
+    running sums, and a table of per-partition totals (at most ``parts`` + groups rows)
+    supplies each partition's offset.  The partition id is read once and frozen in a table
+    written to the shared folder, so a recomputation (lost executor, stage retry) cannot
+    reassign it.
     """
+    bound = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if bound > 0:
+        sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
+        largest = sizes.agg(F.max("count")).first()[0] or 0
+        if largest <= bound:
+            w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if by \
+                else Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums])
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(parts, *[F.col(c) for c in by + order])
               .withColumn("_pid", F.spark_partition_id()))
-    ranged = reliable_checkpoint(ranged)
+    ranged = materialize(ranged, "running-totals")
     seg = by + ["_pid"]
     totals = ranged.groupBy(*seg).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -126,19 +126,26 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair of integer columns (0/1 goal flags),
-    long form ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error)."""
+    long form ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error).
+
+    One aggregate pass collects the raw moments (n, sums, cross products of the upper
+    triangle); they are unpivoted to one row per ordered pair, so the correlation formula is
+    a single small expression applied to len(columns)^2 rows."""
+    columns = list(columns)
     aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(F.col(c).cast("bigint")).alias(f"_s_{c}") for c in columns]
-    aggs += [F.sum(F.col(a).cast("bigint") * F.col(b).cast("bigint")).alias(f"_p_{a}|{b}")
-             for a, b in combinations_with_replacement(columns, 2)]
+    aggs += [F.sum(F.col(c).cast("bigint")).alias(f"_s{i}") for i, c in enumerate(columns)]
+    aggs += [F.sum(F.col(columns[i]).cast("bigint") * F.col(columns[j]).cast("bigint")).alias(f"_p{i}_{j}")
+             for i, j in combinations_with_replacement(range(len(columns)), 2)]
     moments = df.agg(*aggs)
 
-    def prod(a, b):
-        i, j = sorted((columns.index(a), columns.index(b)))
-        return F.col(f"`_p_{columns[i]}|{columns[j]}`")
-
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     pearson_from_moments(F.col("_n"), F.col(f"_s_{a}"), F.col(f"_s_{b}"),
-                                          prod(a, a), prod(b, b), prod(a, b)).alias("corr"))
-            for a in columns for b in columns]
-    return moments.select(F.inline(F.array(*rows)))
+    def prod(i, j):
+        i, j = min(i, j), max(i, j)
+        return F.col(f"_p{i}_{j}")
+
+    pairs = moments.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col("_n").alias("n"),
+                 F.col(f"_s{i}").alias("sa"), F.col(f"_s{j}").alias("sb"), prod(i, i).alias("saa"),
+                 prod(j, j).alias("sbb"), prod(i, j).alias("sab"))
+        for i, a in enumerate(columns) for j, b in enumerate(columns)])))
+    return pairs.select("col_a", "col_b",
+                        pearson_from_moments("n", "sa", "sb", "saa", "sbb", "sab").alias("corr"))

@@ -60,3 +60,15 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet under the shared folder and reading it back.
+
+    One job (a checkpoint of an unpersisted plan computes it twice); the written files keep
+    values that must not change on recomputation, such as a partition id, stable even when
+    executors are lost.  Partitioning of the written rows is kept file-per-partition."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

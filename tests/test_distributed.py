@@ -13,7 +13,7 @@ from orgpulse.operators.profile import describe, exact_quantiles
 def test_running_totals_equal_plain_window(spark):
     df = spark.range(0, 5000).select((F.col("id") % 4).alias("g"), F.col("id").alias("o"),
                                      ((F.col("id") * 31) % 17).alias("x"))
-    got = running_totals(df, by=["g"], order=["o"], sums=["x"], parts=7)
+    got = running_totals(df, by=["g"], order=["o"], sums=["x"], parts=7, single_task_rows=0)
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("cum_x", F.sum("x").over(w))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -21,10 +21,18 @@ def test_running_totals_equal_plain_window(spark):
 
 def test_running_totals_without_groups(spark):
     df = spark.range(1, 1001).select(F.col("id").alias("o"), F.lit(1).alias("one"))
-    got = {r.o: r.cum_one for r in running_totals(df, by=[], order=["o"], sums=["one"], parts=5).collect()}
+    got = {r.o: r.cum_one for r in running_totals(df, by=[], order=["o"], sums=["one"], parts=5,
+                                                    single_task_rows=0).collect()}
     assert all(got[o] == o for o in range(1, 1001))
 
 
+def test_running_totals_branches_agree(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), F.lit(2).alias("x"))
+    a = running_totals(df, by=["g"], order=["o"], sums=["x"], parts=5, single_task_rows=0)
+    b = running_totals(df, by=["g"], order=["o"], sums=["x"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_broadcast_if_small_bound(spark):
     df = spark.range(10)
     _, n = broadcast_if_small(df, max_rows=5)
@@ -32,14 +40,18 @@ def test_broadcast_if_small_bound(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.integers(min_value=-1000, max_value=1000), min_size=1, max_size=60))
-def test_exact_quantiles_match_pandas(spark, values):
+@given(st.lists(st.integers(min_value=-1000, max_value=1000), min_size=1, max_size=60),
+       st.sampled_from([0, 10_000]))
+def test_exact_quantiles_match_pandas(spark, values, bound):
+    import orgpulse.operators.common as common
+    common.SINGLE_TASK_ROWS, saved = bound, common.SINGLE_TASK_ROWS  # 0: force the two-level path
     df = spark.createDataFrame([("c", float(v)) for v in values], "k string, v double")
     rows = exact_quantiles(df, "k", "v", [0.0, 0.25, 0.5, 0.75, 1.0]).collect()
     s = pd.Series(values, dtype="float64")
     for r in rows:
         got = r.lo_value + r.frac * (r.hi_value - r.lo_value)
         assert abs(got - s.quantile(r.prob)) < 1e-9
+    common.SINGLE_TASK_ROWS = saved
 
 
 def test_describe_rejects_strings(spark):

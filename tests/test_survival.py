@@ -8,6 +8,14 @@ from orgpulse.operators import survival as S
 C2 = [(1.0, 1), (2.0, 0), (3.0, 1), (3.0, 1), (4.0, 0)]
 
 
+@pytest.fixture(params=[0, None], ids=["two-level", "single-task"], autouse=True)
+def running_total_path(request, monkeypatch):
+    """Run every survival test through both running-total strategies."""
+    import orgpulse.operators.common as common
+    if request.param is not None:
+        monkeypatch.setattr(common, "SINGLE_TASK_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def durations(spark):
     return spark.createDataFrame([("g", t, o) for t, o in C2], "goal string, days double, obs int")
