@@ -11,6 +11,7 @@ huge organization never lands whole in one task.  Ties are broken by ``event_id`
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -39,17 +40,26 @@ def goal_reach_events(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame
     distinct detail.  Columns: organization_id, goal, event_id, timestamp."""
     goal_names(goals)
     k_max = max(g.min_count for g in goals)
-    hits = F.array_compact(F.array(*[F.when(g.predicate(), F.lit(i)) for i, g in enumerate(goals)]))
-    matched = events.select(ORG, EVENT_ID, TS, DETAIL, F.explode(hits).alias("_g"))
-    distinct_ids = [i for i, g in enumerate(goals) if g.distinct_details]
-    if distinct_ids:
-        # First event of each detail for distinct-detail goals (partial aggregation combines a
-        # hot organization map-side); every event stays its own group for the other goals.
-        key = F.when(F.col("_g").isin(distinct_ids), F.col(DETAIL)) \
-               .otherwise(F.col(EVENT_ID).cast("string"))
-        matched = (matched.groupBy(ORG, "_g", key.alias("_k"))
-                   .agg(F.min(F.struct(TS, EVENT_ID)).alias("_e"))
-                   .select(ORG, "_g", F.col(f"_e.{TS}").alias(TS), F.col(f"_e.{EVENT_ID}").alias(EVENT_ID)))
+
+    def matching(ids: list[int]) -> DataFrame:
+        # the disjunction lets the scan push the activity filter down; explode keeps one row
+        # per (event, goal it matches)
+        any_goal = reduce(lambda a, b: a | b, [goals[i].predicate() for i in ids])
+        hits = F.array_compact(F.array(*[F.when(goals[i].predicate(), F.lit(i)) for i in ids]))
+        return events.filter(any_goal).select(ORG, EVENT_ID, TS, DETAIL, F.explode(hits).alias("_g"))
+
+    plain = [i for i, g in enumerate(goals) if not g.distinct_details]
+    distinct = [i for i, g in enumerate(goals) if g.distinct_details]
+    parts = []
+    if plain:
+        parts.append(matching(plain).select(ORG, "_g", TS, EVENT_ID))
+    if distinct:
+        # first event of each detail (a partial aggregate combines a hot organization map-side)
+        firsts = (matching(distinct).groupBy(ORG, "_g", DETAIL)
+                  .agg(F.min(F.struct(TS, EVENT_ID)).alias("_e"))
+                  .select(ORG, "_g", F.col(f"_e.{TS}").alias(TS), F.col(f"_e.{EVENT_ID}").alias(EVENT_ID)))
+        parts.append(firsts)
+    matched = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy(ORG, "_g").orderBy(TS, EVENT_ID)
     ranked = matched.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k_max)
     reached = ranked.filter(F.col("_rn") == _pick([g.min_count for g in goals], F.col("_g")))
