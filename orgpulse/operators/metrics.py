@@ -30,13 +30,19 @@ def activation_rate(profile: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
                       ratio_or_zero("activated_orgs", "total_orgs").alias("activation_rate"))
 
 
-def activated_span_days(profile: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
+def activated_span_days(profile: DataFrame, goals: Sequence[GoalSpec],
+                        activated: DataFrame | None = None) -> DataFrame:
     """M5: average days between first and last event over activated organizations, 0 if none.
 
     This is the reference's "time to activation" (T1); the time of the event that completes
-    activation is :func:`orgpulse.operators.journey.activation_times`.
+    activation is :func:`orgpulse.operators.journey.activation_times`.  By default the
+    activated set comes from the same profile (no join).  Given a separately stored activation
+    mart, ``activated``, it is applied as a left semi-join (J4, ``IN (SELECT …)``).
     """
-    act = _flagged(profile, goals).filter(all_met(goals))
+    if activated is not None:
+        act = profile.join(activated.select(ORG).distinct(), ORG, "left_semi")
+    else:
+        act = _flagged(profile, goals).filter(all_met(goals))
     return act.agg(F.count(F.lit(1)).alias("activated_orgs"),
                    F.coalesce(F.avg(days_between(F.col(FIRST), F.col(LAST))), F.lit(0.0))
                    .alias("avg_days"))

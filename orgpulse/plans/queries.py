@@ -79,8 +79,8 @@ def q_events_head(spark, sf_dir):
 
 
 @register("event_time_parts", with_ctes(EV_B) + """
-SELECT event_id, organization_id, "timestamp", isodow("timestamp") - 1 AS day_of_week,
-       hour("timestamp") AS hour_of_day
+SELECT event_id, organization_id, "timestamp", CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
+       CAST(hour("timestamp") AS INTEGER) AS hour_of_day
 FROM ev""")
 def q_event_time_parts(spark, sf_dir):
     """Weekday (Monday = 0) and hour per event."""

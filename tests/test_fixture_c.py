@@ -170,3 +170,24 @@ def test_describe_matches_pandas(spark, events_c):
     for stat in ("min", "25%", "50%", "75%", "max"):
         # pandas interpolates through float64 nanoseconds (256 ns steps here): allow 1 µs
         assert abs(pd.Timestamp(got[("timestamp", stat)][1]) - tsd[stat]) <= pd.Timedelta("1us")
+
+
+def test_span_with_semi_join_equals_profile_form(events_c, profile_c):
+    flags = G.goal_flags(profile_c, GOALS)
+    act = G.fully_activated(flags, GOALS)
+    a = M.activated_span_days(profile_c, GOALS).first()
+    b = M.activated_span_days(profile_c, GOALS, activated=act).first()
+    assert (a.activated_orgs, a.avg_days) == (b.activated_orgs, b.avg_days) == (1, 4.0)
+
+
+def test_written_marts_are_idempotent(spark, raw_c):
+    from orgpulse.plans.marts import TABLE_ORDER, write_marts
+    from orgpulse.session import scratch_path
+    out = scratch_path(spark, "marts-test")
+    first = write_marts(spark, raw_c, GOALS, out)
+    counts = {n: first.table(n).count() for n in TABLE_ORDER}
+    again = write_marts(spark, raw_c, GOALS, out)   # full refresh: same folders overwritten
+    assert {n: again.table(n).count() for n in TABLE_ORDER} == counts == \
+        {"raw": 14, "staging": 14, "goals": 4, "activation": 1}
+    assert again.list_tables() == list(TABLE_ORDER)
+    assert all(r.passed for r in Q.check_goal_totals(again, GOALS).collect())
