@@ -191,3 +191,17 @@ def test_written_marts_are_idempotent(spark, raw_c):
         {"raw": 14, "staging": 14, "goals": 4, "activation": 1}
     assert again.list_tables() == list(TABLE_ORDER)
     assert all(r.passed for r in Q.check_goal_totals(again, GOALS).collect())
+
+
+def test_goal_analytics_report(events_c):
+    from orgpulse.plans.analytics import GoalAnalytics
+    ga = GoalAnalytics(events_c)
+    rep = ga.report()
+    assert rep["activation_rate"] == 0.25
+    assert rep["time_to_activation_days"] == pytest.approx(4.0)
+    assert rep["goal_completion_rates"]["Employee Invited"] == 0.5
+    assert rep["feature_engagement_rates"] == {"revenue": 0.5, "availability": 0.25}
+    assert rep["goal_achievement_days"]["Punch In Approved"] == pytest.approx(1.041667, abs=1e-6)
+    curves = ga.survival_curves().collect()
+    assert {r.goal for r in curves} == {g.name for g in GOALS}
+    ga.unpersist()
