@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +21,18 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Persist ``df``, count it, and mark it for broadcast only if it has at most ``max_rows``."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise ``df`` (a per-organization aggregate or similar) in the shared folder, count
+    it, and mark it for broadcast only if it has at most ``max_rows`` rows, else for a
+    sort-merge join.
+
+    Writing instead of caching means the input is scanned once, nothing stays pinned in
+    executor memory after the query, and a lost executor re-reads the files rather than
+    recomputing the aggregate; the count comes from the written files."""
+    df = materialize(df, "join-side")
     n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+    # Above the bound a sort-merge join is pinned (Spark's own file-size rule could still pick
+    # a broadcast); AQE then splits a skewed key's partition across tasks.
+    return (F.broadcast(df) if n <= max_rows else df.hint("merge")), n
 
 
 # Rows one window task may hold when a running total is computed per group in one task.
