@@ -37,17 +37,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, registering one only if the session has none."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    """Return the shared checkpoint folder, registering one only if the session has none.
+
+    Order: the SparkContext's checkpoint dir, then the ``spark.checkpoint.dir`` setting, then
+    (local runs and tests only) a fresh private folder.  Works without a SparkContext too
+    (Spark Connect), where only the setting is consulted."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        # Local / test sessions only: a cluster names its shared folder in spark.checkpoint.dir.
         configured = tempfile.mkdtemp(prefix="orgpulse-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:
+            pass
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,12 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/orgpulse-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared folder and reading it back.
 
