@@ -107,3 +107,37 @@ class GoalAnalytics:
             "feature_engagement_rates": self.as_dict(self.feature_engagement_rates(), "activity_detail", "rate"),
             "goal_achievement_days": self.as_dict(self.goal_achievement_times(), "label", "avg_days"),
         }
+
+
+def main(argv: list[str] | None = None, spark=None) -> int:
+    """Print the activation report for a staged or raw event table written as parquet.
+
+        python -m orgpulse.plans.analytics --events /shared/marts/raw
+    """
+    import argparse
+
+    from orgpulse.session import build_session
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("--events", required=True, help="parquet folder with the event schema")
+    args = ap.parse_args(argv)
+    own = spark is None
+    spark = spark or build_session()
+    ga = GoalAnalytics(spark.read.parquet(args.events))
+    rep = ga.report()
+    print(f"Trial activation rate: {rep['activation_rate']:.2%}")
+    print(f"Average time to activation: {rep['time_to_activation_days']:.2f} days")
+    for title, key, fmt in (("Goal completion rates", "goal_completion_rates", "{:.2%}"),
+                            ("Feature engagement rates", "feature_engagement_rates", "{:.2%}"),
+                            ("Goal achievement times (days)", "goal_achievement_days", "{:.2f}")):
+        print(f"\n{title}:")
+        for name, value in rep[key].items():
+            print(f"  {name}: {'n/a' if value is None else fmt.format(value)}")
+    ga.unpersist()
+    if own:
+        spark.stop()
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

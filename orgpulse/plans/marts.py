@@ -47,3 +47,39 @@ def write_marts(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec
     written["goals"] = flags
     written["activation"] = write_and_read(spark, fully_activated(flags, goals), f"{base}/activation")
     return TableSet(written)
+
+
+def main(argv: list[str] | None = None, spark=None) -> int:
+    """Build the marts from a raw CSV export and print the build checks.
+
+        python -m orgpulse.plans.marts --csv events.csv --out /shared/marts
+    """
+    import argparse
+
+    from orgpulse.functions.goals import REFERENCE_GOALS
+    from orgpulse.operators import quality
+    from orgpulse.session import build_session
+    from orgpulse.sources.csv import read_events_csv
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("--csv", required=True, help="raw export (file, folder or glob)")
+    ap.add_argument("--out", required=True, help="folder for raw, staging, goals, activation")
+    ap.add_argument("--null-org", default="nan", choices=["nan", "keep", "reject"])
+    args = ap.parse_args(argv)
+
+    own = spark is None
+    spark = spark or build_session()
+    events = read_events_csv(spark, args.csv, null_org=args.null_org)
+    tables = write_marts(spark, events, REFERENCE_GOALS, args.out, null_org=args.null_org)
+    failed = 0
+    for check in (quality.table_counts(tables), quality.check_org_coverage(tables)):
+        for r in check.collect():
+            failed += not r.passed
+            print(f"{r.check:28s} {r.observed:>14} expected {r.expected}  {'ok' if r.passed else 'FAILED'}")
+    if own:
+        spark.stop()
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

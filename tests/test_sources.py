@@ -50,3 +50,25 @@ def test_csv_strict_timestamps(spark):
         read_events_csv(spark, _write(bad)).collect()
     lenient = read_events_csv(spark, _write(bad), strict=False)
     assert lenient.filter("timestamp IS NULL").count() == 1
+
+
+def test_csv_round_trip_keeps_microseconds(spark):
+    from pyspark.sql import functions as F
+    from orgpulse.session import scratch_path
+    from orgpulse.sources.adapters import fixture_b
+    from orgpulse.sources.csv import write_events_csv
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/events.parquet"):
+        pytest.skip("test data not present")
+    ev = fixture_b(spark, sf).drop("event_id")
+    path = scratch_path(spark, "csv-rt")
+    write_events_csv(ev, path)
+    back = read_events_csv(spark, path, with_event_id=False)
+    assert back.exceptAll(ev).count() == 0 and ev.exceptAll(back).count() == 0
+    assert back.filter(F.substring(F.date_format("timestamp", "SSSSSS"), 4, 3) != "000").count() > 0
+
+
+def test_marts_cli(spark, tmp_path):
+    from orgpulse.plans.marts import main
+    csv_path = _write(CSV)
+    assert main(["--csv", csv_path, "--out", str(tmp_path / "marts")], spark=spark) == 0
