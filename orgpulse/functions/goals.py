@@ -73,6 +73,8 @@ class GoalSpec:
 
 
 def goal_names(goals: Sequence[GoalSpec]) -> list[str]:
+    if not goals:
+        raise ValueError("at least one goal is needed")
     names = [g.name for g in goals]
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate goal names: {names}")
