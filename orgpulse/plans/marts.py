@@ -31,7 +31,7 @@ def raw_events(events: DataFrame, null_org: str = "nan") -> DataFrame:
 def build_tables(events: DataFrame, goals: Sequence[GoalSpec], null_org: str = "nan") -> TableSet:
     raw = raw_events(events, null_org)
     flags = goal_flags(org_goal_profile(raw, goals), goals)
-    return TableSet({"raw": raw, "staging": stage(raw), "goals": flags,
+    return TableSet({"raw": raw, "staging": lambda: stage(raw), "goals": flags,
                      "activation": fully_activated(flags, goals)})
 
 

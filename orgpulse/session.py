@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering one only if the session has none.
 
     Order: the SparkContext's checkpoint dir, then the ``spark.checkpoint.dir`` setting, then
-    (local runs and tests only) a fresh private folder.  Works without a SparkContext too
+    — only for a ``local`` master (local runs, tests) — a fresh private folder.  On a cluster
+    without the setting this raises instead of writing to a driver-local folder.  Works without a SparkContext too
     (Spark Connect), where only the setting is consulted."""
     try:
         sc = spark.sparkContext
@@ -52,6 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = spark.conf.get("spark.master", None) or (sc.master if sc is not None else "")
+        if not str(master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(e.g. on HDFS or object storage); a driver-local folder is not usable here")
         configured = tempfile.mkdtemp(prefix="orgpulse-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

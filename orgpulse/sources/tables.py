@@ -3,6 +3,8 @@ into the scan (``ReadSchema`` / ``PushedFilters``)."""
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,16 +13,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class TableSet:
-    """Named tables of one build ("the database"); ``list_tables`` is S5."""
+    """Named tables of one build ("the database"); ``list_tables`` is S5.
+
+    A table may be given as a DataFrame or as a zero-argument function building it; functions
+    run on first use, so a check that reads two tables never plans (or materialises) the rest."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
         self._tables = dict(tables)
 
     def list_tables(self) -> list[str]:
         return list(self._tables)
 
     def table(self, name: str) -> DataFrame:
-        return self._tables[name]
+        t = self._tables[name]
+        if callable(t) and not isinstance(t, DataFrame):
+            t = self._tables[name] = t()
+        return t
 
     def items(self):
-        return self._tables.items()
+        return [(name, self.table(name)) for name in self._tables]
