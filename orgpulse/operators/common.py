@@ -83,3 +83,12 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
 def unpivot_structs(df: DataFrame, rows: list[Column]) -> DataFrame:
     """Turn each row of ``df`` into ``len(rows)`` rows, one per struct expression."""
     return df.select(F.inline(F.array(*rows)))
+
+
+def consecutive_ids(df: DataFrame, order: list[str], id_col: str = "event_id", start: int = 1) -> DataFrame:
+    """Ids ``start, start+1, …`` in ``order`` (keys must be unique together), assigned as a
+    running count — range partitions plus per-partition offsets above the single-task bound,
+    never one unpartitioned ``row_number`` over the whole table."""
+    counted = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), by=[], order=order, sums=["_one"])
+    return counted.select(*[F.col(c) for c in df.columns],
+                          (F.col("cum__one") + F.lit(start - 1)).alias(id_col))

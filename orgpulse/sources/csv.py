@@ -48,7 +48,10 @@ def normalize_org(c: Column, null_org: str = "nan") -> Column:
 
 
 def read_events_csv(spark: SparkSession, path: str, null_org: str = "nan", strict: bool = True,
-                    with_event_id: bool = True) -> DataFrame:
+                    with_event_id: bool = True, consecutive_ids: bool = False) -> DataFrame:
+    """Read the raw export.  ``event_id`` is unique and increasing in file order; with
+    ``consecutive_ids`` it is renumbered 1..n in (organization, timestamp, file order), like an
+    auto-increment key filled from the organization-ordered staging insert."""
     raw = (spark.read.schema(RAW_CSV_SCHEMA).option("header", True).option("mode", "FAILFAST")
            .csv(path))
     parse = F.to_timestamp_ntz if strict else (lambda c: F.try_to_timestamp(c).cast("timestamp_ntz"))
@@ -64,6 +67,10 @@ def read_events_csv(spark: SparkSession, path: str, null_org: str = "nan", stric
     df = raw.select(*cols)
     if null_org == "reject":
         df = df.filter(F.assert_true(F.col(ORG).isNotNull(), "NULL organization_id in CSV").isNull())
+    if with_event_id and consecutive_ids:
+        from orgpulse.operators.common import consecutive_ids as renumber
+        df = renumber(df.withColumnRenamed(EVENT_ID, "_file_pos"), [ORG, TS, "_file_pos"]).drop("_file_pos")
+        df = df.select(EVENT_ID, ORG, NAME, DETAIL, TS)
     return df
 
 

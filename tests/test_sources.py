@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 
@@ -72,3 +73,18 @@ def test_marts_cli(spark, tmp_path):
     from orgpulse.plans.marts import main
     csv_path = _write(CSV)
     assert main(["--csv", csv_path, "--out", str(tmp_path / "marts")], spark=spark) == 0
+
+
+@pytest.mark.parametrize("bound", [0, None], ids=["two-level", "single-task"])
+def test_consecutive_ids(spark, monkeypatch, bound):
+    import orgpulse.operators.common as common
+    if bound is not None:
+        monkeypatch.setattr(common, "SINGLE_TASK_ROWS", bound)
+    df = read_events_csv(spark, _write(CSV), consecutive_ids=True)
+    rows = df.orderBy("event_id").collect()
+    assert [r.event_id for r in rows] == [1, 2, 3, 4, 5]
+    assert [(r.organization_id, str(r.timestamp)) for r in rows] == sorted(
+        (r.organization_id, str(r.timestamp)) for r in rows)
+    from orgpulse.operators.common import consecutive_ids
+    big = consecutive_ids(spark.range(0, 2500).select((F.col("id") * 7 % 2500).alias("k")), ["k"], "rid")
+    assert big.filter(F.col("rid") != F.col("k") + 1).count() == 0
