@@ -39,15 +39,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 SINGLE_TASK_ROWS = 2_000_000
 
 
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows in the largest ``by`` group (one small aggregate; the driver gets one number)."""
+    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
+    return sizes.agg(F.max("count")).first()[0] or 0
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[str],
                    parts: int | None = None, few_groups: bool = True,
-                   single_task_rows: int | None = None) -> DataFrame:
+                   single_task_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same ``by`` group up to and including
     the current row in ``order`` (order keys must be unique within a group).
 
     The largest group is measured first: when it has at most ``single_task_rows`` rows
     (default :data:`SINGLE_TASK_ROWS`) a plain window per group is used, so each task holds at
-    most that many rows.  Otherwise (or with ``single_task_rows=0``) a two-level prefix sum runs: rows are
+    most that many rows.  A caller that already measured the groups passes ``largest``.  Otherwise (or with ``single_task_rows=0``) a two-level prefix sum runs: rows are
     range-partitioned on ``by + order`` (balanced by sampling), each partition computes local
     running sums, and a table of per-partition totals (at most ``parts`` + groups rows)
     supplies each partition's offset.  The partition id is read once and frozen in a table
@@ -56,8 +62,8 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
     """
     bound = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     if bound > 0:
-        sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
-        largest = sizes.agg(F.max("count")).first()[0] or 0
+        if largest is None:
+            largest = largest_group(df, by)
         if largest <= bound:
             w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if by \
                 else Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

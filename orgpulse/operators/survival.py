@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions.stats import Z_95
-from orgpulse.operators.common import running_totals
+from orgpulse.operators.common import largest_group, running_totals
 
 T_COL = "t"
 
 
-def _event_table(durations: DataFrame, group: str, duration: str, observed: str | None) -> DataFrame:
+def _event_table(durations: DataFrame, group: str, duration: str, observed: str | None):
+    """Event table with the group size ``_N``, and the row count of the largest group."""
     obs = F.col(observed).cast("bigint") if observed else F.lit(1).cast("bigint")
     d = durations.select(F.col(group), F.col(duration).cast("double").alias(T_COL), obs.alias("_o"))
     per_t = d.groupBy(group, T_COL).agg(F.count(F.lit(1)).alias("removed"), F.sum("_o").alias("observed"))
@@ -26,18 +27,20 @@ def _event_table(durations: DataFrame, group: str, duration: str, observed: str
                         F.lit(0).cast("bigint").alias("observed"))
     table = per_t.unionByName(zero).groupBy(group, T_COL) \
         .agg(F.sum("removed").alias("removed"), F.sum("observed").alias("observed"))
-    cum = running_totals(table, by=[group], order=[T_COL], sums=["removed"])
-    return (cum.join(sizes, group)
+    largest = largest_group(table, [group])
+    cum = running_totals(table, by=[group], order=[T_COL], sums=["removed"], largest=largest)
+    out = (cum.join(sizes, group)
             .select(group, T_COL, "removed", "observed",
                     (F.col("removed") - F.col("observed")).alias("censored"),
                     F.when(F.col(T_COL) == 0.0, F.col("_N")).otherwise(F.lit(0)).cast("bigint").alias("entrance"),
                     (F.col("_N") - F.col("cum_removed") + F.col("removed")).alias("at_risk"), "_N"))
+    return out, largest
 
 
 def event_table(durations: DataFrame, group: str, duration: str, observed: str | None = None) -> DataFrame:
     """K1: per group and distinct time (plus time 0): removed, observed, censored, entrance,
     at_risk — the layout of a product-limit fitter's event table."""
-    return _event_table(durations, group, duration, observed).drop("_N")
+    return _event_table(durations, group, duration, observed)[0].drop("_N")
 
 
 def _curve(durations: DataFrame, group: str, duration: str, observed: str | None) -> DataFrame:
@@ -48,7 +51,7 @@ def _curve(durations: DataFrame, group: str, duration: str, observed: str | None
     n_{i+1} = m_i - c_i.  Without censoring every factor of the product is exactly 1, so S is
     the exact ratio m_k / N (no log/exp rounding); with censoring the product is a running
     sum of logs.  S is exactly 0 once every subject at risk has had the event (T14)."""
-    table = _event_table(durations, group, duration, observed)
+    table, largest = _event_table(durations, group, duration, observed)  # same groups below
     n = F.col("at_risk").cast("double")
     d = F.col("observed").cast("double")
     m = F.col("at_risk") - F.col("observed")
@@ -59,7 +62,7 @@ def _curve(durations: DataFrame, group: str, duration: str, observed: str | None
         .otherwise(F.lit(0.0)).alias("_lc"),
         # Greenwood term d / (n (n - d)); infinite when d = n, then taken as 0.
         F.when(F.col("observed") < F.col("at_risk"), d / (n * (n - d))).otherwise(F.lit(0.0)).alias("_gw"))
-    sums = running_totals(terms, by=[group], order=[T_COL], sums=["_lc", "_gw"])
+    sums = running_totals(terms, by=[group], order=[T_COL], sums=["_lc", "_gw"], largest=largest)
     correction = F.exp(F.col("cum__lc") - F.col("_lc"))
     surv = F.col("_m").cast("double") / F.col("_N").cast("double") * correction
     return sums.select(group, T_COL, surv.alias("survival"), F.col("cum__gw").alias("_v"))
