@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,14 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Materialise ``df`` (a per-organization aggregate or similar) in the shared folder, count
-    it, and mark it for broadcast only if it has at most ``max_rows`` rows, else for a
-    sort-merge join.
-
-    Writing instead of caching means the input is scanned once, nothing stays pinned in
-    executor memory after the query, and a lost executor re-reads the files rather than
-    recomputing the aggregate; the count comes from the written files."""
-    df = materialize(df, "join-side")
+    """Persist ``df`` (a per-organization aggregate or similar), count it, and mark it for
+    broadcast only if it has at most ``max_rows`` rows, else for a sort-merge join.
+
+    The side is computed once (the count fills the cache, the join reads it).  Its lineage is
+    deterministic, so partitions lost with an executor are recomputed to the same rows.  It
+    stays cached (memory, spilling to disk) until the session's cache is cleared; writing it
+    to the shared folder instead was measured 2-3 s slower per query at sf0.1."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     # Above the bound a sort-merge join is pinned (Spark's own file-size rule could still pick
     # a broadcast); AQE then splits a skewed key's partition across tasks.
