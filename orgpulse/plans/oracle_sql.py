@@ -68,7 +68,6 @@ def with_ctes(*ctes: str) -> str:
 
 
 A_BASE = with_ctes(EV_A, profile_cte(GOALS_A), flags_cte(GOALS_A))
-B_BASE = with_ctes(EV_B, profile_cte(GOALS_B), flags_cte(GOALS_B))
 
 
 def running_marks_cte(goals) -> str:

@@ -22,7 +22,7 @@ from orgpulse.operators import survival as S
 from orgpulse.functions.stats import Z_95
 from orgpulse.operators.staging import stage
 from orgpulse.plans.oracle_sql import (
-    A_BASE, B_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
+    A_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
     profile_cte, running_marks_cte, with_ctes,
 )
 from orgpulse.plans.marts import build_tables, raw_events
