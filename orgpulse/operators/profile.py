@@ -52,7 +52,9 @@ def exact_quantiles(long: DataFrame, key: str, value: str, probs: Sequence[float
         return (cum.join(t, (cum[key] == t["_key"]) & (cum["_from"] <= t[rank]) & (t[rank] < cum["_to"]))
                 .select(F.col("_key").alias(key), "prob", F.col(value).alias(out)))
 
-    return (targets.join(at("_lo", "lo_value"), [key, "prob"]).join(at("_hi", "hi_value"), [key, "prob"])
+    # both lookups have one row per target: broadcast joins of bounded sides
+    return (targets.join(F.broadcast(at("_lo", "lo_value")), [key, "prob"])
+            .join(F.broadcast(at("_hi", "hi_value")), [key, "prob"])
             .select(key, "prob", "lo_value", "hi_value", "frac"))
 
 
