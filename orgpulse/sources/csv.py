@@ -54,19 +54,24 @@ def read_events_csv(spark: SparkSession, path: str, null_org: str = "nan", stric
     auto-increment key filled from the organization-ordered staging insert."""
     raw = (spark.read.schema(RAW_CSV_SCHEMA).option("header", True).option("mode", "FAILFAST")
            .csv(path))
-    parse = F.to_timestamp_ntz if strict else (lambda c: F.try_to_timestamp(c).cast("timestamp_ntz"))
+    ts_text = _na_to_null(F.col("TIMESTAMP"))
+    ts = ts_text.try_cast("timestamp_ntz")
+    if strict:  # fail the job on an unparsable value, whatever the session's ANSI setting
+        ts = F.when(ts_text.isNotNull() & ts.isNull(),
+                    F.raise_error(F.concat(F.lit("unparsable TIMESTAMP in CSV: "), ts_text))).otherwise(ts)
+    org = normalize_org(_na_to_null(F.col("ORGANIZATION_ID")), null_org)
+    if null_org == "reject":
+        org = F.when(org.isNull(), F.raise_error(F.lit("NULL ORGANIZATION_ID in CSV"))).otherwise(org)
     cols = [
-        normalize_org(_na_to_null(F.col("ORGANIZATION_ID")), null_org).alias(ORG),
+        org.alias(ORG),
         _na_to_null(F.col("ACTIVITY_NAME")).alias(NAME),
         _na_to_null(F.col("ACTIVITY_DETAIL")).alias(DETAIL),
-        parse(_na_to_null(F.col("TIMESTAMP"))).alias(TS),
+        ts.cast("timestamp_ntz").alias(TS),
     ]
     if with_event_id:
         # Unique and increasing in file order; materialise (write the raw table) before reuse.
         cols.insert(0, F.monotonically_increasing_id().alias(EVENT_ID))
     df = raw.select(*cols)
-    if null_org == "reject":
-        df = df.filter(F.assert_true(F.col(ORG).isNotNull(), "NULL organization_id in CSV").isNull())
     if with_event_id and consecutive_ids:
         from orgpulse.operators.common import consecutive_ids as renumber
         df = renumber(df.withColumnRenamed(EVENT_ID, "_file_pos"), [ORG, TS, "_file_pos"]).drop("_file_pos")

@@ -88,3 +88,13 @@ def test_consecutive_ids(spark, monkeypatch, bound):
     from orgpulse.operators.common import consecutive_ids
     big = consecutive_ids(spark.range(0, 2500).select((F.col("id") * 7 % 2500).alias("k")), ["k"], "rid")
     assert big.filter(F.col("rid") != F.col("k") + 1).count() == 0
+
+
+def test_csv_strict_without_ansi(spark):
+    bad = CSV + "org-3,Shift.Created,,not a time\n"
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read_events_csv(spark, _write(bad)).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
