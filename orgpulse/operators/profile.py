@@ -89,10 +89,11 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  F.min(x).cast("double").alias(f"{c}|min"), F.max(x).cast("double").alias(f"{c}|max")]
         if kinds[c] == "ts":
             # exact integer mean of epoch microseconds, floored to a microsecond
-            aggs.append(F.floor(F.sum(x.cast("decimal(38,0)")) / F.count(x)).cast("double").alias(f"{c}|mean_us"))
+            aggs.append(F.floor(F.try_divide(F.sum(x.cast("decimal(38,0)")), F.count(x))).cast("double")
+                        .alias(f"{c}|mean_us"))
         else:
             # exact integer sum, one rounding to double, one division
-            exact_mean = F.sum(x.cast("decimal(38,0)")).cast("double") / F.count(x).cast("double")
+            exact_mean = F.try_divide(F.sum(x.cast("decimal(38,0)")).cast("double"), F.count(x).cast("double"))
             aggs += [(exact_mean if c in integral else F.avg(x)).alias(f"{c}|mean"),
                      F.stddev_samp(x).alias(f"{c}|std")]
     wide = df.agg(*aggs)

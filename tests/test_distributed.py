@@ -61,3 +61,10 @@ def test_describe_rejects_strings(spark):
     except ValueError:
         return
     raise AssertionError("describe accepted a string column")
+
+
+def test_describe_all_null_column(spark):
+    df = spark.createDataFrame([(None, None), (None, None)], "n bigint, t timestamp_ntz")
+    rows = {(r.column_name, r.stat): (r.value, r.value_ts) for r in describe(df, ["n", "t"]).collect()}
+    assert rows[("n", "count")] == (0.0, None) and rows[("n", "mean")] == (None, None)
+    assert rows[("t", "mean")] == (None, None)
