@@ -101,3 +101,20 @@ REFERENCE_GOALS: tuple[GoalSpec, ...] = (
     GoalSpec("punch_in_approved", "Punch In Approved", "PunchClock.Approvals.EntryApproved", None, 1),
     GoalSpec("advanced_features", "Advanced Features", "Page.Viewed", ADVANCED_FEATURE_PAGES, 2),
 )
+
+
+def goals_from_records(records: Iterable[dict]) -> tuple[GoalSpec, ...]:
+    """Goal vocabulary from plain records, e.g. parsed JSON:
+    ``[{"name": "shift_created", "label": "Shift Created", "activity_name": "Shift.Created",
+    "min_count": 2}, …]`` (``details`` a list or absent, ``distinct_details`` optional)."""
+    goals = tuple(GoalSpec(name=r["name"], label=r.get("label", r["name"]), activity_name=r["activity_name"],
+                           details=tuple(r["details"]) if r.get("details") else None,
+                           min_count=int(r.get("min_count", 1)),
+                           distinct_details=bool(r.get("distinct_details", False))) for r in records)
+    goal_names(goals)
+    return goals
+
+
+def goals_from_json(text: str) -> tuple[GoalSpec, ...]:
+    import json
+    return goals_from_records(json.loads(text))

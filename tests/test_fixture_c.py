@@ -205,3 +205,13 @@ def test_goal_analytics_report(events_c):
     curves = ga.survival_curves().collect()
     assert {r.goal for r in curves} == {g.name for g in GOALS}
     ga.unpersist()
+
+
+def test_goals_from_json_equal_reference_vocabulary():
+    import json
+    from dataclasses import asdict
+    from orgpulse.functions.goals import goals_from_json
+    text = json.dumps([{**asdict(g), "details": list(g.details) if g.details else None} for g in GOALS])
+    assert goals_from_json(text) == GOALS
+    with pytest.raises(ValueError):
+        goals_from_json('[{"name": "a", "activity_name": "x"}, {"name": "a", "activity_name": "y"}]')
