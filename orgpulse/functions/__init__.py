@@ -1,8 +1,8 @@
 """Column-level building blocks: goal predicates, time arithmetic, guarded statistics."""
 
 from orgpulse.functions.goals import (  # noqa: F401
-    DETAIL, EVENT_COLUMNS, EVENT_ID, NAME, ORG, TS, GoalSpec, REFERENCE_GOALS, all_met,
-    with_distinct_detail_goals,
+    DETAIL, EVENT_COLUMNS, EVENT_ID, NAME, ORG, TS, GoalSpec, REFERENCE_GOALS, all_met, goals_from_json,
+    goals_from_records, with_distinct_detail_goals,
 )
 from orgpulse.functions.stats import pearson_from_moments, ratio, ratio_or_zero  # noqa: F401
 from orgpulse.functions.timefns import (  # noqa: F401
