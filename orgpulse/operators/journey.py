@@ -21,7 +21,7 @@ from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS, GoalSpec,
     with_distinct_detail_goals
 from orgpulse.functions.stats import ratio
 from orgpulse.functions.timefns import SECONDS_PER_DAY, seconds_between
-from orgpulse.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from orgpulse.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, running_totals
 from orgpulse.operators.goals import FIRST, org_goal_profile
 from orgpulse.operators.staging import org_first_activity
 
@@ -60,9 +60,19 @@ def goal_reach_events(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame
                   .select(ORG, "_g", F.col(f"_e.{TS}").alias(TS), F.col(f"_e.{EVENT_ID}").alias(EVENT_ID)))
         parts.append(firsts)
     matched = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy(ORG, "_g").orderBy(TS, EVENT_ID)
-    ranked = matched.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k_max)
-    reached = ranked.filter(F.col("_rn") == _pick([g.min_count for g in goals], F.col("_g")))
+    k_of_goal = _pick([g.min_count for g in goals], F.col("_g"))
+    limit_threshold = int(events.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k_max <= limit_threshold:
+        # row_number() <= K becomes a map-side WindowGroupLimit (K rows per group per task)
+        w = Window.partitionBy(ORG, "_g").orderBy(TS, EVENT_ID)
+        ranked = matched.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k_max)
+        reached = ranked.filter(F.col("_rn") == k_of_goal)
+    else:
+        # Spark infers no group limit for so large a K: count exactly with the two-level
+        # running total, which range-splits a huge (organization, goal) group
+        counted = running_totals(matched.withColumn("_one", F.lit(1).cast("bigint")), by=[ORG, "_g"],
+                                 order=[TS, EVENT_ID], sums=["_one"], few_groups=False)
+        reached = counted.filter(F.col("cum__one") == k_of_goal)
     return reached.select(ORG, _pick([g.name for g in goals], F.col("_g")).alias(GOAL), EVENT_ID, TS)
 
 

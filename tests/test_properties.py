@@ -84,3 +84,23 @@ def test_flags_and_first_times_equal_python(spark, raw):
         assert secs[org] == tuple(want_secs)
     activated = {r.organization_id for r in G.fully_activated(G.goal_flags(prof, GOALS), GOALS).collect()}
     assert activated == set(replay(rows, GOALS))
+
+
+@settings(max_examples=6, deadline=None)
+@given(events_strategy)
+def test_completing_event_large_k_path_equals_replay(spark, raw):
+    # force the path used when K exceeds Spark's window-group-limit threshold, both strategies
+    import orgpulse.operators.common as common
+    rows = to_rows(raw)
+    df = spark.createDataFrame(rows, EVENT_SCHEMA)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1")
+    saved = common.SINGLE_TASK_ROWS
+    try:
+        for bound in (0, saved):
+            common.SINGLE_TASK_ROWS = bound
+            for goals in (GOALS, DISTINCT):
+                got = {r.organization_id: r.event_id for r in J.completion_points(df, goals).collect()}
+                assert got == replay(rows, goals)
+    finally:
+        common.SINGLE_TASK_ROWS = saved
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
