@@ -52,9 +52,10 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same ``by`` group up to and including
     the current row in ``order`` (order keys must be unique within a group).
 
-    The largest group is measured first: when it has at most ``single_task_rows`` rows
-    (default :data:`SINGLE_TASK_ROWS`) a plain window per group is used, so each task holds at
-    most that many rows.  A caller that already measured the groups passes ``largest``.  Otherwise (or with ``single_task_rows=0``) a two-level prefix sum runs: rows are
+    The largest group is measured first (a caller that already measured it passes
+    ``largest``): when it has at most ``single_task_rows`` rows (default
+    :data:`SINGLE_TASK_ROWS`) a plain window per group is used, so each task holds at most that
+    many rows.  Otherwise (or with ``single_task_rows=0``) a two-level prefix sum runs: rows are
     range-partitioned on ``by + order`` (balanced by sampling), each partition computes local
     running sums, and a table of per-partition totals (at most ``parts`` + groups rows)
     supplies each partition's offset.  The partition id is read once and frozen in a table
