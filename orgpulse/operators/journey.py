@@ -91,9 +91,12 @@ def completing_events(events: DataFrame, goals: Sequence[GoalSpec],
                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Every event with a boolean ``completes_activation`` (true on exactly one event of
     each activated organization)."""
-    marks = completion_points(events, goals).select(ORG, EVENT_ID, F.lit(True).alias("_c"))
+    marks = completion_points(events, goals).select(
+        F.col(ORG).alias("_org"), F.col(EVENT_ID).alias("_eid"), F.lit(True).alias("_c"))
     marks, _ = broadcast_if_small(marks, max_broadcast_rows)
-    return (events.join(marks, [ORG, EVENT_ID], "left")
+    # null-safe on the organization: a NULL organization (null_org="keep") is a group too
+    on = events[ORG].eqNullSafe(marks["_org"]) & (events[EVENT_ID] == marks["_eid"])
+    return (events.join(marks, on, "left")
             .select(EVENT_ID, ORG, NAME, DETAIL, TS, F.coalesce(F.col("_c"), F.lit(False)).alias(COMPLETES)))
 
 
@@ -101,9 +104,10 @@ def activation_times(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
     """O3: per activated organization the completing event and the time since its first event
     (whole seconds, and days = seconds / 86400)."""
     points = completion_points(events, goals)
-    firsts = org_first_activity(events).withColumnRenamed("first_activity_timestamp", FIRST)
+    firsts = org_first_activity(events).select(F.col(ORG).alias("_org"),
+                                               F.col("first_activity_timestamp").alias(FIRST))
     secs = seconds_between(F.col(FIRST), F.col(COMPLETING_TS))
-    return (points.join(firsts, ORG)
+    return (points.join(firsts, points[ORG].eqNullSafe(firsts["_org"]))
             .select(ORG, EVENT_ID, COMPLETING_TS, secs.alias("seconds_since_first"),
                     (secs / F.lit(SECONDS_PER_DAY)).alias("days_since_first")))
 

@@ -215,3 +215,12 @@ def test_goals_from_json_equal_reference_vocabulary():
     assert goals_from_json(text) == GOALS
     with pytest.raises(ValueError):
         goals_from_json('[{"name": "a", "activity_name": "x"}, {"name": "a", "activity_name": "y"}]')
+
+
+def test_null_organization_kept_as_a_group(raw_c, spark):
+    # null_org="keep": with a one-goal vocabulary (an invitation) the NULL organization completes too
+    invite = (GOALS[1],)
+    marks = J.completing_events(raw_c, invite).filter("completes_activation").collect()
+    assert {(r.organization_id, r.event_id) for r in marks} == {("A", 3), (None, 13)}
+    times = {r.organization_id: r.seconds_since_first for r in J.activation_times(raw_c, invite).collect()}
+    assert times == {"A": 60, None: 0}
