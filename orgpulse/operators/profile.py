@@ -133,22 +133,24 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One aggregate pass collects the raw moments (n, sums, cross products of the upper
     triangle); they are unpivoted to one row per ordered pair, so the correlation formula is
-    a single small expression applied to len(columns)^2 rows."""
+    a single small expression applied to len(columns)^2 rows.  The many similar expressions
+    are given as SQL text (one JVM call each)."""
     columns = list(columns)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(F.col(c).cast("bigint")).alias(f"_s{i}") for i, c in enumerate(columns)]
-    aggs += [F.sum(F.col(columns[i]).cast("bigint") * F.col(columns[j]).cast("bigint")).alias(f"_p{i}_{j}")
-             for i, j in combinations_with_replacement(range(len(columns)), 2)]
-    moments = df.agg(*aggs)
-
-    def prod(i, j):
-        i, j = min(i, j), max(i, j)
-        return F.col(f"_p{i}_{j}")
-
-    pairs = moments.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col("_n").alias("n"),
-                 F.col(f"_s{i}").alias("sa"), F.col(f"_s{j}").alias("sb"), prod(i, i).alias("saa"),
-                 prod(j, j).alias("sbb"), prod(i, j).alias("sab"))
-        for i, a in enumerate(columns) for j, b in enumerate(columns)])))
+    q = ["`" + c.replace("`", "``") + "`" for c in columns]
+    aggs = ["count(1) AS _n"] + [f"sum(CAST({c} AS BIGINT)) AS _s{i}" for i, c in enumerate(q)]
+    aggs += [f"sum(CAST({q[i]} AS BIGINT) * CAST({q[j]} AS BIGINT)) AS _p{i}_{j}"
+             for i, j in combinations_with_replacement(range(len(q)), 2)]
+    moments = df.agg(*[F.expr(a) for a in aggs])
+
+    def lit(s: str) -> str:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    structs = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            p = lambda x, y: f"_p{min(x, y)}_{max(x, y)}"
+            structs.append(f"named_struct('col_a', {lit(a)}, 'col_b', {lit(b)}, 'n', _n, 'sa', _s{i}, "
+                           f"'sb', _s{j}, 'saa', {p(i, i)}, 'sbb', {p(j, j)}, 'sab', {p(i, j)})")
+    pairs = moments.selectExpr(f"inline(array({', '.join(structs)}))")
     return pairs.select("col_a", "col_b",
                         pearson_from_moments("n", "sa", "sb", "saa", "sbb", "sab").alias("corr"))
