@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from orgpulse.session import materialize
 
 # Rows a broadcast side may have.  Sides passed here are narrow (a key and a few numbers),
-# so this bounds the broadcast to a few tens of MB per executor.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# so this bounds the broadcast to a few tens of MB per executor.  ORGPULSE_BROADCAST_ROWS=0
+# forces the shuffle-join path (used to check that path on small data).
+DEFAULT_BROADCAST_ROWS = int(os.environ.get("ORGPULSE_BROADCAST_ROWS", 1_000_000))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -37,7 +40,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 # Rows one window task may hold when a running total is computed per group in one task.
-SINGLE_TASK_ROWS = 2_000_000
+# ORGPULSE_SINGLE_TASK_ROWS=0 forces the two-level path.
+SINGLE_TASK_ROWS = int(os.environ.get("ORGPULSE_SINGLE_TASK_ROWS", 2_000_000))
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
