@@ -24,14 +24,16 @@ from orgpulse.session import materialize
 DEFAULT_BROADCAST_ROWS = int(os.environ.get("ORGPULSE_BROADCAST_ROWS", 1_000_000))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int]:
     """Persist ``df`` (a per-organization aggregate or similar), count it, and mark it for
-    broadcast only if it has at most ``max_rows`` rows, else for a sort-merge join.
+    broadcast only if it has at most ``max_rows`` rows (default :data:`DEFAULT_BROADCAST_ROWS`),
+    else for a sort-merge join.
 
     The side is computed once (the count fills the cache, the join reads it).  Its lineage is
     deterministic, so partitions lost with an executor are recomputed to the same rows.  It
     stays cached (memory, spilling to disk) until the session's cache is cleared; writing it
     to the shared folder instead was measured 2-3 s slower per query at sf0.1."""
+    max_rows = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     # Above the bound a sort-merge join is pinned (Spark's own file-size rule could still pick

@@ -21,7 +21,7 @@ from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS, GoalSpec,
     with_distinct_detail_goals
 from orgpulse.functions.stats import ratio
 from orgpulse.functions.timefns import SECONDS_PER_DAY, seconds_between
-from orgpulse.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small, running_totals
+from orgpulse.operators.common import broadcast_if_small, running_totals
 from orgpulse.operators.goals import FIRST, org_goal_profile
 from orgpulse.operators.staging import org_first_activity
 
@@ -88,7 +88,7 @@ def completion_points(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame
 
 
 def completing_events(events: DataFrame, goals: Sequence[GoalSpec],
-                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      max_broadcast_rows: int | None = None) -> DataFrame:
     """Every event with a boolean ``completes_activation`` (true on exactly one event of
     each activated organization)."""
     marks = completion_points(events, goals).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.timefns import seconds_between
-from orgpulse.operators.common import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from orgpulse.operators.common import broadcast_if_small
 
 FIRST_TS = "first_activity_timestamp"
 SINCE_FIRST = "time_since_first_activity"
@@ -25,7 +25,7 @@ def org_first_activity(events: DataFrame) -> DataFrame:
     return events.groupBy(ORG).agg(F.min(TS).alias(FIRST_TS))
 
 
-def stage(events: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def stage(events: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     firsts, _ = broadcast_if_small(
         org_first_activity(events).withColumnRenamed(ORG, "_org"), max_broadcast_rows)
     # Null-safe key: a NULL organization (null_org="keep") keeps its rows, like the window form.

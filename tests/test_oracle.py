@@ -53,3 +53,19 @@ def test_known_answers_sf0001(spark):
     assert abs(span - 2057.85) < 0.01
     reached = {r.goal: r.orgs_reached for r in q["goal_times"](spark, SF).collect()}
     assert reached == {"urgent": 79, "high": 126, "medium": 130, "low": 130, "unspecified": 56}
+
+
+SCALE_PATH_KEYS = ["staging_events", "events_head", "completing_events", "activation_times", "describe_events",
+                   "survival_event_table", "survival_curve", "survival_band", "table_counts", "check_constraints"]
+
+
+@pytest.mark.parametrize("key", SCALE_PATH_KEYS)
+def test_query_matches_oracle_on_large_data_paths(spark, duck, monkeypatch, key):
+    """Two-level running totals and shuffle joins (the paths used above the bounds)."""
+    import orgpulse.operators.common as common
+    from __spark_entry__ import oracle_sql, queries
+    from tools.oracle_check import compare
+    monkeypatch.setattr(common, "SINGLE_TASK_ROWS", 0)
+    monkeypatch.setattr(common, "DEFAULT_BROADCAST_ROWS", 0)
+    line, ok = compare(spark, duck, key, queries()[key], oracle_sql().get(key), SF)
+    assert ok, line
