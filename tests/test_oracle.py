@@ -69,3 +69,19 @@ def test_query_matches_oracle_on_large_data_paths(spark, duck, monkeypatch, key)
     monkeypatch.setattr(common, "DEFAULT_BROADCAST_ROWS", 0)
     line, ok = compare(spark, duck, key, queries()[key], oracle_sql().get(key), SF)
     assert ok, line
+
+
+def test_known_answers_fixture_b_sf0001(spark):
+    from pyspark.sql import functions as F
+    from orgpulse.operators import features as FT
+    from orgpulse.operators import goals as G
+    from orgpulse.sources.adapters import STREAM_GOALS, fixture_b
+    ev = fixture_b(spark, SF)
+    flags = G.goal_flags(G.org_goal_profile(ev, STREAM_GOALS), STREAM_GOALS)
+    assert G.fully_activated(flags, STREAM_GOALS).count() == 4
+    tf = FT.org_time_features(ev).agg(*[F.avg(c).alias(c) for c in (
+        "day_of_week_mean", "day_of_week_std", "hour_of_day_mean", "hour_of_day_std", "trial_duration")]).first()
+    want = {"day_of_week_mean": 2.877400, "day_of_week_std": 1.995421, "hour_of_day_mean": 11.547894,
+            "hour_of_day_std": 6.877251, "trial_duration": 29.124376}
+    for k, v in want.items():
+        assert abs(tf[k] - v) < 1e-6, (k, tf[k])
