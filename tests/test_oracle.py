@@ -85,3 +85,27 @@ def test_known_answers_fixture_b_sf0001(spark):
             "hour_of_day_std": 6.877251, "trial_duration": 29.124376}
     for k, v in want.items():
         assert abs(tf[k] - v) < 1e-6, (k, tf[k])
+
+
+def test_known_answers_fixture_a_sf001(spark):
+    from pyspark.sql import functions as F
+    from __spark_entry__ import queries
+    from orgpulse.operators.features import split_bucket
+    from orgpulse.sources.adapters import fixture_a
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf}/orders.parquet"):
+        pytest.skip("test data not present")
+    q = queries()
+    days = {r.goal: r.avg_days for r in q["goal_times"](spark, sf).collect()}
+    want = {"urgent": 443.252834, "high": 583.314286, "medium": 618.448620, "low": 566.536719,
+            "unspecified": 490.531516}
+    assert all(abs(days[k] - v) < 1e-6 for k, v in want.items()), days
+    assert {r.activity_detail: r.engaged_orgs for r in q["feature_engagement"](spark, sf).collect()} == \
+        {"F": 718, "O": 721}
+    corr = {(r.col_a, r.col_b): r.corr for r in q["goal_correlation"](spark, sf).collect()}
+    assert abs(corr[("goal_urgent", "goal_high")] - 0.021845) < 1e-6
+    assert abs(corr[("goal_medium", "goal_low")] - (-0.032131)) < 1e-6
+    t = q["activation_times"](spark, sf).agg(F.count(F.lit(1)), F.avg("days_since_first")).first()
+    assert t[0] == 222 and abs(t[1] - 1760.423423) < 1e-6
+    orgs = fixture_a(spark, sf).select("organization_id").distinct()
+    assert orgs.filter(split_bucket("organization_id") < 20).count() == 302
