@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.timefns import seconds_between
-from orgpulse.operators.common import broadcast_if_small
+from orgpulse.operators.common import broadcast_if_small, largest_group
 
 FIRST_TS = "first_activity_timestamp"
 SINCE_FIRST = "time_since_first_activity"
@@ -37,7 +37,13 @@ def stage(events: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame
 
 
 def stage_window(events: DataFrame) -> DataFrame:
-    """Window form of :func:`stage` (W1), for inputs already partitioned by organization."""
+    """Window form of :func:`stage` (W1: ``min(ts) OVER (PARTITION BY organization)``).
+
+    A window partition is one task, so the largest organization is measured first; above
+    :data:`~orgpulse.operators.common.SINGLE_TASK_ROWS` events this returns :func:`stage`."""
+    from orgpulse.operators import common
+    if largest_group(events, [ORG]) > common.SINGLE_TASK_ROWS:
+        return stage(events)
     w = Window.partitionBy(ORG)
     first = F.min(TS).over(w)
     return events.select(

@@ -224,3 +224,10 @@ def test_null_organization_kept_as_a_group(raw_c, spark):
     assert {(r.organization_id, r.event_id) for r in marks} == {("A", 3), (None, 13)}
     times = {r.organization_id: r.seconds_since_first for r in J.activation_times(raw_c, invite).collect()}
     assert times == {"A": 60, None: 0}
+
+
+def test_window_staging_falls_back_above_the_bound(events_c, monkeypatch):
+    import orgpulse.operators.common as common
+    monkeypatch.setattr(common, "SINGLE_TASK_ROWS", 3)   # organization A has 8 events
+    got = {r.event_id: r.time_since_first_activity for r in stage_window(events_c).collect()}
+    assert got[7] == 172800 and len(got) == 14
