@@ -6,7 +6,10 @@ partial row per organization (counts, first match per goal, first/last event), s
 by the number of organizations, not events.  Each micro-batch (``foreachBatch``) rewrites the
 goals and activation marts from the complete aggregate with overwrite semantics.
 Distinct-detail goals need a distinct aggregate, which streaming does not support; use the
-batch operators for them.
+batch operators for them.  For many organizations, run the state store on RocksDB
+(``spark.sql.streaming.stateStore.providerClass`` =
+``org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``) and keep the
+checkpoint in the shared folder, so a restarted query resumes from its state.
 """
 
 from __future__ import annotations
