@@ -53,7 +53,12 @@ class GoalAnalytics:
         return metrics.goal_completion_rates(self.profile, self.goals)
 
     def feature_engagement_rates(self, goal: GoalSpec | None = None) -> DataFrame:
-        goal = goal or next(g for g in reversed(self.goals) if g.details)
+        """Per detail of ``goal`` (default: the last goal with a detail list)."""
+        if goal is None:
+            with_details = [g for g in self.goals if g.details]
+            if not with_details:
+                raise ValueError("no goal has a detail list; pass the goal to report on")
+            goal = with_details[-1]
         return metrics.feature_engagement(self.events, goal)
 
     def goal_achievement_times(self) -> DataFrame:
@@ -100,11 +105,13 @@ class GoalAnalytics:
     def report(self) -> dict:
         rate = self.trial_activation_rate().first()
         span = self.time_to_activation().first()
+        engagement = (self.as_dict(self.feature_engagement_rates(), "activity_detail", "rate")
+                      if any(g.details for g in self.goals) else {})
         return {
             "activation_rate": rate.activation_rate,
             "time_to_activation_days": span.avg_days,
             "goal_completion_rates": self.as_dict(self.goal_completion_rates(), "label", "rate"),
-            "feature_engagement_rates": self.as_dict(self.feature_engagement_rates(), "activity_detail", "rate"),
+            "feature_engagement_rates": engagement,
             "goal_achievement_days": self.as_dict(self.goal_achievement_times(), "label", "avg_days"),
         }
 

@@ -231,3 +231,17 @@ def test_window_staging_falls_back_above_the_bound(events_c, monkeypatch):
     monkeypatch.setattr(common, "SINGLE_TASK_ROWS", 3)   # organization A has 8 events
     got = {r.event_id: r.time_since_first_activity for r in stage_window(events_c).collect()}
     assert got[7] == 172800 and len(got) == 14
+
+
+def test_analytics_cli_prints_report(spark, events_c, capsys):
+    from orgpulse.plans.analytics import GoalAnalytics, main
+    from orgpulse.session import scratch_path
+    path = scratch_path(spark, "cli-events")
+    events_c.write.parquet(path)
+    assert main(["--events", path], spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "Trial activation rate: 25.00%" in out and "revenue: 50.00%" in out
+    no_details = GoalAnalytics(events_c, GOALS[:2])
+    assert no_details.report()["feature_engagement_rates"] == {}
+    with pytest.raises(ValueError):
+        no_details.feature_engagement_rates()
