@@ -23,6 +23,11 @@ TS = "timestamp"
 EVENT_COLUMNS = (EVENT_ID, ORG, NAME, DETAIL, TS)
 
 
+def repr_sql(value: str) -> str:
+    """A SQL string literal for a value without quotes or backslashes."""
+    return f"'{value}'"
+
+
 @dataclass(frozen=True)
 class GoalSpec:
     name: str
@@ -56,7 +61,17 @@ class GoalSpec:
         return f"first_s_{self.name}"
 
     def predicate(self) -> Column:
-        """Row predicate; an empty detail list means "no detail filter"."""
+        """Row predicate; an empty detail list means "no detail filter".
+
+        Compiled as one SQL expression (a single call into the JVM, where a Column built
+        value by value costs one call per literal); values holding a quote or backslash are
+        built as Columns instead, so no escaping rule is involved."""
+        values = (self.activity_name,) + tuple(self.details or ())
+        if not any(("'" in v) or ("\\" in v) for v in values):
+            sql = f"`{NAME}` = {repr_sql(self.activity_name)}"
+            if self.details:
+                sql += f" AND `{DETAIL}` IN ({', '.join(repr_sql(d) for d in self.details)})"
+            return F.expr(f"({sql})")
         pred = F.col(NAME) == F.lit(self.activity_name)
         if self.details:
             pred = pred & F.col(DETAIL).isin(list(self.details))

@@ -245,3 +245,18 @@ def test_analytics_cli_prints_report(spark, events_c, capsys):
     assert no_details.report()["feature_engagement_rates"] == {}
     with pytest.raises(ValueError):
         no_details.feature_engagement_rates()
+
+
+def test_predicate_sql_and_column_forms_agree(spark):
+    from pyspark.sql import functions as F
+    from orgpulse.functions.goals import GoalSpec
+    rows = [(1, "o", "Page.Viewed", "revenue", None), (2, "o", "Page.Viewed", None, None),
+            (3, "o", "It's", "a\\\\b", None), (4, "o", "It's", "x", None), (5, "o", None, "revenue", None)]
+    from conftest import EVENT_SCHEMA
+    df = spark.createDataFrame(rows, EVENT_SCHEMA)
+    plain = GoalSpec("p", "P", "Page.Viewed", ("revenue", "availability"), 1)
+    quoted = GoalSpec("q", "Q", "It's", ("a\\\\b",), 1)            # falls back to the Column form
+    assert [r.event_id for r in df.filter(plain.predicate()).collect()] == [1]
+    assert [r.event_id for r in df.filter(quoted.predicate()).collect()] == [3]
+    # NULL semantics: a NULL name or detail never matches, as with Column == / isin
+    assert df.filter(F.coalesce(plain.predicate(), F.lit(False))).count() == 1
