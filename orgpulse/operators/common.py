@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,25 @@ from orgpulse.session import materialize
 DEFAULT_BROADCAST_ROWS = int(os.environ.get("ORGPULSE_BROADCAST_ROWS", 1_000_000))
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+@contextmanager
+def released_after():
+    """Unpersist, on exit, the join sides that :func:`broadcast_if_small` persisted inside.
+
+        with released_after():
+            completing_events(events, goals).write.parquet(out)
+    """
+    start = len(_PERSISTED)
+    try:
+        yield
+    finally:
+        for df in _PERSISTED[start:]:
+            df.unpersist()
+        del _PERSISTED[start:]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int]:
     """Persist ``df`` (a per-organization aggregate or similar), count it, and mark it for
     broadcast only if it has at most ``max_rows`` rows (default :data:`DEFAULT_BROADCAST_ROWS`),
@@ -31,10 +51,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[Data
 
     The side is computed once (the count fills the cache, the join reads it).  Its lineage is
     deterministic, so partitions lost with an executor are recomputed to the same rows.  It
-    stays cached (memory, spilling to disk) until the session's cache is cleared; writing it
-    to the shared folder instead was measured 2-3 s slower per query at sf0.1."""
+    stays cached (memory, spilling to disk) until :func:`released_after` ends or the session's
+    cache is cleared; writing it to the shared folder instead was measured 2-3 s slower per
+    query at sf0.1."""
     max_rows = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
     n = df.count()
     # Above the bound a sort-merge join is pinned (Spark's own file-size rule could still pick
     # a broadcast); AQE then splits a skewed key's partition across tasks.

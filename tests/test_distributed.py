@@ -68,3 +68,12 @@ def test_describe_all_null_column(spark):
     rows = {(r.column_name, r.stat): (r.value, r.value_ts) for r in describe(df, ["n", "t"]).collect()}
     assert rows[("n", "count")] == (0.0, None) and rows[("n", "mean")] == (None, None)
     assert rows[("t", "mean")] == (None, None)
+
+
+def test_released_after_unpersists(spark):
+    from orgpulse.operators.common import released_after
+    with released_after():
+        side, n = broadcast_if_small(spark.range(5), max_rows=10)
+        assert n == 5 and side.storageLevel.useMemory
+        kept = side
+    assert not kept.storageLevel.useMemory and not kept.storageLevel.useDisk
