@@ -64,8 +64,25 @@ class GoalAnalytics:
     def goal_achievement_times(self) -> DataFrame:
         return metrics.goal_times(self.profile, self.goals)
 
-    def goal_achievement_probability(self, days: float) -> DataFrame:
-        return metrics.goal_reached_within_days(self.profile, self.goals, days)
+    advanced_features_rate = feature_engagement_rates
+
+    def goal_achievement_probability(self, *args) -> DataFrame:
+        """``(days)`` for every goal, or ``(goal, days)`` for one goal given by its short name
+        or its mart column (``goal_<name>``): the share of organizations that reached the goal
+        within ``days`` of their first event."""
+        if len(args) == 1:
+            goal, days = None, args[0]
+        elif len(args) == 2:
+            goal, days = args
+        else:
+            raise TypeError("goal_achievement_probability(days) or (goal, days)")
+        out = metrics.goal_reached_within_days(self.profile, self.goals, days)
+        if goal is None:
+            return out
+        names = {g.name: g.name for g in self.goals} | {g.column: g.name for g in self.goals}
+        if goal not in names:
+            raise ValueError(f"unknown goal {goal!r}")
+        return out.filter(out["goal"] == names[goal])
 
     # -- journeys and survival ----------------------------------------------------------
     def completing_events(self) -> DataFrame:

@@ -260,3 +260,16 @@ def test_predicate_sql_and_column_forms_agree(spark):
     assert [r.event_id for r in df.filter(quoted.predicate()).collect()] == [3]
     # NULL semantics: a NULL name or detail never matches, as with Column == / isin
     assert df.filter(F.coalesce(plain.predicate(), F.lit(False))).count() == 1
+
+
+def test_goal_achievement_probability_signatures(events_c):
+    from orgpulse.plans.analytics import GoalAnalytics
+    ga = GoalAnalytics(events_c)
+    assert ga.goal_achievement_probability(30).count() == 5
+    one = ga.goal_achievement_probability("goal_employee_invited", 30).collect()
+    assert [(r.goal, r.probability) for r in one] == [("employee_invited", 0.5)]
+    assert ga.goal_achievement_probability("punched_in", 0.5).first().probability == 0.0
+    assert ga.advanced_features_rate().count() == 2
+    with pytest.raises(ValueError):
+        ga.goal_achievement_probability("nope", 1)
+    ga.unpersist()
