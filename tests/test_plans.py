@@ -97,3 +97,18 @@ def test_hot_organization_matches_brute_force(spark):
                                                     F.max("first_activity_timestamp").alias("m")).collect()}
     want_first = ev.filter(F.col("organization_id") == "-1").agg(F.min("timestamp")).first()[0]
     assert firsts["-1"] == want_first
+
+
+def test_no_python_udfs_or_cartesian_products_in_any_query(spark):
+    """Every registered query stays JVM-side (no Python UDF evaluation) and pairs no row sets."""
+    from __spark_entry__ import queries
+    from orgpulse.operators.common import released_after
+    bad = []
+    for key, fn in queries().items():
+        with released_after():
+            plan = plan_of(fn(spark, "/root/testdata/sf0.001"))
+        for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct",
+                       "FlatMapGroupsInPandas", "MapInPandas"):
+            if marker in plan:
+                bad.append((key, marker))
+    assert not bad, bad
