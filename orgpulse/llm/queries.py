@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgpulse.llm import quality
+from orgpulse.llm import jaccard, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at Jaccard 0.9 on 3-word shingles over all ``documents``."""
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select(
+        "doc_id", "n_shingles", "component_id", "set_id")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of ``documents``, learnt from ``labels.quality``."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -20,6 +26,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op2_ngram_jaccard_join,
         op7_quality_classifier,
     )}
 
