@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgpulse.llm.text import SIGNS, flat, small_batches, tokens
+from orgpulse.llm.text import SIGNS, flat, pieces, small_batches, tokens
 
 BUCKETS, DIM, NONZERO, RADIUS = 1 << 15, 32, 2, 2
 #: Words pooled at once.
@@ -192,7 +192,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000,
     def pooled(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, w = shared.value
         for part in parts:
-            yield pa.array(list(_pool(part, table, w)), pa.list_(pa.float32()))
+            x = [row for piece in pieces(part) for row in _pool(piece, table, w)]
+            yield pa.array(x, pa.list_(pa.float32()))
 
     usable = (labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
               .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~_in_fold(F.col("_id"), folds, fold))
@@ -213,7 +214,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000,
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, w = shared.value
         for part in parts:
-            yield pa.array(net.probability(_pool(part, table, w)), pa.float64())
+            p = [net.probability(_pool(piece, table, w)) for piece in pieces(part)]
+            yield pa.array(np.concatenate([np.empty(0), *p]), pa.float64())
 
     return score
 

@@ -6,28 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgpulse.llm import jaccard, quality
+from orgpulse.llm import decontaminate, jaccard, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` of which a document contains 0.8 or more of the 5-word shingles."""
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at Jaccard 0.9 on 3-word shingles over all ``documents``."""
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select(
         "doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all ``documents``: sources weigh 5, 2, 1 in turn and share 150 % of all words."""
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of ``documents``, learnt from ``labels.quality``."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in shards 0 to 7 of a tree of regions and racks, by doc_id."""
+    return sharding.shard_plan(_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
+        op5_mixing,
         op7_quality_classifier,
+        op9_sharding,
     )}
 
 

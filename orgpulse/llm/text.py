@@ -115,3 +115,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str,
         step = max(1, int(batch.num_rows * most_bytes / max(size, 1))) if size > most_bytes else max(1, batch.num_rows)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def pieces(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+    """The same for a column on its own."""
+    step = max(1, int(len(column) * most_bytes / max(column.nbytes, 1)))
+    for start in range(0, len(column), step):
+        yield column.slice(start, step)
