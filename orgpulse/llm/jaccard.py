@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.llm.components import connected_components
 from orgpulse.llm.scratch import Scratch
-from orgpulse.llm.text import flat, shingles, small_batches, tokens
+from orgpulse.llm.text import flat, pieces, shingles, small_batches, tokens
 
 #: Counters of the document-frequency table.
 BINS = 1 << 18
@@ -194,23 +194,46 @@ def verified_links(signed: DataFrame, docs: DataFrame, n: int, num: int, den: in
     return sets, links.union(more)
 
 
-def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, set_id, component_id (see the module)."""
+def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, sig (hash of its set), set_id, component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.keep(signatures(docs, n, num, den))
     sets, links = verified_links(signed, docs, n, num, den, scratch)
     joined = connected_components(links, scratch)
     classes = sets.join(joined, F.col("set_id") == F.col("node"), "left").select(
-        F.col("sig"), "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
+        "sig", "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
+    named = F.col("doc_id").isNotNull()
     return signed.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("set_id", "doc_id")).alias("set_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", "sig", F.when(named, F.coalesce("set_id", "doc_id")).alias("set_id"),
+        F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, set_id, component_id (see the module)."""
+    return _placed(docs, n, num, den).drop("sig")
+
+
+def _signature_of(n: int):
+    @F.arrow_udf("binary")
+    def signature(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([xxhash.xxh3_128_digest(own.tobytes()) for piece in pieces(part)
+                            for own in _sets(piece, n)], pa.binary())
+
+    return signature
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` without the rows whose document is not the smallest doc_id of its component; rows with
-    a null doc_id stay.  Rows that repeat a kept document's doc_id and text stay too."""
-    found = similar_documents(docs.select("doc_id", "text"), n, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of ``docs``, all columns, that remain when one of each component stays: the smallest
+    doc_id, and of rows with that doc_id one.  Documents without shingles or doc_id stay."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = scratch.keep(_placed(docs.select("doc_id", "text"), n, num, den).where("doc_id is not null and n_shingles > 0"))
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sig")).alias("best"))
+    gone = found.join(best, "component_id").where(F.struct("doc_id", "sig") != F.col("best")).select("doc_id", "sig").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                       _signature_of(n)(F.col("text")).alias("sig")).join(gone, ["doc_id", "sig"], "left_anti")
+    twice = scratch.keep(found.groupBy("doc_id", "sig").count().where("count > 1").select("doc_id", "sig"))
+    if not twice.isEmpty():
+        one = rows.join(twice, ["doc_id", "sig"], "left_semi").groupBy("doc_id", "sig").agg(F.first("row").alias("row"))
+        rows = rows.join(twice, ["doc_id", "sig"], "left_anti").select("row").union(one.select("row"))
+    return rows.select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgpulse.llm import decontaminate, jaccard, mixing, quality, sharding
+from orgpulse.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and conversation -7, formatted and read back."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], given.schema)
+    return chat.digests(chat.format_chats(chat.from_turns(given.union(added)))).withColumnRenamed("tree", "conv_id")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all ``documents``, by Dice 0.8 over word bigrams."""
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents``: sources weigh 5, 2, 1 in turn and share 150 % of all words."""
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
@@ -43,6 +56,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination,
         op2_ngram_jaccard_join,
+        op3_chat_formatting,
+        op4_license_scan,
         op5_mixing,
         op7_quality_classifier,
         op9_sharding,
