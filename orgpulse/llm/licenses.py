@@ -65,8 +65,9 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(g) for _, g in known), max(len(g) for _, g in known)
     words = F.filter(F.split(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    grams = F.array_distinct(F.transform(
-        F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1))))
+    pairs = F.size("words") - 1
+    grams = F.array_distinct(F.zip_with(
+        F.slice("words", 1, pairs), F.slice("words", 2, pairs), lambda a, b: F.concat_ws(" ", a, b)))
     scores = F.array_compact(F.array(*[
         F.when((F.col("n") >= len(g) * low - 1e-9) & (F.col("n") <= len(g) * high + 1e-9), F.struct(
             F.lit(name).alias("license_id"),
