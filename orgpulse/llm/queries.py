@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgpulse.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding
+from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 over all ``embeddings``."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of ``documents``, learnt from ``labels.quality``."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,6 +64,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_chat_formatting,
         op4_license_scan,
         op5_mixing,
+        op6_embedding_near_dedup,
         op7_quality_classifier,
         op9_sharding,
     )}
