@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding
+from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, lines, mixing, passages, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +53,24 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without globally repeated multi-line chunks, as digests of what remains."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "removed_lines", "removed_chunks",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in shards 0 to 7 of a tree of regions and racks, by doc_id."""
     return sharding.shard_plan(_table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the bytes of 100-byte strings that also start earlier."""
+    return passages.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination,
@@ -66,7 +80,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_mixing,
         op6_embedding_near_dedup,
         op7_quality_classifier,
+        op8_line_dedup,
         op9_sharding,
+        op10_passage_dedup,
     )}
 
 
