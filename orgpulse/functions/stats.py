@@ -37,7 +37,9 @@ def pearson_from_moments(n, sx, sy, sxx, syy, sxy) -> Column:
     vx = n * sxx - sx * sx
     vy = n * syy - sy * sy
     den = F.sqrt(vx.cast("double")) * F.sqrt(vy.cast("double"))
-    return F.try_divide(cov.cast("double"), F.when(den > 0, den))
+    ratio_ = F.try_divide(cov.cast("double"), F.when(den > 0, den))
+    # rounding may leave [-1, 1]; least and greatest skip NULL, so it is kept apart
+    return F.when(ratio_.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio_)))
 
 
 # Fixed value: two-sided 95 % standard-normal quantile used by the survival confidence band.

@@ -1,8 +1,8 @@
 """Distribution helpers shared by the operators.
 
-* :func:`broadcast_if_small` — broadcast a join side only after its row count is measured
-  against an explicit bound; above the bound the join stays a shuffle join (AQE may still
-  split skewed partitions).
+* :func:`broadcast_if_small` — broadcast a join side only after its rows and bytes are measured
+  against explicit bounds; above them the join stays a shuffle join (AQE may still split
+  skewed partitions).
 * :func:`running_totals` — exact running sums over a sorted key without funnelling a group
   into one task: range-partition, per-partition totals, a small offset table, local windows.
 * :func:`unpivot_structs` — wide one-row aggregates to long ``(name, …)`` rows.
@@ -10,62 +10,68 @@
 
 from __future__ import annotations
 
-import os
-from contextlib import contextmanager
+import weakref
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgpulse.session import materialize
 
-# Rows a broadcast side may have.  Sides passed here are narrow (a key and a few numbers),
-# so this bounds the broadcast to a few tens of MB per executor.  ORGPULSE_BROADCAST_ROWS=0
-# forces the shuffle-join path (used to check that path on small data).
-DEFAULT_BROADCAST_ROWS = int(os.environ.get("ORGPULSE_BROADCAST_ROWS", 1_000_000))
+# Bounds of a broadcast side.  A session can override them with the settings
+# ``spark.orgpulse.broadcastRows`` and ``spark.orgpulse.broadcastBytes`` (0 rows forces the
+# shuffle-join path, used to check that path on small data).
+DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-_PERSISTED: list[DataFrame] = []
+def _setting(spark: SparkSession, name: str, default: int) -> int:
+    return int(spark.conf.get(f"spark.orgpulse.{name}", str(default)))
 
 
-@contextmanager
-def released_after():
-    """Unpersist, on exit, the join sides that :func:`broadcast_if_small` persisted inside.
-
-        with released_after():
-            completing_events(events, goals).write.parquet(out)
-    """
-    start = len(_PERSISTED)
+def _unpersist(jdf) -> None:
     try:
-        yield
-    finally:
-        for df in _PERSISTED[start:]:
-            df.unpersist()
-        del _PERSISTED[start:]
+        jdf.unpersist(False)
+    except Exception:  # the session has ended, and its cache with it
+        pass
+
+
+def holding(result: DataFrame, *sides: DataFrame) -> DataFrame:
+    """``result``, keeping the cached join ``sides`` it reads for as long as it is referenced."""
+    result._orgpulse_sides = sides
+    return result
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Persist ``df`` (a per-organization aggregate or similar), count it, and mark it for
-    broadcast only if it has at most ``max_rows`` rows (default :data:`DEFAULT_BROADCAST_ROWS`),
-    else for a sort-merge join.
-
-    The side is computed once (the count fills the cache, the join reads it).  Its lineage is
-    deterministic, so partitions lost with an executor are recomputed to the same rows.  It
-    stays cached (memory, spilling to disk) until :func:`released_after` ends or the session's
-    cache is cleared; writing it to the shared folder instead was measured 2-3 s slower per
-    query at sf0.1."""
-    max_rows = DEFAULT_BROADCAST_ROWS if max_rows is None else max_rows
+    """Cache ``df`` (a per-organization aggregate or similar), measure it, and mark it for broadcast
+    only if it has at most ``max_rows`` rows (default :data:`DEFAULT_BROADCAST_ROWS`) and
+    :data:`DEFAULT_BROADCAST_BYTES` bytes of values, else for a sort-merge join.
+
+    The side is computed once (the measuring fills the cache, the join reads it).  Its lineage is
+    deterministic, so partitions lost with an executor, or dropped from the cache, are recomputed to
+    the same rows.  The cache is released when the returned frame, and the result that
+    :func:`holding` ties it to, are no longer referenced."""
+    spark = df.sparkSession
+    most = _setting(spark, "broadcastRows", DEFAULT_BROADCAST_ROWS) if max_rows is None else max_rows
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(df)
-    n = df.count()
-    # Above the bound a sort-merge join is pinned (Spark's own file-size rule could still pick
+    weakref.finalize(df, _unpersist, df._jdf).atexit = False
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t in ("string", "binary") else F.lit(8)
+                 for c, t in df.dtypes), F.lit(0).cast("bigint"))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    small = n <= most and size <= _setting(spark, "broadcastBytes", DEFAULT_BROADCAST_BYTES)
+    # Above the bounds a sort-merge join is pinned (Spark's own file-size rule could still pick
     # a broadcast); AQE then splits a skewed key's partition across tasks.
-    return (F.broadcast(df) if n <= max_rows else df.hint("merge")), n
+    return holding(F.broadcast(df) if small else df.hint("merge"), df), n
 
 
 # Rows one window task may hold when a running total is computed per group in one task.
-# ORGPULSE_SINGLE_TASK_ROWS=0 forces the two-level path.
-SINGLE_TASK_ROWS = int(os.environ.get("ORGPULSE_SINGLE_TASK_ROWS", 2_000_000))
+# The setting ``spark.orgpulse.singleTaskRows`` overrides it; 0 forces the two-level path.
+SINGLE_TASK_ROWS = 2_000_000
+
+
+def single_task_rows(spark: SparkSession) -> int:
+    return _setting(spark, "singleTaskRows", SINGLE_TASK_ROWS)
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
@@ -75,8 +81,7 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[str],
-                   parts: int | None = None, few_groups: bool = True,
-                   single_task_rows: int | None = None, largest: int | None = None) -> DataFrame:
+                   parts: int | None = None, single_task_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same ``by`` group up to and including
     the current row in ``order`` (order keys must be unique within a group).
 
@@ -88,9 +93,12 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
     running sums, and a table of per-partition totals (at most ``parts`` + groups rows)
     supplies each partition's offset.  The partition id is read once and frozen in a table
     written to the shared folder, so a recomputation (lost executor, stage retry) cannot
-    reassign it.
+    reassign it.  Both paths treat a NULL group key as a group of its own; the offsets are
+    broadcast only within the measured bounds of :func:`broadcast_if_small`.
     """
-    bound = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    spark = df.sparkSession
+    most_in_one_task = _setting(spark, "singleTaskRows", SINGLE_TASK_ROWS)
+    bound = most_in_one_task if single_task_rows is None else single_task_rows
     if bound > 0:
         if largest is None:
             largest = largest_group(df, by)
@@ -98,7 +106,6 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
             w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if by \
                 else Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
             return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums])
-    spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(parts, *[F.col(c) for c in by + order])
               .withColumn("_pid", F.spark_partition_id()))
@@ -110,10 +117,13 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], sums: list[st
         F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums])
     upto = Window.partitionBy(*seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(c).over(upto).alias(f"_loc_{c}") for c in sums])
-    joined = local.join(F.broadcast(offsets) if few_groups else offsets, seg)
+    keys = {c: f"_off_key_{i}" for i, c in enumerate(seg)}
+    offsets, _ = broadcast_if_small(offsets.withColumnsRenamed(keys))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    joined = local.join(offsets, same)
     out_cols = [F.col(c) for c in df.columns]
     out_cols += [(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"cum_{c}") for c in sums]
-    return joined.select(*out_cols)
+    return holding(joined.select(*out_cols), offsets)
 
 
 def unpivot_structs(df: DataFrame, rows: list[Column]) -> DataFrame:

@@ -21,7 +21,7 @@ from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS, GoalSpec,
     with_distinct_detail_goals
 from orgpulse.functions.stats import ratio
 from orgpulse.functions.timefns import SECONDS_PER_DAY, seconds_between
-from orgpulse.operators.common import broadcast_if_small, running_totals
+from orgpulse.operators.common import broadcast_if_small, holding, running_totals
 from orgpulse.operators.goals import FIRST, org_goal_profile
 from orgpulse.operators.staging import org_first_activity
 
@@ -71,7 +71,7 @@ def goal_reach_events(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame
         # Spark infers no group limit for so large a K: count exactly with the two-level
         # running total, which range-splits a huge (organization, goal) group
         counted = running_totals(matched.withColumn("_one", F.lit(1).cast("bigint")), by=[ORG, "_g"],
-                                 order=[TS, EVENT_ID], sums=["_one"], few_groups=False)
+                                 order=[TS, EVENT_ID], sums=["_one"])
         reached = counted.filter(F.col("cum__one") == k_of_goal)
     return reached.select(ORG, _pick([g.name for g in goals], F.col("_g")).alias(GOAL), EVENT_ID, TS)
 
@@ -96,8 +96,8 @@ def completing_events(events: DataFrame, goals: Sequence[GoalSpec],
     marks, _ = broadcast_if_small(marks, max_broadcast_rows)
     # null-safe on the organization: a NULL organization (null_org="keep") is a group too
     on = events[ORG].eqNullSafe(marks["_org"]) & (events[EVENT_ID] == marks["_eid"])
-    return (events.join(marks, on, "left")
-            .select(EVENT_ID, ORG, NAME, DETAIL, TS, F.coalesce(F.col("_c"), F.lit(False)).alias(COMPLETES)))
+    return holding(events.join(marks, on, "left")
+                   .select(EVENT_ID, ORG, NAME, DETAIL, TS, F.coalesce(F.col("_c"), F.lit(False)).alias(COMPLETES)), marks)
 
 
 def activation_times(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
@@ -121,15 +121,17 @@ def completing_event_rate(events: DataFrame, goals: Sequence[GoalSpec]) -> DataF
                     (ratio("activated_orgs", "total_orgs") * F.lit(100.0)).alias("percent")))
 
 
-def time_to_goal(events: DataFrame, goals: Sequence[GoalSpec], distinct_for_details: bool = True) -> DataFrame:
+def time_to_goal(events: DataFrame, goals: Sequence[GoalSpec], distinct_for_details: bool = True,
+                 with_label: bool = False) -> DataFrame:
     """M9: per organization and reached goal, days from the first event to the first matching
     event (T3).  With ``distinct_for_details`` goals that have a detail list count distinct
-    details, as the survival analysis does (T2).  Long form: organization_id, goal, days."""
+    details, as the survival analysis does (T2).  Long form: organization_id, goal, days, and with
+    ``with_label`` the goal's label, by which curves can be grouped."""
     specs = with_distinct_detail_goals(goals) if distinct_for_details else tuple(goals)
     profile = org_goal_profile(events, specs)
-    rows = [F.struct(F.lit(g.name).alias(GOAL),
+    rows = [F.struct(F.lit(g.name).alias(GOAL), F.lit(g.label).alias("label"),
                      (F.col(g.count_column) >= g.min_count).alias("_met"),
                      (seconds_between(F.col(FIRST), F.col(g.first_ts_column)) / F.lit(SECONDS_PER_DAY))
                      .alias("days")) for g in specs]
     return (profile.select(ORG, F.inline(F.array(*rows)))
-            .filter(F.col("_met")).drop("_met"))
+            .filter(F.col("_met")).drop("_met", *([] if with_label else ["label"])))

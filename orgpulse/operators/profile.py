@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from orgpulse.functions.stats import pearson_from_moments
 from orgpulse.functions.timefns import micros_between
-from orgpulse.operators.common import running_totals
+from orgpulse.operators.common import broadcast_if_small, holding, running_totals
+from orgpulse.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
@@ -36,26 +37,23 @@ def exact_quantiles(long: DataFrame, key: str, value: str, probs: Sequence[float
     Returns ``key, prob, lo_value, hi_value, frac``; the quantile is
     ``lo_value + frac * (hi_value - lo_value)`` (left to the caller, which knows the type)."""
     vals = long.filter(F.col(value).isNotNull())
-    vc = vals.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    # read three times below: written once
+    vc = materialize(vals.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
     cum = running_totals(vc, by=[key], order=[value], sums=["_c"]) \
         .select(key, value, (F.col("cum__c") - F.col("_c")).alias("_from"), F.col("cum__c").alias("_to"))
     targets = (vc.groupBy(key).agg(F.sum("_c").alias("_n"))
                .select(key, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "_n")
                .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("prob"))
-               .select(key, "prob", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"),
+               .select(F.col(key).alias("_key"), "prob", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"),
                        (F.col("_pos") - F.floor("_pos")).alias("frac")))
-
-    def at(rank: str, out: str) -> DataFrame:
-        # targets has (#keys × #probs) rows — a proven bound — so it is broadcast and the
-        # ranked distinct values are streamed once, without a shuffle on the few keys.
-        t = F.broadcast(targets.select(F.col(key).alias("_key"), "prob", rank))
-        return (cum.join(t, (cum[key] == t["_key"]) & (cum["_from"] <= t[rank]) & (t[rank] < cum["_to"]))
-                .select(F.col("_key").alias(key), "prob", F.col(value).alias(out)))
-
-    # both lookups have one row per target: broadcast joins of bounded sides
-    return (targets.join(F.broadcast(at("_lo", "lo_value")), [key, "prob"])
-            .join(F.broadcast(at("_hi", "hi_value")), [key, "prob"])
-            .select(key, "prob", "lo_value", "hi_value", "frac"))
+    # targets has (#keys × #probs) rows, a measured bound: it is broadcast and the ranked distinct
+    # values are streamed once; a value's rank range holds the lower rank, the upper one, or both
+    small, _ = broadcast_if_small(targets)
+    hit = lambda rank: (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_to"))
+    found = cum.join(small, F.col(key).eqNullSafe(F.col("_key")) & (hit("_lo") | hit("_hi")))
+    return holding(found.groupBy(F.col("_key").alias(key), "prob").agg(
+        F.max(F.when(hit("_lo"), F.col(value))).alias("lo_value"),
+        F.max(F.when(hit("_hi"), F.col(value))).alias("hi_value"), F.first("frac").alias("frac")), small, cum)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -76,7 +74,11 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             else:
                 raise ValueError(f"describe: {f.name} is {f.dataType.simpleString()}, not numeric or datetime")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    as_num = {c: (micros_between(epoch, F.col(c).cast("timestamp_ntz")) if k == "ts" else F.col(c).cast("double"))
+    def numeric(c: str) -> F.Column:  # NaN counts as missing
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
+
+    as_num = {c: (micros_between(epoch, F.col(c).cast("timestamp_ntz")) if k == "ts" else numeric(c))
               for c, k in kinds.items()}
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), as_num[c].cast("double").alias("v")) for c in kinds])))
@@ -129,13 +131,17 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair of integer columns (0/1 goal flags),
-    long form ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error).
+    long form ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error).  Columns of
+    other types are rejected: their moments would not be exact.
 
     One aggregate pass collects the raw moments (n, sums, cross products of the upper
     triangle); they are unpivoted to one row per ordered pair, so the correlation formula is
     a single small expression applied to len(columns)^2 rows.  The many similar expressions
     are given as SQL text (one JVM call each)."""
     columns = list(columns)
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType)):
+            raise ValueError(f"correlation_matrix: {c} is {df.schema[c].dataType.simpleString()}, not an integer column")
     q = ["`" + c.replace("`", "``") + "`" for c in columns]
     aggs = ["count(1) AS _n"] + [f"sum(CAST({c} AS BIGINT)) AS _s{i}" for i, c in enumerate(q)]
     aggs += [f"sum(CAST({q[i]} AS BIGINT) * CAST({q[j]} AS BIGINT)) AS _p{i}_{j}"

@@ -90,11 +90,14 @@ def check_org_coverage(tables: TableSet) -> DataFrame:
 def org_intersection(tables: TableSet) -> DataFrame:
     """V6: organization ids agree over raw, staging and goals: equal distinct counts and an
     intersection as large as the raw set."""
-    raw, stg, gls = (tables.table(n).select(ORG) for n in ("raw", "staging", "goals"))
-    counts = _one_row(raw.agg(F.count_distinct(ORG).alias("raw_orgs")),
-                      stg.agg(F.count_distinct(ORG).alias("staging_orgs")),
-                      gls.agg(F.count_distinct(ORG).alias("goal_orgs")),
-                      raw.intersect(stg).intersect(gls).agg(F.count(F.lit(1)).alias("common_orgs")))
+    # one row per organization and table after map-side combining, then one count per organization
+    names = ("raw", "staging", "goals")
+    tagged = reduce(lambda a, b: a.union(b), [
+        tables.table(n).select(ORG, *[F.lit(int(n == m)).alias(m) for m in names]) for n in names])
+    per_org = tagged.groupBy(ORG).agg(*[F.max(n).alias(n) for n in names])
+    named = F.col(ORG).isNotNull()
+    counts = per_org.agg(*[F.count_if(named & (F.col(n) == 1)).alias(f"{n.replace('goals', 'goal')}_orgs") for n in names],
+                         F.count_if(reduce(lambda a, b: a & b, [F.col(n) == 1 for n in names])).alias("common_orgs"))
     c = F.col
     return _checks(counts, [_row("raw_orgs", c("raw_orgs")),
                             _row("staging_orgs", c("staging_orgs"), c("raw_orgs")),
@@ -155,10 +158,16 @@ def tables_not_empty(tables: TableSet) -> DataFrame:
 
 def check_goal_totals(tables: TableSet, goals: Sequence[GoalSpec]) -> DataFrame:
     """Per goal, organizations meeting it recomputed from the staging rows with the raw
-    predicate (``SUM(CASE …) >= k``) equal the goals mart's total."""
-    per_org = tables.table("staging").groupBy(ORG).agg(*[
-        (F.sum(F.when(g.predicate(), 1).otherwise(0)) >= g.min_count).cast("int").alias(g.column)
-        for g in goals])
+    predicate (``SUM(CASE …) >= k``, or as many distinct details) equal the goals mart's total."""
+    def reached(g: GoalSpec) -> Column:
+        if g.distinct_details:
+            found = reduce(lambda a, b: a + b, [
+                F.max(F.when(g.predicate() & (F.col(DETAIL) == d), 1).otherwise(0)) for d in sorted(set(g.details))])
+        else:
+            found = F.sum(F.when(g.predicate(), 1).otherwise(0))
+        return (found >= g.min_count).cast("int").alias(g.column)
+
+    per_org = tables.table("staging").groupBy(ORG).agg(*[reached(g) for g in goals])
     recomputed = per_org.agg(*[F.sum(g.column).alias(f"r_{g.name}") for g in goals])
     mart = tables.table("goals").agg(*[F.sum(g.column).alias(f"m_{g.name}") for g in goals])
     return _checks(_one_row(recomputed, mart), [

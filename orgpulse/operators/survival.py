@@ -4,6 +4,7 @@ Input is a durations frame ``(group, duration[, observed])``.  Durations are fir
 distinct times per group; the running sums that define the at-risk count, the product-limit
 estimate (as a sum of logs) and Greenwood's variance term are computed by the two-level
 :func:`running_totals`, so a long curve is spread over range partitions instead of one task.
+A NULL group is a group of its own; a NULL duration or observed flag fails the job.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.functions.stats import Z_95
-from orgpulse.operators.common import largest_group, running_totals
+from orgpulse.operators.common import broadcast_if_small, holding, largest_group, running_totals
+from orgpulse.session import materialize
 
 T_COL = "t"
 
 
 def _event_table(durations: DataFrame, group: str, duration: str, observed: str | None):
     """Event table with the group size ``_N``, and the row count of the largest group."""
-    obs = F.col(observed).cast("bigint") if observed else F.lit(1).cast("bigint")
-    d = durations.select(F.col(group), F.col(duration).cast("double").alias(T_COL), obs.alias("_o"))
-    per_t = d.groupBy(group, T_COL).agg(F.count(F.lit(1)).alias("removed"), F.sum("_o").alias("observed"))
+    def required(c: F.Column, name: str) -> F.Column:
+        return F.when(c.isNull(), F.raise_error(F.lit(f"survival: NULL in column {name}"))).otherwise(c)
+
+    obs = required(F.col(observed).cast("bigint"), observed) if observed else F.lit(1).cast("bigint")
+    d = durations.select(F.col(group), required(F.col(duration).cast("double"), duration).alias(T_COL), obs.alias("_o"))
+    # small (groups x distinct times) and read several times below: written once
+    per_t = materialize(d.groupBy(group, T_COL).agg(F.count(F.lit(1)).alias("removed"), F.sum("_o").alias("observed")),
+                        "survival-times")
     sizes = per_t.groupBy(group).agg(F.sum("removed").alias("_N"))
     zero = sizes.select(group, F.lit(0.0).alias(T_COL), F.lit(0).cast("bigint").alias("removed"),
                         F.lit(0).cast("bigint").alias("observed"))
@@ -29,18 +36,20 @@ def _event_table(durations: DataFrame, group: str, duration: str, observed: str
         .agg(F.sum("removed").alias("removed"), F.sum("observed").alias("observed"))
     largest = largest_group(table, [group])
     cum = running_totals(table, by=[group], order=[T_COL], sums=["removed"], largest=largest)
-    out = (cum.join(sizes, group)
+    sizes, _ = broadcast_if_small(sizes.withColumnRenamed(group, "_group"))
+    out = (cum.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
             .select(group, T_COL, "removed", "observed",
                     (F.col("removed") - F.col("observed")).alias("censored"),
                     F.when(F.col(T_COL) == 0.0, F.col("_N")).otherwise(F.lit(0)).cast("bigint").alias("entrance"),
                     (F.col("_N") - F.col("cum_removed") + F.col("removed")).alias("at_risk"), "_N"))
-    return out, largest
+    return holding(out, sizes, cum), largest
 
 
 def event_table(durations: DataFrame, group: str, duration: str, observed: str | None = None) -> DataFrame:
     """K1: per group and distinct time (plus time 0): removed, observed, censored, entrance,
     at_risk — the layout of a product-limit fitter's event table."""
-    return _event_table(durations, group, duration, observed)[0].drop("_N")
+    table = _event_table(durations, group, duration, observed)[0]
+    return holding(table.drop("_N"), table)
 
 
 def _curve(durations: DataFrame, group: str, duration: str, observed: str | None) -> DataFrame:
@@ -65,12 +74,13 @@ def _curve(durations: DataFrame, group: str, duration: str, observed: str | None
     sums = running_totals(terms, by=[group], order=[T_COL], sums=["_lc", "_gw"], largest=largest)
     correction = F.exp(F.col("cum__lc") - F.col("_lc"))
     surv = F.col("_m").cast("double") / F.col("_N").cast("double") * correction
-    return sums.select(group, T_COL, surv.alias("survival"), F.col("cum__gw").alias("_v"))
+    return holding(sums.select(group, T_COL, surv.alias("survival"), F.col("cum__gw").alias("_v")), table, sums)
 
 
 def km_curve(durations: DataFrame, group: str, duration: str, observed: str | None = None) -> DataFrame:
     """K2: Kaplan–Meier S(t) per group at every time of the event table."""
-    return _curve(durations, group, duration, observed).drop("_v")
+    curve = _curve(durations, group, duration, observed)
+    return holding(curve.drop("_v"), curve)
 
 
 def km_band(durations: DataFrame, group: str, duration: str, observed: str | None = None,
@@ -82,6 +92,6 @@ def km_band(durations: DataFrame, group: str, duration: str, observed: str | Non
     inner = F.log(-ln_s)
     spread = F.lit(z) * F.sqrt(F.col("_v")) / ln_s
     defined = (F.col("survival") > 0.0) & (F.col("survival") < 1.0)
-    return s.select(group, T_COL, "survival",
-                    F.when(defined, F.exp(-F.exp(inner - spread))).alias("lower"),
-                    F.when(defined, F.exp(-F.exp(inner + spread))).alias("upper"))
+    return holding(s.select(group, T_COL, "survival",
+                            F.when(defined, F.exp(-F.exp(inner - spread))).alias("lower"),
+                            F.when(defined, F.exp(-F.exp(inner + spread))).alias("upper")), s)

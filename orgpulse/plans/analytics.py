@@ -134,7 +134,7 @@ class GoalAnalytics:
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
-    """Print the activation report for a staged or raw event table written as parquet.
+    """Print the report of a staged or raw event table written as parquet: section, name and value.
 
         python -m orgpulse.plans.analytics --events /shared/marts/raw
     """
@@ -148,15 +148,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     own = spark is None
     spark = spark or build_session()
     ga = GoalAnalytics(spark.read.parquet(args.events))
-    rep = ga.report()
-    print(f"Trial activation rate: {rep['activation_rate']:.2%}")
-    print(f"Average time to activation: {rep['time_to_activation_days']:.2f} days")
-    for title, key, fmt in (("Goal completion rates", "goal_completion_rates", "{:.2%}"),
-                            ("Feature engagement rates", "feature_engagement_rates", "{:.2%}"),
-                            ("Goal achievement times (days)", "goal_achievement_days", "{:.2f}")):
-        print(f"\n{title}:")
-        for name, value in rep[key].items():
-            print(f"  {name}: {'n/a' if value is None else fmt.format(value)}")
+    for section, values in ga.report().items():
+        for name, value in (values.items() if isinstance(values, dict) else [("", values)]):
+            print(f"{section}\t{name}\t{'' if value is None else format(value, '.6g')}")
     ga.unpersist()
     if own:
         spark.stop()

@@ -7,15 +7,16 @@ checkpoint folder — and continues from the written copies.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgpulse.functions.goals import ORG, GoalSpec
+from orgpulse.operators import quality
 from orgpulse.operators.goals import fully_activated, goal_flags, org_goal_profile
 from orgpulse.operators.staging import stage
-from orgpulse.session import scratch_path
+from orgpulse.session import drop_scratch, scratch_path
 from orgpulse.sources.csv import normalize_org
 from orgpulse.sources.sinks import write_and_read
 from orgpulse.sources.tables import TableSet
@@ -49,15 +50,35 @@ def write_marts(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec
     return TableSet(written)
 
 
+def checked(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec],
+            check: Callable[[TableSet], DataFrame], null_org: str = "nan") -> DataFrame:
+    """Build the marts once in a scratch folder, run ``check`` on the written tables, and delete them.
+    The result is the check's few rows (one per thing checked)."""
+    base = scratch_path(spark, "marts")
+    try:
+        rows = check(write_marts(spark, events, goals, base, null_org))
+        return spark.createDataFrame(rows.collect(), rows.schema)
+    finally:
+        drop_scratch(spark, base)
+
+
+def all_checks(tables: TableSet, goals: Sequence[GoalSpec]) -> list[DataFrame]:
+    """Every check of the build (V1-V11) on its written tables."""
+    staging = tables.table("staging")
+    return [quality.table_counts(tables), quality.check_nulls(staging), quality.check_time_range(staging),
+            quality.check_org_coverage(tables), quality.org_intersection(tables), quality.check_atomic_values(staging),
+            quality.check_flag_domain(tables.table("goals"), goals), quality.check_constraints(tables, goals),
+            quality.tables_not_empty(tables), quality.check_goal_totals(tables, goals)]
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
-    """Build the marts from a raw CSV export and print the build checks.
+    """Build the marts from a raw CSV export, run every check on them and print the results.
 
         python -m orgpulse.plans.marts --csv events.csv --out /shared/marts
     """
     import argparse
 
     from orgpulse.functions.goals import REFERENCE_GOALS
-    from orgpulse.operators import quality
     from orgpulse.session import build_session
     from orgpulse.sources.csv import read_events_csv
 
@@ -65,17 +86,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     ap.add_argument("--csv", required=True, help="raw export (file, folder or glob)")
     ap.add_argument("--out", required=True, help="folder for raw, staging, goals, activation")
     ap.add_argument("--null-org", default="nan", choices=["nan", "keep", "reject"])
+    ap.add_argument("--multi-line", action="store_true", help="quoted values may hold line feeds")
     args = ap.parse_args(argv)
 
     own = spark is None
     spark = spark or build_session()
-    events = read_events_csv(spark, args.csv, null_org=args.null_org)
+    events = read_events_csv(spark, args.csv, null_org=args.null_org, multi_line=args.multi_line)
     tables = write_marts(spark, events, REFERENCE_GOALS, args.out, null_org=args.null_org)
     failed = 0
-    for check in (quality.table_counts(tables), quality.check_org_coverage(tables)):
+    for check in all_checks(tables, REFERENCE_GOALS):
         for r in check.collect():
             failed += not r.passed
-            print(f"{r.check:28s} {r.observed:>14} expected {r.expected}  {'ok' if r.passed else 'FAILED'}")
+            values = ", ".join(f"{k} {v}" for k, v in r.asDict().items() if k not in ("check", "passed"))
+            print(f"{r.check:48s} {'ok' if r.passed else 'FAILED'}  {values}")
     if own:
         spark.stop()
     return 1 if failed else 0

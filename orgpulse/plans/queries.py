@@ -20,17 +20,19 @@ from orgpulse.operators import metrics as M
 from orgpulse.operators import profile as P
 from orgpulse.operators import quality as Q
 from orgpulse.operators import survival as S
-from orgpulse.operators.staging import stage
-from orgpulse.plans.marts import build_tables, raw_events
+from orgpulse.operators.common import consecutive_ids
+from orgpulse.operators.staging import stage, stage_window
+from orgpulse.plans.marts import checked, raw_events, write_marts
 from orgpulse.plans.oracle_sql import (
     A_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
     profile_cte, running_marks_cte, with_ctes,
 )
 from orgpulse.plans.registry import register
 from orgpulse.session import scratch_path
-from orgpulse.sources.adapters import ORDER_GOALS, STREAM_GOALS, fixture_a, fixture_b
+from orgpulse.sources.adapters import ORDER_GOALS, STREAM_GOALS, fixture_a, fixture_b, orders_as_events
 from orgpulse.sources.csv import read_events_csv, write_events_csv
 from orgpulse.sources.sinks import write_and_read
+from orgpulse.sources.tables import read_table
 
 A_ADVANCED = ORDER_GOALS[-1]
 
@@ -58,6 +60,24 @@ def q_staging_events(spark, sf_dir):
     return stage(fixture_b(spark, sf_dir))
 
 
+@register("staging_events_window", with_ctes(EV_A) + """
+SELECT event_id, organization_id, activity_name, activity_detail, "timestamp",
+       min("timestamp") OVER (PARTITION BY organization_id) AS first_activity_timestamp,
+       date_sub('second', min("timestamp") OVER (PARTITION BY organization_id), "timestamp")
+           AS time_since_first_activity
+FROM ev""")
+def q_staging_events_window(spark, sf_dir):
+    """W1 on fixture A: the window form of staging."""
+    return stage_window(fixture_a(spark, sf_dir))
+
+
+@register("consecutive_event_ids", with_ctes(EV_A) + """
+SELECT row_number() OVER (ORDER BY organization_id, "timestamp", event_id) AS new_id, event_id FROM ev""")
+def q_consecutive_event_ids(spark, sf_dir):
+    """Ids 1..n in (organization, timestamp, event id) order."""
+    return consecutive_ids(fixture_a(spark, sf_dir), [ORG, TS, EVENT_ID], id_col="new_id").select("new_id", EVENT_ID)
+
+
 @register("events_by_activity", with_ctes(EV_A) + """
 SELECT event_id, organization_id, activity_name, activity_detail, "timestamp"
 FROM ev WHERE activity_name = '1-URGENT'""")
@@ -75,7 +95,11 @@ FROM (SELECT *, min("timestamp") OVER (PARTITION BY organization_id) AS first_ac
 ORDER BY event_id LIMIT 5""")
 def q_events_head(spark, sf_dir):
     """O2: first five staged events by id (a top-k, no global sort)."""
-    return stage(fixture_a(spark, sf_dir)).orderBy(EVENT_ID).limit(5)
+    ev = fixture_a(spark, sf_dir)
+    head = ev.orderBy(EVENT_ID).limit(5)
+    # the first activity of the five events' organizations only
+    theirs = ev.join(F.broadcast(head.select(ORG).distinct()), ORG, "left_semi")
+    return stage(theirs).join(F.broadcast(head.select(EVENT_ID)), EVENT_ID, "left_semi").orderBy(EVENT_ID).limit(5)
 
 
 @register("event_time_parts", with_ctes(EV_B) + """
@@ -153,6 +177,17 @@ def q_activated_span_days(spark, sf_dir):
     return M.activated_span_days(_profile_a(spark, sf_dir), ORDER_GOALS)
 
 
+@register("activated_span_days_from_mart", A_BASE + f"""
+SELECT count(*) AS activated_orgs,
+       round(coalesce(avg(date_sub('microsecond', first_ts, last_ts) / 86400e6), 0.0), 6) AS avg_days
+FROM prof WHERE organization_id IN (SELECT organization_id FROM flags WHERE {all_met_sql(GOALS_A)})""")
+def q_activated_span_days_from_mart(spark, sf_dir):
+    """M5 through J4: semi-join with the activation mart, written and read back (S3)."""
+    events = fixture_a(spark, sf_dir)
+    tables = write_marts(spark, events, ORDER_GOALS)
+    return M.activated_span_days(_profile_a(spark, sf_dir), ORDER_GOALS, activated=tables.table("activation"))
+
+
 @register("goal_completion_rates", A_BASE + _union_rows([
     f"""SELECT '{n}' AS goal, '{LABELS_A[n]}' AS label, CAST(sum(goal_{n}) AS BIGINT) AS completed_orgs,
        count(*) AS total_orgs, round(CAST(sum(goal_{n}) AS DOUBLE) / nullif(count(*), 0), 6) AS rate
@@ -213,6 +248,30 @@ def q_completing_events(spark, sf_dir):
     return J.completing_events(fixture_a(spark, sf_dir), ORDER_GOALS)
 
 
+@register("activating_events", _MARKS_A + """
+SELECT event_id, organization_id, "timestamp" FROM marks WHERE completes_activation""")
+def q_activating_events(spark, sf_dir):
+    """F8: only the events whose boolean flag is set."""
+    return J.completing_events(fixture_a(spark, sf_dir), ORDER_GOALS).filter(F.col(J.COMPLETES)).select(EVENT_ID, ORG, TS)
+
+
+_EV_A_NULL = EV_A.replace("CAST(o_custkey AS VARCHAR)", "CAST(nullif(o_custkey % 10, 7) AS VARCHAR)")
+
+
+def _null_org_events(spark, sf_dir):
+    """Fixture A in ten organizations, the one ending in 7 without an id."""
+    customer = F.col("o_custkey") % 10
+    orders = read_table(spark, sf_dir, "orders").withColumn("o_custkey", F.when(customer != 7, customer))
+    return orders_as_events(orders)
+
+
+@register("completing_events_null_org", with_ctes(_EV_A_NULL, running_marks_cte(GOALS_A)) + """
+SELECT event_id, organization_id, "timestamp", completes_activation FROM marks""")
+def q_completing_events_null_org(spark, sf_dir):
+    """W2/M10 with a kept NULL organization: it is a group like any other."""
+    return J.completing_events(_null_org_events(spark, sf_dir), ORDER_GOALS).select(EVENT_ID, ORG, TS, J.COMPLETES)
+
+
 @register("activation_times", _MARKS_A + """,
 firsts AS (SELECT organization_id, min("timestamp") AS first_ts FROM ev GROUP BY organization_id)
 SELECT m.organization_id, m.event_id, m."timestamp" AS completing_timestamp,
@@ -263,6 +322,17 @@ def q_time_to_goal(spark, sf_dir):
     return J.time_to_goal(fixture_a(spark, sf_dir), ORDER_GOALS)
 
 
+_TTG_LABEL_B = with_ctes(EV_B, profile_cte(GOALS_B)).replace("count(*) FILTER", "count(DISTINCT activity_detail) FILTER")
+
+
+@register("time_to_goal_stream", _TTG_LABEL_B + "\n" + _union_rows([
+    f"""SELECT organization_id, '{n}' AS goal, '{n.capitalize()}' AS label,
+       round(date_sub('second', first_ts, f_{n}) / 86400.0, 6) AS days FROM prof WHERE n_{n} >= {k}""" for n, _, k in GOALS_B]))
+def q_time_to_goal_stream(spark, sf_dir):
+    """M9 on fixture B: five goals with distinct details, with the label that curves carry."""
+    return J.time_to_goal(fixture_b(spark, sf_dir), STREAM_GOALS, with_label=True)
+
+
 # --------------------------------------------------------------------------------------
 # sources and sinks that write
 # --------------------------------------------------------------------------------------
@@ -285,12 +355,26 @@ def q_events_from_csv(spark, sf_dir):
     return read_events_csv(spark, path, with_event_id=False)
 
 
+@register("events_from_csv_by_name", with_ctes(EV_A) + """
+SELECT organization_id, activity_name || ' "q", x' || chr(10) || 'y' AS activity_name, activity_detail, "timestamp",
+       CAST(event_id AS VARCHAR) AS note FROM ev""")
+def q_events_from_csv_by_name(spark, sf_dir):
+    """An export with its columns in another order and case, an extra column, quotes and line
+    feeds inside quoted values."""
+    path = scratch_path(spark, "events_csv_by_name")
+    fixture_a(spark, sf_dir).select(
+        F.col(EVENT_ID).alias("Note"), F.col(TS).alias("Timestamp"), F.col(DETAIL).alias("activity_detail"),
+        F.concat(F.col(NAME), F.lit(' "q", x\ny')).alias("ACTIVITY_NAME"), F.col(ORG).alias("Organization_Id")) \
+        .write.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return read_events_csv(spark, path, with_event_id=False, multi_line=True, extra_columns=True)
+
+
 # --------------------------------------------------------------------------------------
 # data quality
 # --------------------------------------------------------------------------------------
 
-def _tables_a(spark, sf_dir):
-    return build_tables(fixture_a(spark, sf_dir), ORDER_GOALS)
+def _checked_a(spark, sf_dir, check):
+    return checked(spark, fixture_a(spark, sf_dir), ORDER_GOALS, check)
 
 
 _Q_BASE = with_ctes(EV_A, profile_cte(GOALS_A), flags_cte(GOALS_A), STAGING_CTE)
@@ -310,7 +394,7 @@ _ALL_A = all_met_sql(GOALS_A)
     ("activation_rows", "activation_rows", "goal_rows", "activation_rows <= goal_rows")], "c"))
 def q_table_counts(spark, sf_dir):
     """V1, V4."""
-    return Q.table_counts(_tables_a(spark, sf_dir))
+    return _checked_a(spark, sf_dir, Q.table_counts)
 
 
 @register("check_nulls", with_ctes(EV_A) + check_rows([
@@ -338,7 +422,7 @@ def q_check_time_range(spark, sf_dir):
                   ("trial_goals_org_count", "goal_orgs", "staging_orgs", None)], "c"))
 def q_check_org_coverage(spark, sf_dir):
     """V5 (J3: left join staging → goals)."""
-    return Q.check_org_coverage(_tables_a(spark, sf_dir))
+    return _checked_a(spark, sf_dir, Q.check_org_coverage)
 
 
 @register("org_intersection", _Q_BASE + """, c AS (SELECT
@@ -352,7 +436,7 @@ def q_check_org_coverage(spark, sf_dir):
                   ("common_orgs", "common_orgs", "raw_orgs", None)], "c"))
 def q_org_intersection(spark, sf_dir):
     """V6 (U1: three-way INTERSECT)."""
-    return Q.org_intersection(_tables_a(spark, sf_dir))
+    return _checked_a(spark, sf_dir, Q.org_intersection)
 
 
 @register("check_atomic_values", with_ctes(EV_A, STAGING_CTE) + check_rows([
@@ -360,7 +444,7 @@ def q_org_intersection(spark, sf_dir):
      "0", None)], "stg"))
 def q_check_atomic_values(spark, sf_dir):
     """V7 (F4)."""
-    return Q.check_atomic_values(_tables_a(spark, sf_dir).table("staging"))
+    return _checked_a(spark, sf_dir, lambda t: Q.check_atomic_values(t.table("staging")))
 
 
 @register("check_flag_domain", A_BASE + check_rows([
@@ -368,7 +452,7 @@ def q_check_atomic_values(spark, sf_dir):
     "flags"))
 def q_check_flag_domain(spark, sf_dir):
     """V8 (A3: several COUNT DISTINCT)."""
-    return Q.check_flag_domain(_tables_a(spark, sf_dir).table("goals"), ORDER_GOALS)
+    return _checked_a(spark, sf_dir, lambda t: Q.check_flag_domain(t.table("goals"), ORDER_GOALS))
 
 
 @register("check_constraints", _Q_BASE + """, act AS (SELECT organization_id FROM flags WHERE """ + _ALL_A
@@ -397,7 +481,7 @@ def q_check_flag_domain(spark, sf_dir):
     ("activation.organizations_missing_in_goals", "act_orphans")]], "c"))
 def q_check_constraints(spark, sf_dir):
     """V9: keys, NOT NULL and foreign keys checked (Spark enforces none of them)."""
-    return Q.check_constraints(_tables_a(spark, sf_dir), ORDER_GOALS)
+    return _checked_a(spark, sf_dir, lambda t: Q.check_constraints(t, ORDER_GOALS))
 
 
 @register("tables_not_empty", _Q_BASE + """, c AS (SELECT
@@ -407,7 +491,7 @@ def q_check_constraints(spark, sf_dir):
                   ("goals_rows", "g", None, "g > 0"), ("activation_rows", "a", None, "a > 0")], "c"))
 def q_tables_not_empty(spark, sf_dir):
     """V10 (S5: list the tables of the build, count each)."""
-    return Q.tables_not_empty(_tables_a(spark, sf_dir))
+    return _checked_a(spark, sf_dir, Q.tables_not_empty)
 
 
 @register("check_goal_totals", _Q_BASE + """, per_org AS (
@@ -420,7 +504,7 @@ c AS (SELECT * FROM (SELECT """ + ", ".join(f"sum(r_{n}) AS r_{n}" for n, _, _ i
 """ + check_rows([(f"goal_{n}", f"r_{n}", f"m_{n}", None) for n, _, _ in GOALS_A], "c"))
 def q_check_goal_totals(spark, sf_dir):
     """Goal totals recomputed from staging equal the goals mart."""
-    return Q.check_goal_totals(_tables_a(spark, sf_dir), ORDER_GOALS)
+    return _checked_a(spark, sf_dir, lambda t: Q.check_goal_totals(t, ORDER_GOALS))
 
 
 # --------------------------------------------------------------------------------------
@@ -634,6 +718,16 @@ def q_standardized_features(spark, sf_dir):
     return F_.standardize(_split_b(spark, sf_dir))
 
 
+@register("threshold_predictions", with_ctes(EV_B, _TF_CTE) + """
+SELECT organization_id, round(hour_of_day_mean / 23.0, 6) AS probability,
+       CASE WHEN hour_of_day_mean / 23.0 > 0.5 THEN 1 ELSE 0 END AS prediction FROM tf""")
+def q_threshold_predictions(spark, sf_dir):
+    """the classifier's strict threshold on a deterministic score (mean hour of day / 23)."""
+    scored = F_.org_time_features(fixture_b(spark, sf_dir)).select(
+        ORG, (F.col("hour_of_day_mean") / 23.0).alias(C.PROBABILITY))
+    return C.predict(scored)
+
+
 @register("goal_classifier")
 def q_goal_classifier(spark, sf_dir):
     """Logistic regression on the train rows, probabilities and predictions on the

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from orgpulse.operators.common import holding
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
@@ -42,7 +44,8 @@ def register(key: str, oracle: str | None = None):
 
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
+            found = fn(spark, sf_dir)
+            return holding(round_doubles(found), found)
 
         run.__name__ = f"query_{key}"
         run.__doc__ = fn.__doc__

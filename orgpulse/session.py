@@ -7,29 +7,44 @@ folder is created and registered, so that ``DataFrame.checkpoint`` and scratch w
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a session gets where the submitter (spark-submit, the environment) has set nothing.
+_DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "orgpulse") -> SparkSession:
-    """A session tuned for this library; cluster settings passed in by spark-submit win."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .master(master or f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-        .config("spark.driver.memory", os.environ.get("ORGPULSE_DRIVER_MEMORY", "8g"))
-    )
+    """A session tuned for this library.  Settings passed in by the submitter win: a value is set only
+    where the existing configuration lacks it (a ``master`` or ``shuffle_partitions`` given here is
+    such a default, too).  Without any master the session is local."""
+    wanted = dict(_DEFAULTS)
+    given = SparkContext._active_spark_context.getConf() if SparkContext._active_spark_context else SparkConf()
+    if not given.contains("spark.master"):
+        wanted["spark.master"] = master or "local[*]"
+    if wanted.get("spark.master", given.get("spark.master", "")).startswith("local"):
+        wanted["spark.driver.memory"] = "8g"
+        wanted["spark.sql.shuffle.partitions"] = "8"
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    builder = SparkSession.builder
+    if not given.contains("spark.app.name"):
+        builder = builder.appName(app_name)
+    for key, value in wanted.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -52,9 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
+    master = str(spark.conf.get("spark.master", None) or (sc.master if sc is not None else ""))
     if not configured:
-        master = spark.conf.get("spark.master", None) or (sc.master if sc is not None else "")
-        if not str(master).startswith("local"):
+        if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(e.g. on HDFS or object storage); a driver-local folder is not usable here")
         configured = tempfile.mkdtemp(prefix="orgpulse-ckpt-")
@@ -68,6 +83,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table written under :func:`scratch_path` that nothing reads any more."""
+    if "/orgpulse-scratch/" not in path:
+        raise ValueError(f"not a scratch table: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for tables this library writes and reads back."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

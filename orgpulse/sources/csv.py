@@ -1,7 +1,7 @@
 """CSV event source (S1) and the raw-table load (S2 input side).
 
-The raw export has an upper-case header (``ORGANIZATION_ID``, ``ACTIVITY_NAME``,
-``ACTIVITY_DETAIL``, ``TIMESTAMP``).  Columns are read as strings with a fixed schema — no
+The raw export has a header that names (at least) ``ORGANIZATION_ID``, ``ACTIVITY_NAME``,
+``ACTIVITY_DETAIL`` and ``TIMESTAMP``, in any order.  Columns are read as strings, by name — no
 inference pass over the data — then cleaned with column expressions:
 
 * names are lower-cased so output schemas are stable (T17);
@@ -25,12 +25,21 @@ PANDAS_NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-RAW_CSV_SCHEMA = T.StructType([
-    T.StructField("ORGANIZATION_ID", T.StringType()),
-    T.StructField("ACTIVITY_NAME", T.StringType()),
-    T.StructField("ACTIVITY_DETAIL", T.StringType()),
-    T.StructField("TIMESTAMP", T.StringType()),
-])
+RAW_CSV_COLUMNS = ("ORGANIZATION_ID", "ACTIVITY_NAME", "ACTIVITY_DETAIL", "TIMESTAMP")
+
+# A zone offset or Z at the end of a timestamp.
+_ZONE = r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"
+
+
+def _header(spark: SparkSession, path: str, options: dict) -> list[str]:
+    """The column names in the header of the export's first file (one line is read).  The read checks
+    the header of every other file against them."""
+    names = spark.read.options(**options).option("header", True).csv(path).columns
+    lower = [n.strip().lower() for n in names]
+    missing = [c for c in RAW_CSV_COLUMNS if c.lower() not in lower]
+    if missing:
+        raise ValueError(f"columns {missing} missing in the header of {path}: {names}")
+    return names
 
 
 def _na_to_null(c: Column) -> Column:
@@ -48,26 +57,41 @@ def normalize_org(c: Column, null_org: str = "nan") -> Column:
 
 
 def read_events_csv(spark: SparkSession, path: str, null_org: str = "nan", strict: bool = True,
-                    with_event_id: bool = True, consecutive_ids: bool = False) -> DataFrame:
-    """Read the raw export.  ``event_id`` is unique and increasing in file order; with
+                    with_event_id: bool = True, consecutive_ids: bool = False, multi_line: bool = False,
+                    extra_columns: bool = False) -> DataFrame:
+    """Read the raw export.  Columns are found by name in the header, whatever their order and case;
+    ``extra_columns`` keeps those the event schema does not name, as text, at the end.  Values may be
+    quoted, with ``""`` for a quote; ``multi_line`` allows line feeds inside quotes (such files are not
+    split between tasks).  ``event_id`` is unique and increasing in file order; with
     ``consecutive_ids`` it is renumbered 1..n in (organization, timestamp, file order), like an
     auto-increment key filled from the organization-ordered staging insert."""
-    raw = (spark.read.schema(RAW_CSV_SCHEMA).option("header", True).option("mode", "FAILFAST")
-           .csv(path))
-    ts_text = _na_to_null(F.col("TIMESTAMP"))
-    ts = ts_text.try_cast("timestamp_ntz")
+    options = {"quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
+    header = _header(spark, path, options)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    raw = (spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", False)
+           .option("mode", "FAILFAST").csv(path))
+    header = [n.strip().lower() for n in header]
+    raw = raw.toDF(*header)
+    ts_text = F.trim(_na_to_null(F.col("timestamp")))
+    # with a zone offset the instant is taken, as UTC; without one the value is as written
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts_text.try_cast("timestamp").cast("timestamp_ntz"))
+    ts = F.when(F.regexp(ts_text, F.lit(_ZONE)) & F.contains(ts_text, F.lit(":")), zoned).otherwise(
+        ts_text.try_cast("timestamp_ntz"))
     if strict:  # fail the job on an unparsable value, whatever the session's ANSI setting
         ts = F.when(ts_text.isNotNull() & ts.isNull(),
                     F.raise_error(F.concat(F.lit("unparsable TIMESTAMP in CSV: "), ts_text))).otherwise(ts)
-    org = normalize_org(_na_to_null(F.col("ORGANIZATION_ID")), null_org)
+    org = normalize_org(_na_to_null(F.col("organization_id")), null_org)
     if null_org == "reject":
         org = F.when(org.isNull(), F.raise_error(F.lit("NULL ORGANIZATION_ID in CSV"))).otherwise(org)
     cols = [
         org.alias(ORG),
-        _na_to_null(F.col("ACTIVITY_NAME")).alias(NAME),
-        _na_to_null(F.col("ACTIVITY_DETAIL")).alias(DETAIL),
+        _na_to_null(F.col("activity_name")).alias(NAME),
+        _na_to_null(F.col("activity_detail")).alias(DETAIL),
         ts.cast("timestamp_ntz").alias(TS),
     ]
+    if extra_columns:
+        known = {c.lower() for c in RAW_CSV_COLUMNS} | {EVENT_ID}
+        cols += [_na_to_null(F.col(f"`{n}`")).alias(n) for n in header if n not in known]
     if with_event_id:
         # Unique and increasing in file order; materialise (write the raw table) before reuse.
         cols.insert(0, F.monotonically_increasing_id().alias(EVENT_ID))
@@ -75,7 +99,7 @@ def read_events_csv(spark: SparkSession, path: str, null_org: str = "nan", stric
     if with_event_id and consecutive_ids:
         from orgpulse.operators.common import consecutive_ids as renumber
         df = renumber(df.withColumnRenamed(EVENT_ID, "_file_pos"), [ORG, TS, "_file_pos"]).drop("_file_pos")
-        df = df.select(EVENT_ID, ORG, NAME, DETAIL, TS)
+        df = df.select(EVENT_ID, *[c for c in df.columns if c != EVENT_ID])
     return df
 
 
@@ -84,5 +108,5 @@ def write_events_csv(events: DataFrame, path: str) -> None:
     (events.select(F.col(ORG).alias("ORGANIZATION_ID"), F.col(NAME).alias("ACTIVITY_NAME"),
                    F.col(DETAIL).alias("ACTIVITY_DETAIL"), F.col(TS).alias("TIMESTAMP"))
      .write.mode("overwrite").option("header", True)
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option("quote", '"').option("escape", '"')
      .csv(path))

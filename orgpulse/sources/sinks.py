@@ -1,7 +1,9 @@
 """Table sinks (S2, S3): full-refresh writes that are idempotent.
 
 ``DROP TABLE IF EXISTS`` + ``CREATE`` + ``INSERT … SELECT`` becomes a pure DataFrame written
-with ``mode("overwrite")``; re-running a build replaces the table atomically per folder.
+with ``mode("overwrite")``.  A Parquet overwrite deletes the old files first, so a job that fails
+midway leaves the table incomplete until the build is run again; a build that must never be seen
+half-written goes to a new folder (:func:`orgpulse.plans.marts.write_marts` without ``out_dir``).
 """
 
 from __future__ import annotations

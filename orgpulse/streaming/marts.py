@@ -5,8 +5,7 @@ per-organization aggregation can run as a stateful streaming aggregation: the st
 partial row per organization (counts, first match per goal, first/last event), so it is bounded
 by the number of organizations, not events.  Each micro-batch (``foreachBatch``) rewrites the
 goals and activation marts from the complete aggregate with overwrite semantics.
-Distinct-detail goals need a distinct aggregate, which streaming does not support; use the
-batch operators for them.  For many organizations, run the state store on RocksDB
+Distinct-detail goals are plain maxima per listed detail, so they stream as well.  For many organizations, run the state store on RocksDB
 (``spark.sql.streaming.stateStore.providerClass`` =
 ``org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``) and keep the
 checkpoint in the shared folder, so a restarted query resumes from its state.
@@ -26,8 +25,6 @@ from orgpulse.session import scratch_path
 
 def goal_flags_stream(events: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
     """The goals mart (M2) over a streaming event frame (output modes complete / update)."""
-    if any(g.distinct_details for g in goals):
-        raise ValueError("distinct-detail goals need a distinct aggregate; use the batch operators")
     return events.groupBy(ORG).agg(*profile_aggregates(goals)).select(F.col(ORG), *flag_columns(goals))
 
 

@@ -70,10 +70,102 @@ def test_describe_all_null_column(spark):
     assert rows[("t", "mean")] == (None, None)
 
 
-def test_released_after_unpersists(spark):
-    from orgpulse.operators.common import released_after
-    with released_after():
-        side, n = broadcast_if_small(spark.range(5), max_rows=10)
-        assert n == 5 and side.storageLevel.useMemory
-        kept = side
-    assert not kept.storageLevel.useMemory and not kept.storageLevel.useDisk
+def test_cached_sides_live_as_long_as_their_result(spark):
+    import gc
+
+    from orgpulse.operators.common import holding
+    side, n = broadcast_if_small(spark.range(5), max_rows=10)
+    cached = side._orgpulse_sides[0]._jdf
+    assert n == 5 and cached.storageLevel().useMemory()
+    result = holding(spark.range(9).join(side, "id"), side)
+    del side
+    gc.collect()
+    assert cached.storageLevel().useMemory() and result.count() == 5
+    del result
+    gc.collect()
+    assert not cached.storageLevel().useMemory()
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    wide = spark.range(40).selectExpr("id", "repeat('x', 1000) as t")
+    spark.conf.set("spark.orgpulse.broadcastBytes", "20000")
+    try:
+        side, _ = broadcast_if_small(wide)
+        plan = spark.range(9).join(side, "id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.orgpulse.broadcastBytes")
+
+
+def test_null_groups_have_running_totals_on_both_paths(spark):
+    df = spark.createDataFrame([(None, 1, 5), ("a", 1, 2), (None, 2, 7), ("a", 2, 1), (None, 3, 1)], "g string, o int, x int")
+    one = running_totals(df, by=["g"], order=["o"], sums=["x"])
+    two = running_totals(df, by=["g"], order=["o"], sums=["x"], parts=3, single_task_rows=0)
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(one) == rows(two) and one.count() == 5
+
+
+def test_completion_of_a_null_organization_on_both_paths(spark, raw_c):
+    from orgpulse.functions.goals import REFERENCE_GOALS
+    from orgpulse.operators import journey as J
+    invite = (REFERENCE_GOALS[1],)
+    want = sorted(map(str, J.completion_points(raw_c, invite).collect()))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "0")
+    spark.conf.set("spark.orgpulse.singleTaskRows", "0")
+    try:
+        assert sorted(map(str, J.completion_points(raw_c, invite).collect())) == want and len(want) == 2
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+        spark.conf.unset("spark.orgpulse.singleTaskRows")
+
+
+def test_org_intersection_combines_before_its_only_shuffle_by_organization(spark, raw_c):
+    from orgpulse.functions.goals import REFERENCE_GOALS
+    from orgpulse.operators.quality import org_intersection
+    from orgpulse.plans.marts import write_marts
+    plan = org_intersection(write_marts(spark, raw_c, REFERENCE_GOALS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(organization_id") == 1 and "Join" not in plan
+
+
+def test_goal_totals_follow_distinct_details(spark, events_c):
+    from orgpulse.functions.goals import REFERENCE_GOALS, with_distinct_detail_goals
+    from orgpulse.operators.quality import check_goal_totals
+    from orgpulse.plans.marts import checked
+    goals = with_distinct_detail_goals(REFERENCE_GOALS)
+    rows = checked(spark, events_c, goals, lambda t: check_goal_totals(t, goals)).collect()
+    assert len(rows) == 5 and all(r.passed for r in rows)
+
+
+def test_distinct_detail_goals_need_no_expand(spark):
+    from orgpulse.operators.journey import time_to_goal
+    from orgpulse.sources.adapters import STREAM_GOALS, fixture_b
+    plan = time_to_goal(fixture_b(spark, "/root/testdata/sf0.001"), STREAM_GOALS)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_describe_skips_nan_and_correlation_rejects_doubles(spark):
+    import pytest
+
+    from orgpulse.operators.profile import correlation_matrix
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "x double")
+    got = {r.stat: r.value for r in describe(df, ["x"]).collect()}
+    assert (got["count"], got["mean"], got["max"], got["50%"]) == (2.0, 1.5, 2.0, 1.5)
+    with pytest.raises(ValueError):
+        correlation_matrix(df, ["x"])
+
+
+def test_classifier_reaches_the_minimum_of_its_loss(spark):
+    import math
+
+    from orgpulse.operators.classify import train_and_predict
+    rows = [(str(i), "train" if i % 5 else "test", int((i * 7919) % 100 < 50 + 40 * math.sin(i)), math.sin(i), math.cos(3 * i))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "organization_id string, split string, label int, a double, b double")
+    got = train_and_predict(df, ["a", "b"], reg_param=0.0).collect()
+    assert len(got) == 80 and all(0 <= r.probability <= 1 and r.prediction == int(r.probability > 0.5) for r in got)
+    # on all rows as test rows too: at the minimum the residuals are orthogonal to every feature
+    both = df.union(df.where("split = 'train'").selectExpr("organization_id || 't'", "'test'", "label", "a", "b"))
+    fitted = {r.organization_id: r for r in train_and_predict(both, ["a", "b"], reg_param=0.0, max_iter=200).collect()}
+    train = [r for r in rows if r[1] == "train"]
+    for feature in (lambda r: 1.0, lambda r: r[3], lambda r: r[4]):
+        assert abs(sum((fitted[r[0] + "t"].probability - r[2]) * feature(r) for r in train)) < 1e-2 * len(train)

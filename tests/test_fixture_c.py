@@ -240,7 +240,7 @@ def test_analytics_cli_prints_report(spark, events_c, capsys):
     events_c.write.parquet(path)
     assert main(["--events", path], spark=spark) == 0
     out = capsys.readouterr().out
-    assert "Trial activation rate: 25.00%" in out and "revenue: 50.00%" in out
+    assert "activation_rate\t\t0.25\n" in out and "feature_engagement_rates\trevenue\t0.5\n" in out
     no_details = GoalAnalytics(events_c, GOALS[:2])
     assert no_details.report()["feature_engagement_rates"] == {}
     with pytest.raises(ValueError):

@@ -101,12 +101,10 @@ def test_hot_organization_matches_brute_force(spark):
 
 def test_no_python_udfs_or_cartesian_products_in_any_query(spark):
     """Every registered query stays JVM-side (no Python UDF evaluation) and pairs no row sets."""
-    from __spark_entry__ import queries
-    from orgpulse.operators.common import released_after
+    from orgpulse.plans.registry import all_queries
     bad = []
-    for key, fn in queries().items():
-        with released_after():
-            plan = plan_of(fn(spark, "/root/testdata/sf0.001"))
+    for key, fn in all_queries().items():
+        plan = plan_of(fn(spark, "/root/testdata/sf0.001"))
         for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct",
                        "FlatMapGroupsInPandas", "MapInPandas"):
             if marker in plan:

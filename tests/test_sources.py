@@ -69,10 +69,16 @@ def test_csv_round_trip_keeps_microseconds(spark):
     assert back.filter(F.substring(F.date_format("timestamp", "SSSSSS"), 4, 3) != "000").count() > 0
 
 
-def test_marts_cli(spark, tmp_path):
+def test_marts_cli_runs_every_check(spark, tmp_path, capsys):
     from orgpulse.plans.marts import main
     csv_path = _write(CSV)
-    assert main(["--csv", csv_path, "--out", str(tmp_path / "marts")], spark=spark) == 0
+    # one activity is missing, and no organization is activated: both are reported
+    assert main(["--csv", csv_path, "--out", str(tmp_path / "marts")], spark=spark) == 1
+    out = capsys.readouterr().out
+    assert [line.split()[0] for line in out.splitlines() if "FAILED" in line] == ["null_activity_name", "activation_rows"]
+    for name in ("raw_rows", "null_timestamp", "timestamp_range", "common_orgs", "non_atomic_values",
+                 "goals.flag_nulls", "goal_shift_created"):
+        assert f"\n{name} " in "\n" + out
 
 
 @pytest.mark.parametrize("bound", [0, None], ids=["two-level", "single-task"])
@@ -98,3 +104,33 @@ def test_csv_strict_without_ansi(spark):
             read_events_csv(spark, _write(bad)).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_csv_columns_by_name(spark):
+    text = ('timestamp,Extra,ACTIVITY_DETAIL,organization_id,ACTIVITY_NAME\n'
+            '2024-01-01 00:00:00+05:00,e1,"a ""b""",org,"two\nlines"\n2024-01-01T10:00:00Z,,x,org,n\n')
+    df = read_events_csv(spark, _write(text), multi_line=True, extra_columns=True).orderBy("event_id")
+    assert df.columns == ["event_id", "organization_id", "activity_name", "activity_detail", "timestamp", "extra"]
+    rows = [(r.organization_id, r.activity_name, r.activity_detail, str(r.timestamp), r.extra) for r in df.collect()]
+    assert rows == [("org", "two\nlines", 'a "b"', "2023-12-31 19:00:00", "e1"), ("org", "n", "x", "2024-01-01 10:00:00", None)]
+
+
+def test_csv_headers_are_checked(spark):
+    with pytest.raises(ValueError, match="TIMESTAMP"):
+        read_events_csv(spark, _write("ORGANIZATION_ID,ACTIVITY_NAME,ACTIVITY_DETAIL\na,b,c\n"))
+    path = os.path.dirname(_write(CSV))
+    with open(os.path.join(path, "other.csv"), "w") as f:
+        f.write("ACTIVITY_NAME,ORGANIZATION_ID,ACTIVITY_DETAIL,TIMESTAMP\nn,o,d,2024-01-01 00:00:00\n")
+    with pytest.raises((PySparkException, Py4JJavaError), match="header"):
+        read_events_csv(spark, path).collect()
+
+
+def test_submitted_settings_are_kept():
+    import subprocess
+    import sys
+    code = ("from orgpulse.session import build_session\nspark = build_session(master='local[8]', shuffle_partitions=8)\n"
+            "print('GOT', spark.sparkContext.master, spark.conf.get('spark.sql.shuffle.partitions'))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=64 pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout
+    assert "GOT local[2] 64" in out

@@ -56,3 +56,13 @@ def test_uncensored_curve_is_exact_and_ends_at_zero(spark):
         assert values[-1] == 0.0                                 # no censoring: ends at 0
         for t, s in pts:                                         # exact 1 - F(t)
             assert s == (counts[g] - sum(1 for d in durs[g] if d <= t)) / counts[g]
+
+
+def test_null_group_is_a_group_and_null_durations_fail(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("g", 1.0)], "goal string, days double")
+    rows = {(r.goal, r.t): r.survival for r in S.km_curve(df, "goal", "days").collect()}
+    assert rows == {(None, 0.0): 1.0, (None, 1.0): 0.5, (None, 2.0): 0.0, ("g", 0.0): 1.0, ("g", 1.0): 0.0}
+    with pytest.raises(Exception, match="NULL in column days"):
+        S.km_curve(spark.createDataFrame([("g", None), ("g", 1.0)], "goal string, days double"), "goal", "days").collect()
+    with pytest.raises(Exception, match="NULL in column obs"):
+        S.km_curve(spark.createDataFrame([("g", 1.0, None)], "goal string, days double, obs int"), "goal", "days", "obs").collect()
