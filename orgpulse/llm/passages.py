@@ -15,9 +15,12 @@ induces the rest from them, as induced sorting does from its sampled suffixes:
    strings it serves and a hash of all bytes they cover (its context).
 3. *Equal contexts.*  Anchors are aggregated by hash, with map-side combining.  If an anchor's context
    occurs earlier, all strings it serves are repeated.
-4. *Other contexts.*  Anchors with several contexts (ends of passages, edits) induce their strings one
-   by one, once per context: strings are aggregated by anchor, place and a hash of their bytes, and
-   all but the first are repeated.
+4. *Other contexts.*  Anchors with several contexts (ends of passages, edits, phrases that recur by
+   chance) induce their strings in two steps, once per context.  The strings whose anchor lies
+   ``QUARTER`` * j bytes or up to 15 more behind their start all hold one core of ``length`` - 15
+   bytes; cores are aggregated and settled by context like anchors, and only strings of cores that
+   several contexts share are aggregated one by one, by anchor, place and a hash of their bytes.  All
+   but the first are repeated.
 5. Ranges are gathered per document and its bytes removed.
 
 Strings are told apart by 128 bits from two independent hashes (anchor and string).
@@ -43,6 +46,7 @@ from orgpulse.llm.text import mix64, small_batches
 
 #: Strings served by one anchor start at most SPAN - 1 bytes before it; 6 bits in a packed place.
 SPAN = 64
+QUARTER = 16
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
 _VALUES = tuple(mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES)
 #: Bytes whose prefix sums are held at once.
@@ -107,17 +111,6 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def _substrings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes (of the second kind) of substrings with ascending starts, piece by piece."""
-    out = np.empty(len(starts), np.uint64)
-    for low in range(0, len(data), PIECE):
-        a, b = np.searchsorted(starts, (low, low + PIECE))
-        if b > a:
-            part = Prefix(data[low:int(ends[a:b].max())], 1)
-            out[a:b] = part.at(starts[a:b] - low, ends[a:b] - low)
-    return out
-
-
 def _bytes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for text in batch.column("text").cast(pa.large_binary()):
         value = text.as_buffer()
@@ -136,61 +129,99 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     shape = ((place - first) << 6 | (last - first)).astype(np.uint64)
                     rows.append(np.full(len(key), row))
                     keys.append(key)
-                    contexts.append(mix64(_substrings(data, first, last + length) + shape))
+                    contexts.append(mix64(_between(data, first, last + length, 1) + shape))
                     spots.append(first << 12 | shape.astype(np.int64))
-            join = lambda x: np.concatenate([np.empty(0, np.int64), *(v.view(np.int64) for v in x)])
-            at = pa.array(join(rows))
+            at = pa.array(_joined(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(join(keys)), pa.array(join(contexts)), batch.column("doc_id").take(at),
-                 batch.column("variant").take(at), pa.array(join(spots))],
+                [pa.array(_joined(keys)), pa.array(_joined(contexts)), batch.column("doc_id").take(at),
+                 batch.column("variant").take(at), pa.array(_joined(spots))],
                 names=["anchor", "context", "doc_id", "variant", "spot"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(find, f"anchor long, context long, doc_id {kind}, variant long, spot long")
 
 
-def _string_rows(places: DataFrame, length: int) -> DataFrame:
-    """(anchor_place, string, doc_id, variant, start): one row per string served by the listed anchors."""
-    gram = length - SPAN + 1
+def _unpack(spots: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, anchor, number of strings) of packed spots."""
+    spot = np.sort(np.array(spots.as_py(), np.int64))
+    return spot >> 12, (spot >> 12) + (spot >> 6 & 63), (spot & 63) + 1
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... count - 1 for each entry, in a row."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _core_rows(data: np.ndarray, spots: pa.Scalar, length: int) -> tuple[np.ndarray, ...]:
+    """(key, hash of the core, context and spot of its strings) for every core of the listed anchors."""
+    first, place, count = _unpack(spots)
+    low, high = (place - first - count + 1) // QUARTER, (place - first) // QUARTER
+    parts = high - low + 1
+    j = np.repeat(low, parts) + _spread(parts)
+    begin = np.maximum(np.repeat(first, parts), np.repeat(place, parts) - QUARTER * j - QUARTER + 1)
+    end = np.minimum(np.repeat(first + count - 1, parts), np.repeat(place, parts) - QUARTER * j)
+    place = np.repeat(place, parts)
+    core = place - QUARTER * j
+    key = mix64(_at(data, place, length - SPAN + 1, 0) + j.astype(np.uint64))
+    shape = (place - begin) << 6 | (end - begin)
+    context = mix64(_between(data, begin, end + length, 1) + shape.astype(np.uint64))
+    return key, _at(data, core, length - QUARTER + 1, 1), context, begin << 12 | shape
+
+
+def _string_rows(data: np.ndarray, spots: pa.Scalar, length: int) -> tuple[np.ndarray, ...]:
+    """(key, hash of the string, no context, its start) for every string of the listed spots."""
+    first, place, count = _unpack(spots)
+    start, place = np.repeat(first, count) + _spread(count), np.repeat(place, count)
+    key = mix64(_at(data, place, length - SPAN + 1, 0) + (place - start).astype(np.uint64))
+    return key, _at(data, start, length, 1), np.zeros(len(start), np.int64), start
+
+
+def _induced(firsts: DataFrame, lists: DataFrame, length: int, cut) -> DataFrame:
+    """(key, hash, context, doc_id, variant, spot): what ``cut`` makes of the listed spots of each document."""
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
-            rows, keys, strings, begins = [], [], [], []
-            for row, (data, spots) in enumerate(zip(_bytes_of(batch), batch.column("spots"))):
-                spot = np.sort(np.array(spots.as_py(), np.int64))
-                first, ahead, more = spot >> 12, spot >> 6 & 63, spot & 63
-                count = more + 1
-                step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(first, count) + step
-                place = np.repeat(first + ahead, count)
-                order = np.argsort(start, kind="stable")
-                start, place = start[order], place[order]
-                anchor = _first_kind(data, place, gram)
-                rows.append(np.full(len(start), row))
-                keys.append(mix64(anchor + (place - start).astype(np.uint64)))
-                strings.append(_substrings(data, start, start + length))
-                begins.append(start)
-            join = lambda x: np.concatenate([np.empty(0, np.int64), *(v.view(np.int64) for v in x)])
-            at = pa.array(join(rows))
+            rows, keys, hashes, contexts, spots = [], [], [], [], []
+            for row, (data, own) in enumerate(zip(_bytes_of(batch), batch.column("spots"))):
+                key, code, context, spot = cut(data, own, length)
+                rows.append(np.full(len(key), row))
+                keys.append(key)
+                hashes.append(code)
+                contexts.append(context)
+                spots.append(spot)
+            at = pa.array(_joined(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(join(keys)), pa.array(join(strings)), batch.column("doc_id").take(at),
-                 batch.column("variant").take(at), pa.array(join(begins))],
-                names=["anchor_place", "string", "doc_id", "variant", "start"])
+                [pa.array(_joined(keys)), pa.array(_joined(hashes)), pa.array(_joined(contexts)),
+                 batch.column("doc_id").take(at), batch.column("variant").take(at), pa.array(_joined(spots))],
+                names=["key", "hash", "context", "doc_id", "variant", "spot"])
+
+    kind = firsts.schema["doc_id"].dataType.simpleString()
+    theirs = lists.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), "spots")
+    texts = firsts.join(_same(lists), _on(), "left_semi").join(theirs, _on()).select("doc_id", "variant", "text", "spots")
+    return texts.mapInArrow(rows_of, f"key long, hash long, context long, doc_id {kind}, variant long, spot long")
 
-    kind = places.schema["doc_id"].dataType.simpleString()
-    return places.mapInArrow(cut, f"anchor_place long, string long, doc_id {kind}, variant long, start long")
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(p.view(np.int64) for p in parts)])
 
-def _first_kind(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes (of the first kind) of substrings of one length with ascending starts."""
+
+def _between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of substrings, in the order of ``starts``."""
     out = np.empty(len(starts), np.uint64)
+    order = np.argsort(starts, kind="stable")
+    ranked, until = starts[order], ends[order]
     for low in range(0, len(data), PIECE):
-        a, b = np.searchsorted(starts, (low, low + PIECE))
+        a, b = np.searchsorted(ranked, (low, low + PIECE))
         if b > a:
-            out[a:b] = Prefix(data[low:low + PIECE + length], 0).all(length)[starts[a:b] - low]
+            prefix = Prefix(data[low:int(until[a:b].max())], kind)
+            out[order[a:b]] = prefix.at(ranked[a:b] - low, until[a:b] - low)
     return out
 
 
+def _at(data: np.ndarray, starts: np.ndarray, length: int, kind: int) -> np.ndarray:
+    """Hashes of substrings of one length, in the order of ``starts``."""
+    return _between(data, starts, starts + length, kind)
+
+
 def _same(ids: DataFrame) -> DataFrame:
     return small(ids.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant")))
 
@@ -199,36 +230,39 @@ def _on() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("variant") == F.col("_variant"))
 
 
+def _settled(rows: DataFrame, by: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``(*by, context, doc_id, variant, spot)`` that agree in ``by``: the ranges of strings whose
+    context occurs earlier, and (doc_id, variant, spots) of the first of each context where there are
+    several."""
+    where = F.struct("doc_id", "variant", "spot")
+    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    seen = scratch.keep(rows.join(again, by))
+    contexts = scratch.keep(seen.groupBy(*by, "context").agg(F.min(where).alias("first"), F.count("*").alias("n")))
+    whole = scratch.keep(seen.join(contexts.where("n > 1").select(*by, "context", "first"), [*by, "context"]).where(
+        where != F.col("first")).select(
+        "doc_id", "variant", (F.shiftleft(F.shiftright("spot", 12), 12) + F.col("spot").bitwiseAND(63)).alias("range")))
+    several = contexts.groupBy(*by).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*by)
+    lists = scratch.keep(contexts.join(several, by).select("first.*").groupBy("doc_id", "variant").agg(
+        F.collect_list("spot").alias("spots")))
+    scratch.drop(seen, contexts)
+    return whole, lists
+
+
 def repeated_ranges(firsts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(doc_id, variant, ranges): starts (from bit 12) and numbers less one of successive strings that
     also start earlier."""
+    by_anchor, lists = _settled(_anchor_rows(firsts, length), ["anchor"], scratch)
+    cores = scratch.keep(_induced(firsts, lists, length, _core_rows))
+    by_core, deeper = _settled(cores, ["key", "hash"], scratch)
+    scratch.drop(lists, cores)
+    strings = scratch.keep(_induced(firsts, deeper, length, _string_rows).drop("context"))
     where = F.struct("doc_id", "variant", "spot")
-    found = _anchor_rows(firsts, length)
-    again = scratch.keep(found.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"), F.min(where).alias("first"))
-        .where("n > 1").withColumn("alike", F.col("low") == F.col("high"))
-        .select("anchor", "alike", F.when(F.col("alike"), F.col("first")).alias("first")))
-    seen = scratch.keep(found.join(again, "anchor"))
-    scratch.drop(again)
-    # one context: all but the first; several: all but the first of each, whose strings are compared
-    contexts = scratch.keep(seen.where("not alike").groupBy("anchor", "context").agg(F.min(where).alias("first")))
-    alike = seen.where("alike").where(where != F.col("first")).select("doc_id", "variant", "spot")
-    other = seen.where("not alike").drop("first").join(contexts, ["anchor", "context"]).where(
-        where != F.col("first")).select("doc_id", "variant", "spot")
-    whole = scratch.keep(alike.union(other).select(
-        "doc_id", "variant", (F.shiftleft(F.shiftright("spot", 12), 12) + F.col("spot").bitwiseAND(63)).alias("range")))
-    lists = scratch.keep(contexts.select("first.*").groupBy("doc_id", "variant").agg(F.collect_list("spot").alias("spots")))
-    scratch.drop(seen, contexts)
-    theirs = lists.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), "spots")
-    texts = firsts.join(_same(lists), _on(), "left_semi").join(theirs, _on()).select("doc_id", "variant", "text", "spots")
-    strings = scratch.keep(_string_rows(texts, length))
-    start = F.struct("doc_id", "variant", "start")
-    earliest = strings.groupBy("anchor_place", "string").agg(
-        F.count("*").alias("n"), F.min(start).alias("first")).where("n > 1").drop("n")
-    single = strings.join(earliest, ["anchor_place", "string"]).where(start != F.col("first")).select(
-        "doc_id", "variant", F.shiftleft("start", 12).alias("range"))
-    ranges = scratch.keep(whole.union(single).groupBy("doc_id", "variant").agg(F.collect_list("range").alias("ranges")))
-    scratch.drop(whole, lists, strings)
+    earliest = strings.groupBy("key", "hash").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").drop("n")
+    single = strings.join(earliest, ["key", "hash"]).where(where != F.col("first")).select(
+        "doc_id", "variant", F.shiftleft("spot", 12).alias("range"))
+    ranges = scratch.keep(by_anchor.union(by_core).union(single).groupBy("doc_id", "variant").agg(
+        F.collect_list("range").alias("ranges")))
+    scratch.drop(by_anchor, by_core, deeper, strings)
     return ranges
 
 

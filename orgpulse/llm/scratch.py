@@ -8,12 +8,17 @@ returned frame still reads stays until :func:`release` is called or Python exits
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orgpulse.session import ensure_checkpoint_dir
 
+COLLECT_SECONDS = 10
+_collected = 0.0
 _HELD: dict[str, SparkSession] = {}
 
 
@@ -38,8 +43,18 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._collect()
         return out
 
+    def _collect(self) -> None:
+        """Let Spark's cleaner find the shuffle files of finished steps: it goes by what the driver's JVM
+        has collected, which may be long ago.  At most once in COLLECT_SECONDS."""
+        global _collected
+        if time.monotonic() - _collected >= COLLECT_SECONDS:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            _collected = time.monotonic()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
@@ -48,6 +63,16 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+#: Rows of a broadcast side; the sides passed to :func:`small` are ids, so some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids as a join side: broadcast if it has at most ``most`` rows, else joined by
+    a shuffle, whose skewed partitions Spark can split."""
+    return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete all scratch tables (of ``spark``); frames returned earlier can't be read afterwards."""
     for root, session in list(_HELD.items()):
