@@ -3,17 +3,21 @@
 Two documents link when the Jaccard similarity of their sets of ``n``-word shingles reaches
 ``num / den``.  The join goes over classes of documents with equal sets, so copies are never paired:
 
-1. *Order.*  Shingles are ordered by a hashed document-frequency table (``BINS`` counters over all
-   documents, so of one size), rarest first, ties by hash.  Any such total order keeps the prefix
-   filter exact; this one keeps passages that many documents share out of the prefixes.
+1. *Order.*  Shingles are ordered rarest first, ties by hash.  How rare is estimated from two tables of
+   ``BINS`` hashed counters over all documents (so of one size): the frequencies of a shingle's words,
+   and how often the shingle itself occurs above its counter's average load.  Any total order keeps the
+   prefix filter exact; this one keeps common phrases and passages that many documents share out of
+   the prefixes.
 2. *Groups.*  Sets of the same size with the same prefix form one group.
 3. *Group pairs.*  Groups that share a prefix shingle are candidates if sizes and the places of the
    shingle in both sets leave room for the needed overlap.  First every group meets only the
    smallest group of each of its posting lists (pairs grow with the lists, not their squares).
 4. *Expand and verify.*  Candidates are expanded to member sets and verified on the full sets, read
    again from the documents.
-5. *Rest.*  Pairs of one posting list are skipped only if links found so far already join them; all
-   other pairs of the lists are filtered and verified likewise, so no component is missed.
+5. *Rest.*  Pairs of one posting list are skipped only if links found so far already join them.  All
+   other pairs are counted over the lists they share: prefixes are ``COMMON`` - 1 shingles longer than
+   one shared shingle would need, so similar sets share ``COMMON`` of them, and the places of the last
+   one bound the overlap.  Pairs that pass are verified likewise, so no component is missed.
 
 Result of :func:`similar_documents`: one row per row of ``docs`` with ``doc_id``, ``n_shingles``,
 ``set_id`` (smallest doc_id with the same set) and ``component_id`` (smallest doc_id reachable by
@@ -37,11 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.llm.components import connected_components
-from orgpulse.llm.scratch import Scratch
+from orgpulse.llm.scratch import Scratch, small
 from orgpulse.llm.text import flat, pieces, shingles, small_batches, tokens
 
-#: Counters of the document-frequency table.
+#: Counters of each frequency table.
 BINS = 1 << 18
+#: Prefix shingles that similar sets share (or all that they need to share, if fewer).
+COMMON = 3
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -55,24 +61,42 @@ def _bins(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype(np.int64) & (BINS - 1)
 
 
-def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """BINS levels, each the logarithm of a counter of distinct shingles per document."""
+def frequency_tables(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of BINS logarithms: the share of a word in all words, and the occurrences of a
+    shingle (as many as stand out from its counter's load)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BINS, np.int64)
+        single, joint = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for batch in small_batches(batches, "text"):
-            for own in _sets(batch.column(0), n):
-                if len(own) > BINS // 16:
-                    counts += np.bincount(_bins(own), minlength=BINS)
-                else:
-                    np.add.at(counts, _bins(own), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bin", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+            words, offsets = tokens(*flat(batch.column(0)))
+            single += np.bincount(_bins(words), minlength=BINS)
+            held = [shingles(words[low:high], n) for low, high in zip(offsets, offsets[1:])]
+            joint += np.bincount(_bins(np.concatenate([np.empty(0, np.uint64), *held])), minlength=BINS)
+        used = np.flatnonzero(single + joint)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(single[used]), pa.array(joint[used])],
+                                         names=["bin", "single", "joint"])
+
+    rows = docs.select("text").mapInArrow(count, "bin long, single long, joint long").groupBy("bin").agg(
+        F.sum("single").alias("single"), F.sum("joint").alias("joint"))
     got = rows.toArrow()  # BINS rows at most
-    levels = np.zeros(BINS, np.uint8)
-    levels[got.column("bin").to_numpy()] = np.minimum(255, 8 * np.log2(1 + got.column("n").to_numpy()))
-    return levels
+    single, joint = np.zeros(BINS), np.zeros(BINS)
+    at = got.column("bin").to_numpy()
+    single[at], joint[at] = got.column("single").to_numpy(), got.column("joint").to_numpy()
+    share = np.log2(np.maximum(single, 1) / max(single.sum(), 1)).astype(np.float32)
+    load = float(np.median(joint))
+    above = np.log2(np.maximum(joint - load - 6 * load ** 0.5, 1)).astype(np.float32)
+    return share, above
+
+
+def _levels(words: np.ndarray, own: np.ndarray, first: np.ndarray, n: int, total: float,
+            share: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A level per distinct shingle, higher for commoner ones: by what its words make likely, or by its
+    own counter if that says more.  ``first``: where the shingle starts."""
+    width = min(n, len(words))
+    part = share[_bins(words)]
+    likely = np.full(len(words) - width + 1, total, np.float32)
+    for k in range(width):
+        likely = likely + part[k:k + len(likely)]
+    return np.clip(np.round(np.maximum(likely[first], above[_bins(own)]) * 4) + 100, 0, 255).astype(np.uint8)
 
 
 def _binary(values: list[np.ndarray]) -> pa.Array:
@@ -81,17 +105,22 @@ def _binary(values: list[np.ndarray]) -> pa.Array:
 
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, size of the set, 128-bit hash of the set and of the prefix, and the prefix itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))  # BINS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_tables(docs, n))  # 2 x BINS floats
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        share, above = shared.value
+        total = np.float32(-share.min())
         for batch in small_batches(batches, "text"):
             sizes, sig, key, prefix = [], [], [], []
-            for own in _sets(batch.column("text"), n):
+            words, offsets = tokens(*flat(batch.column("text")))
+            for low, high in zip(offsets, offsets[1:]):
+                own, at = np.unique(shingles(words[low:high], n), return_index=True)
                 size = len(own)
-                length = size - -(-num * size // den) + 1 if size else 0
-                ranks = levels[_bins(own)].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8)
-                first = own[np.argsort(ranks, kind="stable")[:length]]
+                first = own
+                if size:
+                    length = min(size, size - -(-num * size // den) + COMMON)
+                    levels = _levels(words[low:high], own, at, n, total, share, above)
+                    first = own[np.argsort(levels, kind="stable")[:length]]
                 sizes.append(size)
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 key.append(xxhash.xxh3_128_digest(first.tobytes()))
@@ -108,16 +137,23 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         sign, f"doc_id {kind}, n_shingles long, sig binary, prefix_key binary, prefix array<long>")
 
 
+def _needed(nx: Column, ny: Column, num: int, den: int) -> Column:
+    """Shared shingles that sets of these sizes need."""
+    return F.ceil((nx + ny) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+
+
+def _sizes_fit(nx: Column, ny: Column, num: int, den: int) -> Column:
+    return (nx * den >= ny * num) & (ny * den >= nx * num)
+
+
 def _may_reach(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) -> Column:
-    """Sizes alone, and the shingles left behind the shared one, allow the needed overlap."""
-    need = F.ceil((nx + ny) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
-    return ((nx * den >= ny * num) & (ny * den >= nx * num)
-            & (1 + F.least(nx - px - 1, ny - py - 1) >= need))
+    """Sizes alone, and the shingles left behind the first shared one, allow the needed overlap."""
+    return _sizes_fit(nx, ny, num, den) & (1 + F.least(nx - px - 1, ny - py - 1) >= _needed(nx, ny, num, den))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The pairs ``(a, b)`` of set ids whose sets are similar; sets come from the texts of a and b."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+def _full_sets(pairs: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``(set_id, own)``: the sets of the documents that ``pairs(a, b)`` name, from their texts."""
+    wanted = scratch.keep(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
 
     def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -125,9 +161,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
                 [batch.column("doc_id"), _binary(list(_sets(batch.column("text"), n)))], names=["set_id", "own"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = scratch.keep(docs.select("doc_id", "text").join(
-        wanted, F.col("doc_id") == F.col("set_id"), "left_semi").mapInArrow(own_sets, f"set_id {kind}, own binary"))
+    return scratch.keep(docs.select("doc_id", "text").join(
+        small(wanted), F.col("doc_id") == F.col("set_id"), "left_semi").mapInArrow(own_sets, f"set_id {kind}, own binary"))
+
 
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` of set ids whose full sets are similar."""
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -142,56 +181,60 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scrat
     left, right = sets.toDF("ida", "own_a"), sets.toDF("idb", "own_b")
     full = pairs.select("a", "b").join(left, F.col("a") == F.col("ida")).drop("ida") \
         .join(right, F.col("b") == F.col("idb")).drop("idb")
+    kind = pairs.schema["a"].dataType.simpleString()
     return full.mapInArrow(similar, f"a {kind}, b {kind}")
 
 
 def verified_links(signed: DataFrame, docs: DataFrame, n: int, num: int, den: int,
                    scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(set classes, links between them that join every component)."""
-    sets = scratch.keep(
+    """(classes of equal sets, links between them that join every component)."""
+    whole = scratch.keep(
         signed.where("doc_id is not null and n_shingles > 0")
         .groupBy("n_shingles", "prefix_key", "sig").agg(F.min("doc_id").alias("set_id"), F.first("prefix").alias("prefix")))
-    groups = scratch.keep(
-        sets.groupBy("n_shingles", "prefix_key").agg(
-            F.min("set_id").alias("group_id"), F.count("*").alias("members"), F.first("prefix").alias("prefix")))
-    entries = groups.select(F.posexplode("prefix").alias("place", "shingle"), "group_id", "n_shingles", "members")
+    groups = scratch.keep(whole.groupBy("n_shingles", "prefix_key").agg(
+        F.min("set_id").alias("group_id"), F.count("*").alias("members"), F.first("prefix").alias("prefix")))
+    sets = scratch.keep(whole.join(groups.select("n_shingles", "prefix_key", "group_id", "members"), ["n_shingles", "prefix_key"])
+                        .select("sig", "set_id", "group_id", "members", "n_shingles"))
+    scratch.drop(whole)
+    entries = groups.select(F.posexplode("prefix").alias("place", "shingle"), "group_id", F.col("n_shingles").cast("int").alias("n"))
     # posting lists with more than one group, and the group that stands for each
-    lists = entries.groupBy("shingle").agg(
-        F.min(F.struct("group_id", "n_shingles", "place")).alias("head"), F.count("*").alias("groups")).where("groups > 1")
-    postings = scratch.keep(entries.join(lists.select("shingle", "head"), "shingle"))
-    first = postings.where(F.col("group_id") != F.col("head.group_id")).where(_may_reach(
-        F.col("n_shingles"), F.col("head.n_shingles"), F.col("place"), F.col("head.place"), num, den)).select(
-        "group_id", F.col("head.group_id").alias("other_group")).distinct()
-    member = sets.join(groups.select("n_shingles", "prefix_key", "group_id", "members"), ["n_shingles", "prefix_key"]) \
-        .select("set_id", "group_id", "members")
-    member = scratch.keep(member)
+    lists = scratch.keep(entries.groupBy("shingle").agg(
+        F.min("group_id").alias("head"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "head"))
+    postings = scratch.keep(entries.join(lists, "shingle"))
+    scratch.drop(groups, lists)
+    heads = postings.where("group_id = head").select("shingle", F.col("n").alias("head_n"), F.col("place").alias("head_place"))
+    first = postings.where("group_id <> head").join(heads, "shingle").where(_may_reach(
+        F.col("n"), F.col("head_n"), F.col("place"), F.col("head_place"), num, den)).select("group_id", "head").distinct()
     # expand: every member against the other group's first set, and within groups against their own
-    star = member.join(first, "group_id").select(F.col("set_id").alias("a"), F.col("other_group").alias("b")).union(
-        member.where("members > 1 and set_id <> group_id").select(F.col("set_id").alias("a"), F.col("group_id").alias("b")))
-    star = scratch.keep(star)
-    links = scratch.keep(_verify(star, docs, n, num, den, scratch))
+    star = scratch.keep(sets.join(first, "group_id").select(F.col("set_id").alias("a"), F.col("head").alias("b")).union(
+        sets.where("members > 1 and set_id <> group_id").select(F.col("set_id").alias("a"), F.col("group_id").alias("b"))))
+    own = _full_sets(star, docs, n, scratch)
+    links = scratch.keep(_verify(star, own, num, den))
+    scratch.drop(star, own)
     joined = connected_components(links, scratch)
-    placed = scratch.keep(member.join(joined, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", "group_id", F.coalesce("component_id", "set_id").alias("component")))
+    placed = scratch.keep(sets.join(joined, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", "group_id", "members", F.coalesce("component_id", "set_id").alias("component")))
 
     # the rest: lists (and groups) whose sets are not yet in one component
     spread = placed.groupBy("group_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    seen = postings.join(spread, "group_id")
-    open_lists = seen.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    rest = postings.join(open_lists.select("shingle"), "shingle", "left_semi").join(placed, "group_id").select(
-        "shingle", "set_id", "n_shingles", "place", "component")
-    rest = scratch.keep(rest)
+    open_lists = postings.join(spread, "group_id").groupBy("shingle").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
+    rest = scratch.keep(postings.join(open_lists, "shingle", "left_semi").join(placed, "group_id").select(
+        "shingle", "set_id", "n", "place", "component"))
     x, y = rest.toDF("shingle", "a", "na", "pa", "ca"), rest.toDF("shingle", "b", "nb", "pb", "cb")
-    across = x.join(y, "shingle").where("a < b and ca <> cb").where(
-        _may_reach(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), num, den)).select("a", "b")
-    loose = placed.join(spread.where("low <> high").select("group_id"), "group_id", "left_semi").select(
-        "group_id", "set_id", "component")
-    gx, gy = loose.toDF("g", "a", "ca"), loose.toDF("g", "b", "cb")
-    across = across.union(gx.join(gy, "g").where("a < b and ca <> cb").select("a", "b")).distinct()
-    across = scratch.keep(across)
-    more = scratch.keep(_verify(across, docs, n, num, den, scratch))
-    scratch.drop(postings, rest, member, groups, star, across)
-    return sets, links.union(more)
+    na, nb = F.col("na"), F.col("nb")
+    across = x.join(y, "shingle").where("a < b and ca <> cb").where(_sizes_fit(na, nb, num, den)).groupBy(
+        "a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).where(
+        (F.col("common") >= F.least(F.lit(COMMON), _needed(na, nb, num, den)))
+        & (F.col("common") + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) >= _needed(na, nb, num, den))).select("a", "b")
+    loose = placed.where("members > 1").join(spread.where("low <> high").select("group_id"), "group_id", "left_semi")
+    gx, gy = (loose.select("group_id", "set_id", "component").toDF("g", c, f"c{c}") for c in "ab")
+    across = scratch.keep(across.union(gx.join(gy, "g").where("a < b and ca <> cb").select("a", "b")).distinct())
+    scratch.drop(postings, rest, placed)
+    own = _full_sets(across, docs, n, scratch)
+    more = scratch.keep(_verify(across, own, num, den))
+    scratch.drop(across, own)
+    return sets.select("sig", "set_id"), links.union(more)
 
 
 def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -229,9 +272,10 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.keep(_placed(docs.select("doc_id", "text"), n, num, den).where("doc_id is not null and n_shingles > 0"))
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sig")).alias("best"))
-    gone = found.join(best, "component_id").where(F.struct("doc_id", "sig") != F.col("best")).select("doc_id", "sig").distinct()
+    gone = scratch.keep(found.join(best, "component_id").where(F.struct("doc_id", "sig") != F.col("best"))
+                        .select("doc_id", "sig").distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
-                       _signature_of(n)(F.col("text")).alias("sig")).join(gone, ["doc_id", "sig"], "left_anti")
+                       _signature_of(n)(F.col("text")).alias("sig")).join(small(gone), ["doc_id", "sig"], "left_anti")
     twice = scratch.keep(found.groupBy("doc_id", "sig").count().where("count > 1").select("doc_id", "sig"))
     if not twice.isEmpty():
         one = rows.join(twice, ["doc_id", "sig"], "left_semi").groupBy("doc_id", "sig").agg(F.first("row").alias("row"))
