@@ -235,7 +235,8 @@ def _settled(rows: DataFrame, by: list[str], scratch: Scratch) -> tuple[DataFram
     context occurs earlier, and (doc_id, variant, spots) of the first of each context where there are
     several."""
     where = F.struct("doc_id", "variant", "spot")
-    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    # written, so that the join below has plain sides and a hot key's partition can be split
+    again = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
     seen = scratch.keep(rows.join(again, by))
     contexts = scratch.keep(seen.groupBy(*by, "context").agg(F.min(where).alias("first"), F.count("*").alias("n")))
     whole = scratch.keep(seen.join(contexts.where("n > 1").select(*by, "context", "first"), [*by, "context"]).where(
@@ -244,7 +245,7 @@ def _settled(rows: DataFrame, by: list[str], scratch: Scratch) -> tuple[DataFram
     several = contexts.groupBy(*by).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*by)
     lists = scratch.keep(contexts.join(several, by).select("first.*").groupBy("doc_id", "variant").agg(
         F.collect_list("spot").alias("spots")))
-    scratch.drop(seen, contexts)
+    scratch.drop(again, seen, contexts)
     return whole, lists
 
 
