@@ -65,12 +65,13 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
         (draw.cast("long") / F.lit(float(16 ** 13))).alias("start"))
 
 
-def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
-    """Rows with ``row`` (the input row as a struct), size, source_size, target, copies."""
+def _mix(docs: DataFrame, carried: Sequence[str], weights: Sequence[float], share: float, most: float,
+         seed: str) -> DataFrame:
+    """Rows with ``row`` (the carried columns as a struct), size, source_size, target, copies."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
+        "doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"),
         word_count(F.col("text")).alias("size"), digest.alias("hash"),
         F.substring(digest, 1, CELL_DIGITS).alias("cell"))
     keyed = keyed.withColumn("step", F.when(F.col("hash") < "8", F.col("size") - _APEX).otherwise(_APEX - F.col("size")))
@@ -93,7 +94,7 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, s
         sizes, [*source, "step"]).select(
         *source, "step", "cell", (F.col("band_before") + F.col("size_before") + F.col("cell_before")).alias("ahead"),
         F.col("total").alias("source_size"), "target", "start"))
-    place = F.row_number().over(Window.partitionBy(*source, "step", "cell").orderBy("hash", F.col("row.doc_id")))
+    place = F.row_number().over(Window.partitionBy(*source, "step", "cell").orderBy("hash", "doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("ahead") + F.col("place")
     return keyed.withColumn("place", place).join(cells, [*source, "step", "cell"]).select(
@@ -104,12 +105,12 @@ def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, s
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
              seed: str = "mix") -> DataFrame:
     """One row per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target, copies, taken."""
-    return _mix(docs.select("doc_id", "source", "text"), weights, share, most, seed).select(
+    return _mix(docs, ["doc_id"], weights, share, most, seed).select(
         "row.doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
                     seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as it is emitted."""
-    return _mix(docs, weights, share, most, seed).where("copies > 0").select(
+    return _mix(docs, docs.columns, weights, share, most, seed).where("copies > 0").select(
         "row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
