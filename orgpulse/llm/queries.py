@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, lines, mixing, passages, quality, sharding
+from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, lines, mixing, oracle_sql, passages, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in all ``documents``, by Dice 0.8 over word bigrams."""
-    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+    return licenses.license_matches(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +87,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return dict(oracle_sql.ORACLES)

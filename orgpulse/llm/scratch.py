@@ -64,7 +64,7 @@ class Scratch:
 
 
 #: Rows of a broadcast side; the sides passed to :func:`small` are ids, so some tens of MB.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
