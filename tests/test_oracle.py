@@ -11,8 +11,8 @@ pytestmark = pytest.mark.skipif(not os.path.exists(f"{SF}/orders.parquet"), reas
 
 
 def _keys():
-    from __spark_entry__ import queries
-    return list(queries())
+    from orgpulse.plans.registry import all_queries
+    return list(all_queries())
 
 
 @pytest.fixture(scope="module")
