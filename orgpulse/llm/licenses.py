@@ -1,20 +1,25 @@
 """Operator 4: licence scan by the Dice coefficient over word bigrams (DataFrame functions only).
 
 Units of a document are its whole text, its paragraphs (between blank lines) and its lines.  A unit
-and a template are normalised alike (lower case, runs of anything but a-z and 0-9 become one blank)
-and become sets of word bigrams.  Dice is ``2 |A & B| / (|A| + |B|)``, so only templates with
-``|A| t / (2 - t) <= |B| <= |A| (2 - t) / t`` can reach a threshold ``t``; all others are pruned before
-any bigram is compared.  Everything is an expression on the row; only matches are shuffled.
+and a template are normalised alike (runs of A-Z, a-z and 0-9 are words, lower-cased) and become bags
+of word bigrams, A and B.  Dice is ``2 |A & B| / (|A| + |B|)``, so a threshold ``t`` needs
+``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``: the number of words decides which templates a unit can
+reach before any bigram is formed, and most long units reach none.  Of a template's bigrams at least
+``need`` must occur, so one of any ``|B| - need + 1`` does; a unit without a word of those that a
+template's longest words pick goes before bigrams are formed, too.  Everything is an expression on
+the row; only matches are shuffled.
 
 Result: one row per doc_id and licence with the best Dice of any unit and the number of units that
-match.  Edge cases: null or empty texts and units of one word match nothing; repeated units of a
+match.  Edge cases: null or empty texts and units of one word match nothing; equal units of a
 document count once, repeated rows of a doc_id are taken together, a null doc_id is one group;
 equal Dice values are all reported; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +52,30 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+_WORD = "[A-Za-z0-9]+"
+
+
 def template_bigrams(text: str) -> list[str]:
-    """The bigram set of a template, normalised like a unit."""
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).strip().split(" ")
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    """The bigrams of a template, normalised like a unit, repeats included."""
+    words = [w.lower() for w in re.findall(_WORD, text)]
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _keywords(grams: list[str], threshold: float) -> set[str]:
+    """Words of which a unit must hold one to reach the threshold."""
+    need = math.ceil(threshold / 2 * (1 + threshold / (2 - threshold)) * len(grams) - 1e-9)
+    longest = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
+    return set(longest[:len(grams) - need + 1])
+
+
+def _shared(grams: list[str]) -> Column:
+    """Size of the intersection of a unit's bag ``grams`` with a template's."""
+    shared = F.size(F.array_intersect("grams", F.array(*map(F.lit, sorted(set(grams))))))
+    for gram, count in Counter(grams).items():
+        if count > 1:
+            own = F.size("grams") - F.size(F.array_remove("grams", gram))
+            shared = shared + F.greatest(F.least(own, F.lit(count)) - 1, F.lit(0))
+    return shared
 
 
 def _units(text: Column) -> Column:
@@ -64,19 +89,19 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     known = [(name, grams) for name, text in templates if (grams := template_bigrams(text))]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(g) for _, g in known), max(len(g) for _, g in known)
-    words = F.filter(F.split(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    pairs = F.size("words") - 1
-    grams = F.array_distinct(F.zip_with(
-        F.slice("words", 1, pairs), F.slice("words", 2, pairs), lambda a, b: F.concat_ws(" ", a, b)))
+    counted = F.regexp_count("unit", F.lit(_WORD)) - 1
+    words = F.transform(F.regexp_extract_all("unit", F.lit(_WORD), F.lit(0)), F.lower)
+    grams = F.zip_with(F.slice("words", 1, F.col("n")), F.slice("words", 2, F.col("n")), lambda a, b: F.concat_ws(" ", a, b))
+    in_reach = lambda g: F.col("n").between(len(g) * low - 1e-9, len(g) * high + 1e-9)
     scores = F.array_compact(F.array(*[
-        F.when((F.col("n") >= len(g) * low - 1e-9) & (F.col("n") <= len(g) * high + 1e-9), F.struct(
-            F.lit(name).alias("license_id"),
-            (F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) * 2.0 / (F.col("n") + len(g))).alias("dice")))
+        F.when(in_reach(g), F.struct(
+            F.lit(name).alias("license_id"), (_shared(g) * 2.0 / (F.col("n") + len(g))).alias("dice")))
         for name, g in known]))
+    keys = sorted(set().union(*(_keywords(g, threshold) for _, g in known)))
     units = docs.where("text is not null").select("doc_id", F.explode(_units(F.col("text"))).alias("unit"))
-    sized = units.select("doc_id", words.alias("words")).where(F.size("words") > int(least * low)).select(
-        "doc_id", grams.alias("grams")).withColumn("n", F.size("grams")).where(
-        F.col("n").between(least * low - 1e-9, most * high + 1e-9))
+    sized = units.withColumn("n", counted).where(F.col("n").between(least * low - 1e-9, most * high + 1e-9)).select(
+        "doc_id", "n", words.alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, keys)))).select(
+        "doc_id", "n", grams.alias("grams"))
     hits = sized.select("doc_id", F.posexplode(scores).alias("_place", "hit")).where(
         F.col("hit.dice") >= threshold - 1e-9)
     return hits.groupBy("doc_id", F.col("hit.license_id").alias("license_id")).agg(
