@@ -21,6 +21,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     an edge names.  Loops only name their node; rows with a null end are left out."""
     ends = edges.select("a", "b").where("a is not null and b is not null")
     both = scratch.keep(ends.union(ends.select("b", "a")).distinct())
+    if both.isEmpty():
+        return both.toDF("node", "component_id")
     nodes = both.select(F.col("a").alias("node")).distinct()
     roots = None
     live = both.where("a <> b")

@@ -231,6 +231,8 @@ def verified_links(signed: DataFrame, docs: DataFrame, n: int, num: int, den: in
     gx, gy = (loose.select("group_id", "set_id", "component").toDF("g", c, f"c{c}") for c in "ab")
     across = scratch.keep(across.union(gx.join(gy, "g").where("a < b and ca <> cb").select("a", "b")).distinct())
     scratch.drop(postings, rest, placed)
+    if across.isEmpty():
+        return sets.select("sig", "set_id"), links
     own = _full_sets(across, docs, n, scratch)
     more = scratch.keep(_verify(across, own, num, den))
     scratch.drop(across, own)

