@@ -28,7 +28,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 #: Bytes hashed at once.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str,
-                  most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+                  most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``most_bytes`` of text at most (or one row)."""
     for batch in batches:
         size = batch.column(column).nbytes
@@ -117,7 +117,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(start, step)
 
 
-def pieces(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+def pieces(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
     """The same for a column on its own."""
     step = max(1, int(len(column) * most_bytes / max(column.nbytes, 1)))
     for start in range(0, len(column), step):
