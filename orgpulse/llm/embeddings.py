@@ -9,7 +9,8 @@
    The number of visits is fitted: ``QUERIES`` sampled vectors are compared with every vector by brute
    force, and for each true pair the number of visits at which one finds the other is counted; the
    fewest visits that reach ``recall`` of these pairs, and of artificial pairs exactly at the
-   threshold, are taken.
+   threshold, are taken.  Where ``MOST_VISITS`` do not reach both (a cloud concentrated round its mean),
+   no visits are made: every vector meets every other in blocks of ``EVERY`` rows, which is exact.
 4. *Verification.*  Visitors of a cell meet the vectors stored there in blocks of at most ``STORED`` by
    ``VISITORS`` rows, whatever the cell holds, and pairs are verified by cosine in double precision.
    A block emits sums of weights per vector and a spanning forest of its links, never its pairs.  A
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from orgpulse.llm.components import connected_components
 from orgpulse.llm.scratch import Scratch, small
 
-QUERIES, STORED, VISITORS, MOST_CENTRES = 512, 400, 800, 1024
+QUERIES, STORED, VISITORS, MOST_CENTRES, MOST_VISITS, EVERY = 512, 400, 800, 1024, 256, 2048
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -98,9 +99,9 @@ def _order(cells: np.ndarray, home: np.ndarray) -> np.ndarray:
 
 
 def fit_visits(classes: DataFrame, sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float,
-               recall: float) -> int:
-    """The fewest visits that reach ``recall`` (see the module)."""
-    most = min(len(books[0]) ** 2, 256)
+               recall: float) -> int | None:
+    """The fewest visits that reach ``recall`` (see the module); None if ``MOST_VISITS`` do not."""
+    most = min(len(books[0]) ** 2, MOST_VISITS)
     queries = sample[:QUERIES]
     order = _visits(queries, books, most)
 
@@ -133,8 +134,9 @@ def fit_visits(classes: DataFrame, sample: np.ndarray, books: tuple[np.ndarray,
     for hist, goal in ((real, recall), (made, 0.9)):
         if hist.sum():
             share = np.cumsum(hist) / hist.sum()
-            needed.append(int(min(np.searchsorted(share, goal), most)))
-    return max(needed, default=1)
+            needed.append(int(np.searchsorted(share, goal)))
+    fewest = max(needed, default=1)
+    return fewest if fewest <= most else None
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -180,6 +182,50 @@ def _block(threshold: float, keys: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def _every(threshold: float, keys: pd.DataFrame) -> pd.DataFrame:
+    """Counts and a forest of links of all pairs of two blocks (or within one, when they are the same)."""
+    keys = keys.sort_values("part", kind="stable")
+    part, names, weight = keys["part"].to_numpy(), keys["key"].to_numpy(), keys["weight"].to_numpy()
+    unit = np.frombuffer(b"".join(keys["unit"]), np.float64).reshape(len(keys), -1)
+    own = keys["x"].iat[0] == keys["y"].iat[0]
+    first, start = (len(keys), 0) if own else ((part == part[0]).sum(), (part == part[0]).sum())
+    seen, a, b = np.zeros(len(keys), np.int64), [], []
+    if part[0] != keys["x"].iat[0]:
+        first = 0  # no row in the first block
+    for rows in _slices(first, len(keys) - start, 1_000_000):
+        i, j = np.nonzero(unit[rows][:first - rows.start] @ unit[start:].T >= threshold)
+        i, j = i + rows.start, j + start
+        once = i < j
+        i, j = i[once], j[once]
+        seen += np.bincount(i, weights=weight[j], minlength=len(keys)).astype(np.int64)
+        seen += np.bincount(j, weights=weight[i], minlength=len(keys)).astype(np.int64)
+        root = _forest(i, j, len(keys))
+        joined = np.flatnonzero(root != np.arange(len(keys)))
+        a.append(joined)
+        b.append(root[joined])
+    a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    root = _forest(a, b, len(keys))
+    joined = np.flatnonzero(root != np.arange(len(keys)))
+    return pd.DataFrame({"a": [*names[seen > 0], *names[joined]], "b": [None] * int((seen > 0).sum()) + [*names[root[joined]]],
+                         "n": [*seen[seen > 0], *[0] * len(joined)]})
+
+
+def _all_pairs(classes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """``(a, b, n)`` like :func:`_linked`, from every pair of classes."""
+    parts = -(-total // EVERY)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("weight"), pa.array([u.tobytes() for u in _unit(batch.column("embedding"))], pa.binary())],
+                names=["key", "weight", "unit"])
+
+    placed = classes.select("key", "weight", "embedding").mapInArrow(place, "key binary, weight long, unit binary").select(
+        "*", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("other"))
+    return placed.select("key", "weight", "unit", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).groupBy(
+        "x", "y").applyInPandas(lambda keys: _every(threshold, keys), "a binary, b binary, n long")
+
+
 def _linked(classes: DataFrame, threshold: float, recall: float, max_sample: int, scratch: Scratch) -> DataFrame:
     """``(a, b, n)`` of classes of one length: counts (b null) and links (n 0)."""
     total = classes.count()
@@ -189,6 +235,8 @@ def _linked(classes: DataFrame, threshold: float, recall: float, max_sample: int
     half = sample.shape[1] // 2
     books = (_k_means(sample[:, :half], k), _k_means(sample[:, half:], k))
     visits = fit_visits(classes, sample, books, threshold, recall)
+    if visits is None:
+        return _all_pairs(classes, total, threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from orgpulse.llm import chat, embeddings
 from orgpulse.llm.components import connected_components
@@ -78,6 +79,18 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(given.where("false")).count() == 0
 
 
+def test_a_concentrated_cloud_keeps_its_links(spark):
+    # cosine 0.85 round the mean and a grid of 21 x 21 cells: 256 visits miss links
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(30_000, 64)) / 64 ** 0.5 * (0.15 / 0.85) ** 0.5
+    vectors[:, 0] += 1
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = np.concatenate([(unit[i:i + 1000] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, len(unit), 1000)])
+    given = spark.createDataFrame(pa.table({"vec_id": np.arange(len(unit)), "embedding": list(vectors)})).repartition(4)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(given).select("vec_id", "n_links").collect()}
+    assert close.sum() > 10_000 and [got[i] for i in range(len(unit))] == close.tolist()
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (7000, 7000), (None, 3), (9001, 9000)]
     got = {r.node: r.component_id for r in connected_components(
