@@ -54,8 +54,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` without globally repeated multi-line chunks, as digests of what remains."""
-    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select(
+    """All ``documents`` without globally repeated multi-line chunks of eight chunkings, as digests of what remains."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), chunkings=8).select(
         "doc_id", "n_lines", "removed_lines", "removed_chunks",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

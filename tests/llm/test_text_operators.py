@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on documents with all awkward cases, and on empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -243,6 +244,29 @@ def test_boundaries_move_only_near_a_change():
     assert lines.chunk_ends(b"\n".join(ls).split(b"\n")[:200] + [b"new"] + ls[200:], 4)[-20:] == [e + 1 for e in ends[-20:]]
 
 
+def test_planted_passages_go_from_other_surroundings(spark):
+    rng = random.Random(4)
+    line = lambda: f"line {rng.getrandbits(64)}"
+    least, data = {5: 0.5, 6: 0.6, 8: 0.7, 10: 0.8, 20: 0.9}, []
+    planted = {n: [[line() for _ in range(n)] for _ in range(200)] for n in least}
+    for n, passages_ in planted.items():
+        for k, passage in enumerate(passages_):
+            for copy in (0, 1):
+                around = [[line() for _ in range(rng.randrange(1, 7))] for _ in (0, 1)]
+                data.append((copy * 100_000 + n * 1000 + k, "\n".join(around[0] + passage + around[1]), "en", "s"))
+    whole = [(200_000 + 2 * k + copy, "\n".join(f"whole {k} {i}" for i in range(k)), "en", "s") for k in range(2, 60) for copy in (0, 1)]
+    got = {r.doc_id: r for r in lines.dedup_lines(docs(spark, data + whole), chunkings=8).collect()}
+    assert all(got[i].text == t for i, t, *_ in data if i < 100_000)
+    for n, share in least.items():
+        assert sum(got[100_000 + n * 1000 + k].removed_lines for k in range(200)) >= share * 200 * n, n
+        for k, passage in enumerate(planted[n]):  # what goes is of the passage
+            given = next(t for i, t, *_ in data if i == 100_000 + n * 1000 + k).split("\n")
+            assert set(given) - set(got[100_000 + n * 1000 + k].text.split("\n")) <= set(passage)
+    for i, text, *_ in whole:
+        lost = text.count("\n") + 1 if i % 2 else 0
+        assert (got[i].removed_lines, got[i].text) == (lost, "" if lost else text)
+
+
 def test_licences_by_dice(spark):
     notice = dict(licenses.TEMPLATES)["MIT"]
     data = [(1, "Hello there.\nReleased under the MIT License.\nBye now.", "en", "s"), (2, "released UNDER the mit, license", "en", "s"),
