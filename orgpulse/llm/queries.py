@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.llm import chat, decontaminate, embeddings, jaccard, licenses, lines, mixing, oracle_sql, passages, quality, sharding
+from orgpulse.llm import (
+    alignment, chat, decontaminate, embeddings, frames, jaccard, licenses, lines, mixing, oracle_sql, passages, quality,
+    sharding, whitening,
+)
+from orgpulse.llm.scratch import Scratch
+from orgpulse.llm.vocab import vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +76,26 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json",
+                             b: str = "piece_bpe_32k.model") -> DataFrame:
+    """Byte-level and piece tokens of all ``documents`` aligned; each distinct text once."""
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.aligned_documents(docs, alignment.align(docs, vocabulary(a), vocabulary(b)))
+
+
+def op12_token_frames(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """All ``documents`` encoded, written as files of zstandard frames, and read back from them."""
+    path = f"{Scratch(spark, 'frames').root}/tokens"
+    frames.write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary(tokenizer))
+    return frames.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` on the first eight components, whitened."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination,
@@ -83,6 +108,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_sharding,
         op10_passage_dedup,
+        op11_tokenizer_alignment,
+        op12_token_frames,
+        op13_embedding_whitening,
     )}
 
 
