@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgpulse.llm.scratch import Scratch, small
-from orgpulse.llm.text import small_batches
-from orgpulse.llm.vocab import BETWEEN_WORDS, Memo, byte_level_bytes, decoded, json_tokenizer, piece_bytes
+from orgpulse.llm.vocab import (
+    JOINED, are_plain, byte_level_bytes, distinct_units, gathered, json_tokenizer, piece_bytes, ranges, texts_of, word_starts,
+)
 
 #: An id pair as one number: the A id times this, plus the B id.
 B_IDS = 1 << 32
@@ -46,70 +46,109 @@ class Aligner:
         import sentencepiece
         self.a, self.b = json_tokenizer(a_file), sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a_bytes = {i: byte_level_bytes(t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        a_bytes = [b"?"] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            a_bytes[i] = byte_level_bytes(token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [piece_bytes(p) for p in pieces]
-        if not all(self.a_bytes.values()) or not all(self.b_bytes):
+        b_bytes = [piece_bytes(p) for p in pieces]
+        if not all(a_bytes) or not all(b_bytes):
             raise ValueError("a vocabulary has an empty token")
         if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("a piece of the vocabulary spans words")
-
-    def parts(self, parts: list[str]) -> list[tuple | None]:
-        """(A tokens, B tokens, groups, groups as text, links as numbers) of each part after a space; None
-        where the bytes of its tokens are others."""
-        coded_a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        coded_b = self.b.encode(parts, num_threads=1)
-        return [self._link(p, x.ids, y) for p, x, y in zip(parts, coded_a, coded_b)]
-
-    def _link(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        a_said, b_said = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_said) == b"".join(b_said) == f" {part}".encode():
-            return None
-        a_ends, b_ends = list(accumulate(map(len, a_said))), list(accumulate(map(len, b_said)))
-        groups, links, i, j = [], [], 0, 0
-        shared = {*a_ends} & {*b_ends}
-        for k, end in enumerate(a_ends):
-            if end in shared:
-                m = b_ends.index(end, j)
-                groups.append(f"{','.join(map(str, a[i:k + 1]))}|{','.join(map(str, b[j:m + 1]))}")
-                links.append(a[k] * B_IDS + b[m])
-                i, j = k + 1, m + 1
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
+        self.bytes = a_bytes, b_bytes
+        self.widths = tuple(np.array([*map(len, x)]) for x in self.bytes)
+        self.names = tuple([np.array([f"{i}{sign}" for i in range(len(x))], object) for sign in signs]
+                           for x, signs in zip(self.bytes, (",|", ",;")))
+
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids under A and B of a text that begins with a space."""
+        return (np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64),
+                np.array(self.b.encode(text[1:], num_threads=1), np.int64))
+
+    def units(self, values: list[bytes]) -> dict[str, np.ndarray | list]:
+        """Of each unit (after a space): whether its tokens have its bytes, how many A tokens, B tokens and
+        groups, the groups as text, and its links as numbers with their offsets."""
+        ids = [], []
+        # the first or last unit of a text may begin or end with white space: encoded alone
+        able = are_plain(values)
+        plain, odd = np.flatnonzero(able), np.flatnonzero(~able).tolist()
+        right = np.ones(len(values), bool)
+        order = []
+        for start in range(0, len(plain), JOINED):
+            at = plain[start:start + JOINED]
+            joined = b"".join([values[k] for k in at])
+            got = self._encode(joined.decode())
+            if all(b"".join([said[i] for i in x]) == joined for said, x in zip(self.bytes, got)):
+                order.append(at)
+                for held, x in zip(ids, got):
+                    held.append(x)
+            else:
+                odd.extend(at)
+        for k in odd:
+            got = self._encode(values[k].decode())
+            right[k] = all(b"".join([said[i] for i in x]) == values[k] for said, x in zip(self.bytes, got))
+            if right[k]:
+                order.append(np.array([k]))
+                for held, x in zip(ids, got):
+                    held.append(x)
+        order = np.concatenate([np.empty(0, np.int64), *order]).astype(np.int64)
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in ids)
+        a_ends, b_ends = (np.cumsum(w[x]) for w, x in zip(self.widths, (a, b)))
+        ends = np.cumsum([len(values[k]) for k in order], dtype=np.int64)  # of the units; always ends of groups
+        _, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        stops = np.searchsorted(a_ends[a_last], ends) + 1  # groups up to each unit's end
+        out = {"right": right, "texts": [""] * len(values)}
+        for name, count in (("n_a", np.searchsorted(a_ends, ends) + 1), ("n_b", np.searchsorted(b_ends, ends) + 1), ("n_groups", stops)):
+            out[name] = np.zeros(len(values), np.int64)
+            out[name][order] = np.diff(count, prepend=0)
+        links = a[a_last] * B_IDS + b[b_last]
+        first = np.zeros(len(values), np.int64)
+        first[order] = stops - out["n_groups"][order]
+        out["links"] = links[ranges(first, out["n_groups"])]
+        # tokens as text: those of A, then those of B, group by group
+        words, groups = [], []
+        for x, last, (comma, sign) in ((a, a_last, self.names[0]), (b, b_last, self.names[1])):
+            closing = np.zeros(len(x), bool)
+            closing[last] = True
+            words.append(np.where(closing, sign[x], comma[x]))
+            groups.append(np.cumsum(closing) - closing)
+        said = np.concatenate(words)[np.argsort(np.concatenate((2 * groups[0], 2 * groups[1] + 1)), kind="stable")].tolist()
+        at = 0
+        for k, n in zip(order.tolist(), (out["n_a"] + out["n_b"])[order].tolist()):
+            out["texts"][k] = "".join(said[at:at + n])
+            at += n
+        return out
 
 
 def _aligned(texts: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
-    """``(text, copies)`` -> digest, copies, n_a, n_b, n_groups, groups_sha256, links(pair, times)."""
+    """``(text, copies, digest)``, each text after a space -> digest, copies, n_a, n_b, n_groups, groups_sha256, links(pair, times)."""
     files = texts.sparkSession.sparkContext.broadcast((a_file, b_file))  # some MB each
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = None
-        for batch in small_batches(batches, "text"):
-            memo = memo or Memo(Aligner(*files.value).parts)
-            texts = [decoded(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            cut = [BETWEEN_WORDS.split(t) if t else [] for t in texts]
-            known = memo.learn({p for parts in cut for p in parts})
-            counts, hashes, pairs, times = [], [], [], []
-            for parts in cut:
-                got = [known[p] for p in parts]
-                if not got or None in got:
-                    counts.append((0, 0, 0))
-                    hashes.append("")
-                    links = np.empty(0, np.int64)
-                else:
-                    n_a, n_b, n_groups, groups, links = zip(*got)
-                    counts.append((sum(n_a), sum(n_b), sum(n_groups)))
-                    hashes.append(hashlib.sha256(";".join(groups).encode()).hexdigest())
-                    links = np.frombuffer(b"".join(links), np.int64)
-                pair, often = np.unique(links, return_counts=True)
+        aligner = None
+        for batch in gathered(batches, "text"):
+            aligner = aligner or Aligner(*files.value)
+            data, offsets = texts_of(batch.column("text"), bad=b"")
+            starts = word_starts(data, offsets)
+            number, values = distinct_units(data, starts)
+            units = aligner.units(values)
+            bounds = np.searchsorted(starts, offsets)  # units of each text
+            wrong = np.concatenate(([0], np.cumsum(~units["right"][number])))[bounds]
+            used = (np.diff(wrong) == 0) & (np.diff(bounds) > 0)
+            sums = [np.where(used, np.diff(np.concatenate(([0], np.cumsum(units[c][number])))[bounds]), 0)
+                    for c in ("n_a", "n_b", "n_groups")]
+            first = np.cumsum(units["n_groups"]) - units["n_groups"]
+            said, numbers, hashes, pairs, times = units["texts"], number.tolist(), [], [], []
+            for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+                own = number[low:high] if used[k] else number[:0]
+                hashes.append(hashlib.sha256("".join([said[n] for n in numbers[low:high]])[:-1].encode()).hexdigest() if used[k] else "")
+                pair, often = np.unique(units["links"][ranges(first[own], units["n_groups"][own])], return_counts=True)
                 pairs.append(pair)
                 times.append(often)
-            offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
-            links = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(pairs or [np.empty(0, np.int64)])), pa.array(np.concatenate(times or [np.empty(0, np.int64)]))],
-                names=["pair", "times"])
+            links = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (pairs, times)], names=["pair", "times"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), batch.column("copies"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)),
-                 pa.array(hashes, pa.string()), pa.ListArray.from_arrays(offsets, links)],
+                [batch.column("digest"), batch.column("copies"), *(pa.array(s) for s in sums), pa.array(hashes, pa.string()),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32()), links)],
                 names=["digest", "copies", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
     return texts.mapInArrow(work, "digest binary, copies long, n_a long, n_b long, n_groups long, groups_sha256 string, "
@@ -134,7 +173,8 @@ def align(docs: DataFrame, a_file: bytes, b_file: bytes) -> Alignment:
     """Align every distinct text of ``docs(text)`` and count id pairs over all rows."""
     scratch = Scratch(docs.sparkSession, "alignment")
     distinct = docs.where(F.length("text") > 0).groupBy("text").agg(F.count("*").alias("copies"))
-    texts = scratch.keep(_aligned(distinct.select("text", "copies", _digest(F.col("text")).alias("digest")), a_file, b_file))
+    texts = scratch.keep(_aligned(distinct.select(
+        F.concat(F.lit(" "), "text").alias("text"), "copies", _digest(F.col("text")).alias("digest")), a_file, b_file))
     counts = scratch.keep(texts.select("copies", F.inline("links")).groupBy("pair").agg(
         F.sum(F.col("times") * F.col("copies")).alias("count")))
     b_id = F.col("pair") % B_IDS

@@ -22,7 +22,7 @@ checksum is not that of the table is an error.
 Edge cases: a null or empty text is the end id alone; a text that is not UTF-8 has U+FFFD in place of the
 bad bytes; null doc_ids come first; rows of one doc_id are ordered by a hash of their text; repeated rows
 are stored as often; an empty table gives a manifest without files; other columns are ignored.
-Vocabularies whose splitting does not drop white space need ``cut=None`` (texts are encoded whole).
+Vocabularies other than those of lower-cased words need ``coder=WholeCoder``.
 """
 
 from __future__ import annotations
@@ -41,8 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orgpulse.llm.text import small_batches
-from orgpulse.llm.vocab import WHITE_SPACE, Memo, json_tokenizer
+from orgpulse.llm.vocab import WordCoder, gathered, texts_of
 
 FORMAT, VERSION = "token-frames", 1
 #: Fixed values of the zstandard formats: first magic number of skippable frames, that of seek tables, the
@@ -135,9 +134,10 @@ class FrameFile:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int = 2, width: int = 2,
-                      cut=WHITE_SPACE) -> None:
+                      coder: type = WordCoder) -> None:
     """Encode ``docs(doc_id, text)`` and write the files and their manifest to the new folder ``path``, which
-    all executors reach.  ``width``: bytes of an id, 2 or 4; ``cut``: see the module."""
+    all executors reach.  ``width``: bytes of an id, 2 or 4; ``coder``: how texts are cut, see
+    :mod:`orgpulse.llm.vocab`."""
     spark = docs.sparkSession
     file = spark.sparkContext.broadcast(tokenizer)  # some MB
     header = {"format": FORMAT, "version": VERSION, "width": width, "end_id": end_id}
@@ -148,22 +148,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        coder = json_tokenizer(file.value)
-        if coder.get_vocab_size() > 1 << 8 * width:
+        own = coder(file.value)
+        if own.size > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary need more than {width} bytes")
-        memo = Memo(lambda parts: [np.array(c.ids, f"<u{width}").tobytes()
-                                   for c in coder.encode_batch_fast(parts, add_special_tokens=False)])
         ends = []
 
         def rows() -> Iterator[tuple[object, bytes]]:
-            for batch in small_batches((b for group in ([first], batches) for b in group), "text"):
-                texts = [(t or b"").decode(errors="replace") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                parts = [cut.split(t) if cut else [t] for t in texts]
-                known = memo.learn({p for own in parts for p in own})
+            for batch in gathered((b for group in ([first], batches) for b in group), "text"):
+                ids, offsets = own.encode(*texts_of(batch.column("text")))
+                ids = ids.astype(f"<u{width}")
                 names = batch.column("doc_id").to_pylist()
                 ends[:] = [ends[0] if ends else names[0], names[-1]]
-                for name, own in zip(names, parts):
-                    yield name, b"".join([known[p] for p in own]) + end
+                for name, low, high in zip(names, offsets, offsets[1:]):
+                    yield name, ids[low:high].tobytes() + end
 
         place = TaskContext.get().partitionId()
         name = f"part-{place:06d}-{uuid.uuid4().hex}.zst"
