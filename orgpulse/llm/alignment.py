@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orgpulse.llm.scratch import Scratch, small
 from orgpulse.llm.vocab import (
-    JOINED, are_plain, byte_level_bytes, distinct_units, gathered, json_tokenizer, piece_bytes, ranges, texts_of, word_starts,
+    JOINED, SLICE, are_plain, byte_level_bytes, distinct_units, gathered, json_tokenizer, piece_bytes, ranges, texts_of, word_starts,
 )
 
 #: An id pair as one number: the A id times this, plus the B id.
@@ -126,7 +126,7 @@ def _aligned(texts: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = None
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", 2 * SLICE):
             aligner = aligner or Aligner(*files.value)
             data, offsets = texts_of(batch.column("text"), bad=b"")
             starts = word_starts(data, offsets)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from orgpulse.llm.text import flat, small_batches
 
 #: Bytes of text worked on at once, and units joined into one call.
-SLICE, JOINED = 16 << 20, 2000
+SLICE, JOINED = 8 << 20, 2000
 
 
 def vocabulary(name: str) -> bytes:
