@@ -8,6 +8,7 @@ them joined into one call of the library), and the ids are dealt back to the tex
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -115,6 +116,9 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 #: Second bytes (after 0xC3) of the letters of Latin-1.
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+#: The lower-case letters, digits and signs that units are made of.
+_PLAIN_TEXT = bytes(b for b in range(0x21, 0x7F) if _CLASS[b] != _REST and _LOWER[b] == b) + \
+    b"".join(bytes([0xC3, b]) for b in range(0x9F, 0xC0) if _LATIN[b])
 
 
 class WordCoder:
@@ -127,6 +131,11 @@ class WordCoder:
 
     def __init__(self, file: bytes, mark: str = "</w>"):
         self.coder = json_tokenizer(file)
+        letters = _PLAIN_TEXT.decode()
+        if self.coder.normalizer is not None and self.coder.normalizer.normalize_str(letters) != letters:
+            raise ValueError("the vocabulary changes lower-case letters, digits or signs")
+        # units come in lower case, which its normaliser leaves as it is
+        self.plain = json_tokenizer(json.dumps(json.loads(file) | {"normalizer": None}).encode())
         self.size = self.coder.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in self.coder.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
@@ -156,7 +165,10 @@ class WordCoder:
         kept = opens | ~whole
         starts, kind, whole = starts[kept], kind[kept], whole[kept]
         lengths = np.diff(starts, append=len(data))
-        lower = np.where(np.repeat(whole, lengths), data, _LOWER[data])
+        lower = _LOWER[data]
+        capital = lead[_LATIN[data[lead + 1]] & (data[lead + 1] < 0x9F)] + 1
+        lower[capital] += 0x20
+        lower = np.where(np.repeat(whole, lengths), data, lower)
         said = kind != _WHITE
         number, values = distinct_units(lower, starts, said)
         single = np.zeros(len(values), bool)
@@ -176,7 +188,7 @@ class WordCoder:
             [values[k].decode() for k in at], add_special_tokens=False)]
         for start in range(0, len(plain), JOINED):
             at = plain[start:start + JOINED]
-            ids = np.array(self.coder.encode_batch_fast(
+            ids = np.array(self.plain.encode_batch_fast(
                 [b" ".join([values[k] for k in at]).decode()], add_special_tokens=False)[0].ids, np.int64)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(at) and last[-1] == len(ids) - 1:

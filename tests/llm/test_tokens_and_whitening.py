@@ -22,7 +22,7 @@ AWKWARD = [
     "a", " ", "  ", " a", "a ", "a  b", "a   b  ", "a\n b", "a \nb", "a\t b\n\n c", "\n", "a  b", "a  b", "a　 b  c",
     "it's we'll I'd 're x 's", "<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y</s> <s> <unk>", "<0x41> <0x20>",
     "sign ▁ here", "▁", "é ́x ü", "\U0001f600 \U0001f469‍\U0001f4bb tail", "\x00 nul \x00", "\x1c a \x1f b",
-    "123 4567 89,0", "!!! ??? ...", "İstanbul ΣΣ ẞ", "w" * 3000, "ab " * 4000, "한국어 日本語", "tab\tend \r\n x",
+    "123 4567 89,0", "!!! ??? ...", "İstanbul ΣΣ ẞ", "ÀÉÞß×÷ Ünder ÉTÉ éTé", "CafÉ, CAFÉ! café\u0301 N\u0303", "w" * 3000, "ab " * 4000, "한국어 日本語", "tab\tend \r\n x",
 ]
 
 
