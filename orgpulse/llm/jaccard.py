@@ -16,8 +16,8 @@ Two documents link when the Jaccard similarity of their sets of ``n``-word shing
    again from the documents.
 5. *Rest.*  Pairs of one posting list are skipped only if links found so far already join them.  All
    other pairs are counted over the lists they share: prefixes are ``COMMON`` - 1 shingles longer than
-   one shared shingle would need, so similar sets share ``COMMON`` of them, and the places of the last
-   one bound the overlap.  Pairs that pass are verified likewise, so no component is missed.
+   one shared shingle would need, so similar sets share ``COMMON`` of them, and the places of these
+   bound the overlap (:func:`_candidates`).  Pairs that pass are verified likewise, so no component is missed.
 
 Result of :func:`similar_documents`: one row per row of ``docs`` with ``doc_id``, ``n_shingles``,
 ``set_id`` (smallest doc_id with the same set) and ``component_id`` (smallest doc_id reachable by
@@ -32,6 +32,7 @@ columns of ``docs`` are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ from orgpulse.llm.text import flat, pieces, shingles, small_batches, tokens
 BINS = 1 << 18
 #: Prefix shingles that similar sets share (or all that they need to share, if fewer).
 COMMON = 3
+#: Sizes up to here are classes of their own where entries of open lists are keyed by size.
+EACH = 32
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -151,6 +154,43 @@ def _may_reach(nx: Column, ny: Column, px: Column, py: Column, num: int, den: in
     return _sizes_fit(nx, ny, num, den) & (1 + F.least(nx - px - 1, ny - py - 1) >= _needed(nx, ny, num, den))
 
 
+def _size_class(n: Column) -> Column:
+    """A class of sizes: up to EACH every size is its own, beyond it a class spans 3 %."""
+    return F.when(n <= EACH, n).otherwise(EACH + F.floor(F.log(n / EACH) / math.log(1.03))).cast("int")
+
+
+def _class_floor(c: Column) -> Column:
+    """A size that no member of the class is below."""
+    return F.when(c <= EACH, c).otherwise(F.floor(EACH * F.pow(F.lit(1.03), c - EACH)) - 1)
+
+
+def _candidates(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of different components that may be similar, from the entries of open posting
+    lists ``(shingle, set_id, n, place, component)``.
+
+    Similar sets share COMMON shingles of their prefixes (or all they need), and behind the first COMMON of
+    these both still hold what is needed: ``COMMON - 1 + size - place >= needed``.  How much that is depends
+    on the partner's size, so entries are keyed by shingle and both size classes, and an entry takes part only
+    where its place leaves room: late places, where passages that many documents share lie, meet only much
+    smaller sets.  Pairs are then counted over the lists they share."""
+    near = rest.withColumn("own", _size_class(F.col("n"))).withColumn("other", F.explode(F.sequence(
+        _size_class(F.greatest(F.lit(1), F.floor(F.col("n") * num / den) - 1)), _size_class(F.ceil(F.col("n") * den / num) + 1))))
+    room = lambda n, place, needed: COMMON - 1 + n - place >= needed
+    near = near.where(room(F.col("n"), F.col("place"), _needed(F.col("n"), _class_floor(F.col("other")), num, den)))
+    x = near.where("own <= other").select("shingle", F.col("own").alias("low"), F.col("other").alias("high"), *(
+        F.col(c).alias(v) for c, v in (("set_id", "a"), ("n", "na"), ("place", "pa"), ("component", "ca"))))
+    y = near.where("own >= other").select("shingle", F.col("other").alias("low"), F.col("own").alias("high"), *(
+        F.col(c).alias(v) for c, v in (("set_id", "b"), ("n", "nb"), ("place", "pb"), ("component", "cb"))))
+    na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
+    needed = _needed(na, nb, num, den)
+    met = x.join(y, ["shingle", "low", "high"]).where("ca <> cb and (low < high or a < b)").where(
+        _sizes_fit(na, nb, num, den) & room(na, pa_, needed) & room(nb, pb, needed))
+    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # the shingles counted are the first ones shared, in the order of both; others can only follow the last
+    enough = (F.col("common") >= F.least(F.lit(COMMON), needed)) & (F.col("common") + F.least(na - pa_ - 1, nb - pb - 1) >= needed)
+    return counted.where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _full_sets(pairs: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """``(set_id, own)``: the sets of the documents that ``pairs(a, b)`` name, from their texts."""
     wanted = scratch.keep(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
@@ -213,7 +253,7 @@ def verified_links(signed: DataFrame, docs: DataFrame, n: int, num: int, den: in
     scratch.drop(star, own)
     joined = connected_components(links, scratch)
     placed = scratch.keep(sets.join(joined, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", "group_id", "members", F.coalesce("component_id", "set_id").alias("component")))
+        "set_id", "group_id", "members", "n_shingles", F.coalesce("component_id", "set_id").alias("component")))
 
     # the rest: lists (and groups) whose sets are not yet in one component
     spread = placed.groupBy("group_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -221,13 +261,11 @@ def verified_links(signed: DataFrame, docs: DataFrame, n: int, num: int, den: in
         F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
     rest = scratch.keep(postings.join(open_lists, "shingle", "left_semi").join(placed, "group_id").select(
         "shingle", "set_id", "n", "place", "component"))
-    x, y = rest.toDF("shingle", "a", "na", "pa", "ca"), rest.toDF("shingle", "b", "nb", "pb", "cb")
-    na, nb = F.col("na"), F.col("nb")
-    across = x.join(y, "shingle").where("a < b and ca <> cb").where(_sizes_fit(na, nb, num, den)).groupBy(
-        "a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb")).where(
-        (F.col("common") >= F.least(F.lit(COMMON), _needed(na, nb, num, den)))
-        & (F.col("common") + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) >= _needed(na, nb, num, den))).select("a", "b")
-    loose = placed.where("members > 1").join(spread.where("low <> high").select("group_id"), "group_id", "left_semi")
+    across = _candidates(rest, num, den)
+    # different sets of one size and prefix: only where one shingle apart can be similar at all
+    size = F.col("n_shingles")
+    loose = placed.where("members > 1").where(_needed(size, size, num, den) < size).join(
+        spread.where("low <> high").select("group_id"), "group_id", "left_semi")
     gx, gy = (loose.select("group_id", "set_id", "component").toDF("g", c, f"c{c}") for c in "ab")
     across = scratch.keep(across.union(gx.join(gy, "g").where("a < b and ca <> cb").select("a", "b")).distinct())
     scratch.drop(postings, rest, placed)
@@ -273,7 +311,8 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     doc_id, and of rows with that doc_id one.  Documents without shingles or doc_id stay."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.keep(_placed(docs.select("doc_id", "text"), n, num, den).where("doc_id is not null and n_shingles > 0"))
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sig")).alias("best"))
+    # written, so that the rows of a large component can be split in the join
+    best = scratch.keep(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "sig")).alias("best")))
     gone = scratch.keep(found.join(best, "component_id").where(F.struct("doc_id", "sig") != F.col("best"))
                         .select("doc_id", "sig").distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",

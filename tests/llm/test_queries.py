@@ -38,9 +38,13 @@ def test_pipeline_stages_against_brute_force(spark):
     _, component = brute_components([(i, given[i].text) for i in kept], 5, 4, 5)
     kept = {i for i in kept if component[i] == i}
     words = lambda t: [w.lower() for w in re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", t)]
-    grams = lambda t: {tuple(words(t)[k:k + 5]) for k in range(len(words(t)) - 4)}
+    def grams(text):
+        said = words(text)
+        return {tuple(said[k:k + 5]) for k in range(len(said) - 4)}
+
     items = [g for r in table("benchmark").collect() if (g := grams(r.text))]
-    clean = {i for i in kept if not any(len(g & grams(given[i].text)) >= 0.8 * len(g) for g in items)}
+    held = {i: grams(given[i].text) for i in kept}
+    clean = {i for i in kept if not any(len(g & held[i]) >= 0.8 * len(g) for g in items)}
 
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()

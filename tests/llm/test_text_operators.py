@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from orgpulse.llm import decontaminate, jaccard, licenses, lines, mixing, passages, quality, sharding
@@ -65,6 +66,28 @@ def test_jaccard_lists_that_the_first_round_leaves_open(spark):
     assert got == brute_components(data, 1, 4, 5)[1] == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_jaccard_of_sets_that_share_a_passage(spark):
+    # a passage of 60 words in sets of all sizes round the threshold, in clusters and alone
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        own = [f"u{i // 3 if i % 2 else i}-{k}" for k in range(rng.randrange(0, 24))]
+        texts.append(passage[rng.randrange(3):] + own + [f"x{i}"] * (i % 3))
+    texts += [[f"s{i % 5}"] * 2 + [f"t{k}" for k in range(i)] for i in range(1, 45)]
+    data = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    for n, num, den in ((1, 4, 5), (1, 9, 10), (2, 4, 5)):
+        got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs(spark, data), n, num, den).collect()}
+        assert got == brute_components(data, n, num, den)[1]
+
+
+def test_entries_at_late_places_meet_no_equal_sizes(spark):
+    # a shared shingle behind 15 others of 100: sets of like sizes that share no earlier one aren't similar
+    entries = [(1, i, 100 + i % 4, 15, i) for i in range(200)] + [(k, i, 100, k, i) for k in range(2, 5) for i in (500, 501)]
+    rest = spark.createDataFrame(entries, "shingle long, set_id long, n int, place int, component long")
+    assert {tuple(r) for r in jaccard._candidates(rest, 4, 5).collect()} == {(500, 501)}
+
+
 def test_one_of_each_component_stays(spark):
     data = rows()
     sets, component = brute_components(data, 5, 4, 5)
@@ -213,29 +236,42 @@ def test_passages_against_brute_force(spark, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.sha) == expected[r.doc_id, text[r.doc_id]], r.doc_id
 
 
+def cut_lines(ls, divisor):
+    """Chunks of lines, with Python integers: a chunk of two lines or more ends where the mixed sum over the
+    hashes of this line and the one before is divisible, unless a single line would be left."""
+    golden, top = 0x9E3779B97F4A7C15, 1 << 64
+    hashed = [xxhash.xxh64_intdigest(x) for x in ls]
+    start = 0
+    for k in range(len(ls)):
+        x = (hashed[k] * golden + (hashed[k - 1] * golden * golden if k else 0)) % top
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % top
+        if (x ^ x >> 31) % divisor == 0 and k + 1 - start > 1 and len(ls) - k - 1 != 1 or k == len(ls) - 1:
+            yield ls[start:k + 1]
+            start = k + 1
+
+
 def test_line_chunks_against_brute_force(spark):
     base = rows()
     pool = [f"line number {i % 7} of {i % 5}" for i in range(40)]
     data = [(i, "\n".join(pool[k % 40] for k in range(i % 9, i % 9 + 6 + i % 11)) + f"\n{i}", "en", "s") for i in range(40)]
-    data += [d for d in base[-13:] if d[0] is not None]
+    data += [d for d in base[-13:] if d[0] is not None]  # one doc_id of the 40 again, with another text
+    table = docs(spark, data)
+    order = {(r.doc_id, r.text): (r.doc_id, r.variant) for r in table.withColumn("variant", F.xxhash64("text")).collect()}
     seen, expected = {}, {}
-    for doc_id, text in sorted({(d[0], d[1]) for d in data}):
-        kept, lost, start, ls = [], 0, 0, (text or "").encode().split(b"\n")
-        for end in lines.chunk_ends(ls, 3):
-            chunk = ls[start:end]
-            start = end
-            if len(chunk) > 1 and seen.setdefault(b"\n".join(chunk), doc_id) != doc_id or len(chunk) > 1 and (doc_id, tuple(chunk)) in expected:
+    for key in sorted(order, key=order.get):
+        kept, lost, own = [], 0, {}
+        for chunk in map(tuple, cut_lines((key[1] or "").encode().split(b"\n"), 3)):
+            if len(chunk) > 1 and (seen.get(chunk, key) != key or chunk in own):
                 lost += len(chunk)
             else:
                 kept += chunk
-                if len(chunk) > 1:
-                    expected[doc_id, tuple(chunk)] = True
-        expected[doc_id] = (None if text is None else b"\n".join(kept).decode(), lost)
-    got = lines.dedup_lines(docs(spark, data)).collect()
+                own[chunk] = seen.setdefault(chunk, key)
+        expected[key] = (None if key[1] is None else b"\n".join(kept).decode(), lost)
+    got = lines.dedup_lines(table).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in data)
-    for r in got:
-        assert (r.text, r.removed_lines) == expected[r.doc_id], r.doc_id
-    assert sum(r.removed_lines for r in got) > 20
+    assert Counter((r.doc_id, r.text, r.removed_lines) for r in got) == Counter((i, *expected[i, t]) for i, t, *_ in data)
+    assert sum(lost for _, lost in expected.values()) > 100
 
 
 def test_boundaries_move_only_near_a_change():
