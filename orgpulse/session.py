@@ -7,6 +7,8 @@ folder is created and registered, so that ``DataFrame.checkpoint`` and scratch w
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -25,17 +27,56 @@ _DEFAULTS = {
 }
 
 
+_LOCAL_DRIVER_MEMORY = "8g"
+
+
+def _in_defaults_file(key: str) -> bool:
+    """Whether the submitter's spark-defaults.conf names ``key``."""
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    try:
+        with open(os.path.join(folder, "spark-defaults.conf")) as f:
+            return any(re.match(rf"{re.escape(key)}[\s=]", line.strip()) for line in f)
+    except OSError:
+        return False
+
+
+def _submitted() -> SparkConf:
+    """Everything the submitter set (spark-submit, PYSPARK_SUBMIT_ARGS, spark-defaults.conf).  Only the JVM
+    knows it, so the JVM is started first; the one default that must be there when it starts, the memory
+    of a local driver, is passed in front of the submitter's own arguments, which win."""
+    if SparkContext._active_spark_context:
+        return SparkContext._active_spark_context.getConf()
+    early = SparkConf(loadDefaults=False)
+    given = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    named = re.search(r"(?:--master[ =]|spark\.master=)(\S+)", given)
+    if (named is None or named[1].startswith("local")) and not _in_defaults_file("spark.driver.memory") \
+            and "SPARK_DRIVER_MEMORY" not in os.environ:
+        early.set("spark.driver.memory", _LOCAL_DRIVER_MEMORY)
+    SparkContext._ensure_initialized(conf=early)
+    conf = SparkConf()
+    # what spark-submit fills in by itself wasn't submitted
+    command = SparkContext._jvm.System.getProperty("sun.java.command") or ""
+    own = {"spark.master": r"--master[ =]", "spark.app.name": r"--name[ =]", "spark.ui.showConsoleProgress": r"(?!)"}
+    filled = {key for key, option in own.items() if not re.search(rf"{option}|{re.escape(key)}=", command) and not _in_defaults_file(key)}
+    if "MASTER" in os.environ:
+        filled.discard("spark.master")
+    out = SparkConf(loadDefaults=False)
+    for key, value in conf.getAll():
+        if key not in filled:
+            out.set(key, value)
+    return out
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "orgpulse") -> SparkSession:
     """A session tuned for this library.  Settings passed in by the submitter win: a value is set only
-    where the existing configuration lacks it (a ``master`` or ``shuffle_partitions`` given here is
+    where the submitted configuration lacks it (a ``master`` or ``shuffle_partitions`` given here is
     such a default, too).  Without any master the session is local."""
     wanted = dict(_DEFAULTS)
-    given = SparkContext._active_spark_context.getConf() if SparkContext._active_spark_context else SparkConf()
+    given = _submitted()
     if not given.contains("spark.master"):
         wanted["spark.master"] = master or "local[*]"
     if wanted.get("spark.master", given.get("spark.master", "")).startswith("local"):
-        wanted["spark.driver.memory"] = "8g"
         wanted["spark.sql.shuffle.partitions"] = "8"
     if shuffle_partitions:
         wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -134,3 +134,33 @@ def test_submitted_settings_are_kept():
     env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=64 pyspark-shell"}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout
     assert "GOT local[2] 64" in out
+
+
+def test_settings_of_spark_submit_are_kept(tmp_path):
+    import subprocess
+    import sys
+
+    import pyspark
+    script = tmp_path / "job.py"
+    script.write_text("from orgpulse.session import build_session\nspark = build_session(master='local[8]', shuffle_partitions=8)\n"
+                      "conf = spark.sparkContext.getConf()\n"
+                      "print('GOT', spark.sparkContext.master, spark.conf.get('spark.sql.shuffle.partitions'),"
+                      " conf.get('spark.driver.memory'), spark.conf.get('spark.sql.session.timeZone'))\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    submit = os.path.join(os.path.dirname(pyspark.__file__), "bin", "spark-submit")
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([submit, "--master", "local[3]", "--driver-memory", "1g", "--conf", "spark.sql.shuffle.partitions=5", str(script)],
+                         env=env, capture_output=True, text=True, timeout=120)
+    assert "GOT local[3] 5 1g UTC" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_plain_local_session_has_the_defaults():
+    import subprocess
+    import sys
+    code = ("from orgpulse.session import build_session\nspark = build_session(master='local[2]', shuffle_partitions=3)\n"
+            "print('GOT', spark.sparkContext.master, spark.conf.get('spark.sql.shuffle.partitions'),"
+            " spark._jvm.Runtime.getRuntime().maxMemory() >> 30)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"PYTHONPATH": root}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert "GOT local[2] 3 8" in out.stdout, out.stderr[-2000:]
