@@ -31,6 +31,8 @@ from orgpulse.plans.registry import register
 from orgpulse.session import scratch_path
 from orgpulse.sources.adapters import ORDER_GOALS, STREAM_GOALS, fixture_a, fixture_b, orders_as_events
 from orgpulse.sources.csv import read_events_csv, write_events_csv
+from orgpulse.sources.inference import infer_csv_schema
+from orgpulse.sources.rejects import load_events_csv
 from orgpulse.sources.sinks import write_and_read
 from orgpulse.sources.tables import read_table
 
@@ -369,6 +371,98 @@ def q_events_from_csv_by_name(spark, sf_dir):
     return read_events_csv(spark, path, with_event_id=False, multi_line=True, extra_columns=True)
 
 
+_NUMBERS_SQL = """num AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders),
+cells AS (
+    SELECT r, 'organization_id' AS "column", CAST(o_custkey AS VARCHAR) AS v FROM num
+    UNION ALL SELECT r, 'activity_name', o_orderpriority FROM num
+    UNION ALL SELECT r, 'activity_detail', o_orderstatus FROM num
+    UNION ALL SELECT r, 'timestamp', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') FROM num
+    UNION ALL SELECT r, 'amount', CASE WHEN o_orderkey % 97 = 3 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END FROM num
+    UNION ALL SELECT r, 'code', CASE WHEN r = n THEN 'x7' WHEN o_orderkey % 5 = 0 THEN 'NA' ELSE CAST(o_orderkey % 1000 AS VARCHAR) END FROM num
+    UNION ALL SELECT r, 'flag', CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'FALSE' END FROM num
+    UNION ALL SELECT r, 'mixed', CASE WHEN o_orderkey % 89 = 7 THEN '12' ELSE 'true' END FROM num
+    UNION ALL SELECT r, 'day', strftime(o_orderdate, '%Y-%m-%d') FROM num
+    UNION ALL SELECT r, 'nothing', CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE 'n/a' END FROM num),
+classed AS (
+    SELECT "column", r, CASE WHEN v IN ('NA', 'null', 'n/a') THEN NULL WHEN lower(v) IN ('true', 'false') THEN 'bool'
+                             WHEN regexp_full_match(v, '[0-9]+') THEN 'int' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'float'
+                             WHEN TRY_CAST(v AS TIMESTAMP) IS NOT NULL THEN 'timestamp' ELSE 'text' END AS c FROM cells),
+firsts AS (
+    SELECT "column", count(*) FILTER (WHERE c IS NULL) AS nulls, min(r) FILTER (WHERE c = 'bool') AS b,
+           min(r) FILTER (WHERE c = 'int') AS i, min(r) FILTER (WHERE c = 'float') AS f,
+           min(r) FILTER (WHERE c = 'timestamp') AS t, min(r) FILTER (WHERE c = 'text') AS x
+    FROM classed GROUP BY "column"),
+texts AS (
+    SELECT *, least(x, CASE WHEN b IS NOT NULL AND i IS NOT NULL THEN greatest(b, i) END,
+                    CASE WHEN b IS NOT NULL AND f IS NOT NULL THEN greatest(b, f) END,
+                    CASE WHEN b IS NOT NULL AND t IS NOT NULL THEN greatest(b, t) END,
+                    CASE WHEN i IS NOT NULL AND t IS NOT NULL THEN greatest(i, t) END,
+                    CASE WHEN f IS NOT NULL AND t IS NOT NULL THEN greatest(f, t) END) AS w FROM firsts)"""
+
+
+def _export_with_extras(spark, sf_dir):
+    """Orders in key order as an export whose extra columns need every kind of type."""
+    orders = read_table(spark, sf_dir, "orders")
+    key, org, last = F.col("o_orderkey"), F.col("o_custkey").cast("string"), orders.agg(F.max("o_orderkey")).first()[0]
+    path = scratch_path(spark, "events_csv_extras")
+    orders.orderBy("o_orderkey").select(
+        F.col("o_custkey").alias("ORGANIZATION_ID"), F.col("o_orderpriority").alias("ACTIVITY_NAME"),
+        F.col("o_orderstatus").alias("ACTIVITY_DETAIL"), F.col("o_orderdate").cast("timestamp_ntz").alias("TIMESTAMP"),
+        F.when(key % 97 == 3, F.concat(org, F.lit(".5"))).otherwise(org).alias("Amount"),
+        F.when(key == last, "x7").when(key % 5 == 0, "NA").otherwise((key % 1000).cast("string")).alias("code"),
+        F.when(F.col("o_orderstatus") == "F", "True").otherwise("FALSE").alias("flag"),
+        F.when(key % 89 == 7, "12").otherwise("true").alias("mixed"),
+        F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd").alias("day"),
+        F.when(key % 2 == 0, "null").otherwise("n/a").alias("nothing")) \
+        .write.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return path
+
+
+@register("csv_inferred_schema", "WITH " + _NUMBERS_SQL + """
+SELECT "column", CASE WHEN w IS NOT NULL THEN 'text' WHEN f IS NOT NULL THEN 'float' WHEN i IS NOT NULL THEN 'int'
+                      WHEN b IS NOT NULL THEN 'bool' WHEN t IS NOT NULL THEN 'timestamp' ELSE 'null' END AS type,
+       nulls, coalesce(w, f, i, b, t) AS first_row
+FROM texts""")
+def q_csv_inferred_schema(spark, sf_dir):
+    """The types of all columns of an export, and the row that decided each."""
+    return infer_csv_schema(spark, _export_with_extras(spark, sf_dir))
+
+
+@register("events_from_csv_typed", with_ctes(EV_A) + """
+SELECT ev.organization_id, ev.activity_name, ev.activity_detail, ev."timestamp",
+       CASE WHEN event_id % 97 = 3 THEN CAST(organization_id AS DOUBLE) + 0.5 ELSE CAST(organization_id AS DOUBLE) END AS amount,
+       CASE WHEN event_id = (SELECT max(event_id) FROM ev) THEN 'x7' WHEN event_id % 5 = 0 THEN NULL
+            ELSE CAST(event_id % 1000 AS VARCHAR) END AS code,
+       activity_detail = 'F' AS flag, CASE WHEN event_id % 89 = 7 THEN '12' ELSE 'true' END AS mixed,
+       CAST(CAST("timestamp" AS DATE) AS TIMESTAMP) AS day, CAST(NULL AS VARCHAR) AS nothing
+FROM ev""")
+def q_events_from_csv_typed(spark, sf_dir):
+    """The same export read with its extra columns in the inferred types."""
+    return read_events_csv(spark, _export_with_extras(spark, sf_dir), with_event_id=False, extra_columns="infer")
+
+
+@register("csv_rejects", with_ctes(EV_A) + """, marked AS (
+    SELECT *, CASE WHEN event_id % 11 = 0 THEN '31.02.' || CAST(event_id % 3 AS VARCHAR) WHEN event_id % 13 = 0 THEN 'NA' END AS bad
+    FROM ev)
+SELECT 'rejected' AS outcome, 'timestamp' AS reason, bad AS raw, activity_name, count(*) AS rows FROM marked
+WHERE bad IS NOT NULL AND bad <> 'NA' GROUP BY bad, activity_name
+UNION ALL SELECT 'accepted', NULL, NULL, activity_name, count(*) FROM marked WHERE bad IS NULL OR bad = 'NA' GROUP BY activity_name""")
+def q_csv_rejects(spark, sf_dir):
+    """An export with unparsable and missing timestamps, loaded with its rejects set aside."""
+    path = scratch_path(spark, "events_csv_bad")
+    fixture_a(spark, sf_dir).select(
+        F.col(ORG).alias("ORGANIZATION_ID"), F.col(NAME).alias("ACTIVITY_NAME"), F.col(DETAIL).alias("ACTIVITY_DETAIL"),
+        F.when(F.col(EVENT_ID) % 11 == 0, F.concat(F.lit("31.02."), (F.col(EVENT_ID) % 3).cast("string")))
+        .when(F.col(EVENT_ID) % 13 == 0, "NA").otherwise(F.col(TS).cast("string")).alias("TIMESTAMP")) \
+        .write.option("header", True).csv(path)
+    load = load_events_csv(spark, path)
+    accepted = load.events.groupBy(NAME).count().select(
+        F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("raw"),
+        NAME, F.col("count").alias("rows"))
+    return accepted.union(load.rejects.groupBy("reason", "raw", NAME).count().select(
+        F.lit("rejected"), "reason", "raw", NAME, "count"))
+
+
 # --------------------------------------------------------------------------------------
 # data quality
 # --------------------------------------------------------------------------------------

@@ -128,6 +128,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table written under :func:`scratch_path` that nothing reads any more."""
     if "/orgpulse-scratch/" not in path:
         raise ValueError(f"not a scratch table: {path}")
+    delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
