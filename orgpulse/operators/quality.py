@@ -3,7 +3,8 @@ computed in Spark; only those few rows reach the driver.  ``expected`` is NULL f
 informational rows, which always pass.
 
 The checks read a :class:`~orgpulse.sources.tables.TableSet` with the tables ``raw``,
-``staging``, ``goals`` and ``activation`` (see :func:`orgpulse.plans.marts.build_tables`).
+``staging``, ``goals`` and ``activation`` (see :func:`orgpulse.plans.marts.build_tables`).  Figures that the
+build counted while it wrote the tables (``TableSet.stats``) are taken from there.
 """
 
 from __future__ import annotations
@@ -39,15 +40,29 @@ def _checks(wide: DataFrame, rows: list[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _figures(tables: TableSet, wanted: dict[str, tuple[str, str, Column]], *more: DataFrame) -> DataFrame:
+    """One row of figures: ``wanted`` names each by (table, what the build counted, how to count it else), and
+    ``more`` are one-row aggregates.  Figures of the build need no scan."""
+    known = {k: tables.stats[t][s] for k, (t, s, _) in wanted.items() if s in tables.stats.get(t, {})}
+    rest: dict[str, list[Column]] = {}
+    for k, (t, _, count) in wanted.items():
+        if k not in known:
+            rest.setdefault(t, []).append(count.alias(k))
+    frames = [tables.table(t).agg(*counts) for t, counts in rest.items()] + list(more)
+    one = _one_row(*frames) if frames else tables.table(tables.list_tables()[0]).sparkSession.range(1)
+    return one.select("*", *[F.lit(v).cast("bigint").alias(k) for k, v in known.items()])
+
+
+def _n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def table_counts(tables: TableSet) -> DataFrame:
     """V1 + V4: row counts and distinct organizations across the build."""
-    raw = tables.table("raw").agg(F.count(F.lit(1)).alias("raw_rows"), F.count_distinct(ORG).alias("raw_orgs"))
-    stg = tables.table("staging").agg(F.count(F.lit(1)).alias("staging_rows"),
-                                      F.count_distinct(ORG).alias("staging_orgs"))
-    gls = tables.table("goals").agg(F.count(F.lit(1)).alias("goal_rows"))
-    act = tables.table("activation").agg(F.count(F.lit(1)).alias("activation_rows"))
+    orgs = [tables.table(t).agg(F.count_distinct(ORG).alias(f"{t}_orgs")) for t in ("raw", "staging")]
+    names = {"raw": "raw", "staging": "staging", "goals": "goal", "activation": "activation"}
     c = F.col
-    return _checks(_one_row(raw, stg, gls, act), [
+    return _checks(_figures(tables, {f"{n}_rows": (t, "rows", _n_rows()) for t, n in names.items()}, *orgs), [
         _row("raw_rows", c("raw_rows")),
         _row("staging_rows", c("staging_rows"), c("raw_rows")),
         _row("raw_orgs", c("raw_orgs")),
@@ -105,10 +120,18 @@ def org_intersection(tables: TableSet) -> DataFrame:
                             _row("common_orgs", c("common_orgs"), c("raw_orgs"))])
 
 
-def check_atomic_values(events: DataFrame, separator: str = ";") -> DataFrame:
-    """V7: rows whose activity name or detail holds the separator (NULL never counts)."""
-    bad = F.col(NAME).contains(separator) | F.col(DETAIL).contains(separator)
-    wide = events.agg(F.count_if(bad).alias("bad"))
+def non_atomic(separator: str = ";") -> Column:
+    return F.col(NAME).contains(separator) | F.col(DETAIL).contains(separator)
+
+
+def check_atomic_values(events: DataFrame | TableSet, separator: str = ";") -> DataFrame:
+    """V7: rows whose activity name or detail holds the separator (NULL never counts), of events or of a
+    build's staging table."""
+    bad = F.count_if(non_atomic(separator))
+    if isinstance(events, TableSet):
+        wide = _figures(events, {"bad": ("staging", "non_atomic" if separator == ";" else "", bad)})
+    else:
+        wide = events.agg(bad.alias("bad"))
     return _checks(wide, [_row("non_atomic_values", F.col("bad"), F.lit(0))])
 
 
@@ -122,17 +145,14 @@ def check_constraints(tables: TableSet, goals: Sequence[GoalSpec]) -> DataFrame:
     """V9: the declared keys and NOT NULL columns, and the documented foreign keys, which
     Spark does not enforce: duplicate keys, NULLs and orphans (expected 0 each)."""
     stg, gls, act = (tables.table(n) for n in ("staging", "goals", "activation"))
-    s = stg.agg((F.count(F.lit(1)) - F.count_distinct(EVENT_ID)).alias("stg_dup"),
-                F.count_if(F.col(EVENT_ID).isNull()).alias("stg_id_null"),
-                F.count_if(F.col(ORG).isNull()).alias("stg_org_null"),
-                F.count_if(F.col(TS).isNull()).alias("stg_ts_null"),
-                F.count_if(F.col(FIRST_TS).isNull()).alias("stg_first_null"))
+    null = lambda c: F.count_if(F.col(c).isNull())
     any_null_goal = reduce(lambda a, b: a | b, [F.col(g.column).isNull() for g in goals])
-    g = gls.agg((F.count(F.lit(1)) - F.count_distinct(ORG)).alias("goal_dup"),
-                F.count_if(F.col(ORG).isNull()).alias("goal_org_null"),
-                F.count_if(any_null_goal).alias("goal_flag_null"))
-    a = act.agg((F.count(F.lit(1)) - F.count_distinct(ORG)).alias("act_dup"),
-                F.count_if(F.col(ORG).isNull()).alias("act_org_null"))
+    nulls = {"stg_id_null": ("staging", "id_null", null(EVENT_ID)), "stg_org_null": ("staging", "org_null", null(ORG)),
+             "stg_ts_null": ("staging", "ts_null", null(TS)), "stg_first_null": ("staging", "first_null", null(FIRST_TS)),
+             "goal_org_null": ("goals", "org_null", null(ORG)), "goal_flag_null": ("goals", "flag_null", F.count_if(any_null_goal)),
+             "act_org_null": ("activation", "org_null", null(ORG))}
+    duplicates = [t.agg((F.count(F.lit(1)) - F.count_distinct(key)).alias(name)) for t, key, name in (
+        (stg, EVENT_ID, "stg_dup"), (gls, ORG, "goal_dup"), (act, ORG, "act_dup"))]
     stg_orgs = stg.select(ORG).distinct()
     orphan_goals = gls.select(ORG).join(stg_orgs, ORG, "left_anti").agg(F.count(F.lit(1)).alias("goal_orphans"))
     orphan_act = act.select(ORG).join(gls.select(ORG), ORG, "left_anti").agg(F.count(F.lit(1)).alias("act_orphans"))
@@ -146,12 +166,12 @@ def check_constraints(tables: TableSet, goals: Sequence[GoalSpec]) -> DataFrame:
              ("activation.organization_id_nulls", "act_org_null"),
              ("goals.organizations_missing_in_staging", "goal_orphans"),
              ("activation.organizations_missing_in_goals", "act_orphans")]
-    return _checks(_one_row(s, g, a, orphan_goals, orphan_act), [_row(n, F.col(c), zero) for n, c in names])
+    return _checks(_figures(tables, nulls, *duplicates, orphan_goals, orphan_act), [_row(n, F.col(c), zero) for n, c in names])
 
 
 def tables_not_empty(tables: TableSet) -> DataFrame:
     """Every table of the build has rows."""
-    counts = _one_row(*[df.agg(F.count(F.lit(1)).alias(f"_{name}")) for name, df in tables.items()])
+    counts = _figures(tables, {f"_{name}": (name, "rows", _n_rows()) for name in tables.list_tables()})
     return _checks(counts, [_row(f"{name}_rows", F.col(f"_{name}"), None, F.col(f"_{name}") > 0)
                             for name in tables.list_tables()])
 

@@ -22,7 +22,7 @@ from orgpulse.operators import quality as Q
 from orgpulse.operators import survival as S
 from orgpulse.operators.common import consecutive_ids
 from orgpulse.operators.staging import stage, stage_window
-from orgpulse.plans.marts import checked, raw_events, write_marts
+from orgpulse.plans.marts import built, checked, raw_events
 from orgpulse.plans.oracle_sql import (
     A_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
     profile_cte, running_marks_cte, with_ctes,
@@ -185,8 +185,7 @@ SELECT count(*) AS activated_orgs,
 FROM prof WHERE organization_id IN (SELECT organization_id FROM flags WHERE {all_met_sql(GOALS_A)})""")
 def q_activated_span_days_from_mart(spark, sf_dir):
     """M5 through J4: semi-join with the activation mart, written and read back (S3)."""
-    events = fixture_a(spark, sf_dir)
-    tables = write_marts(spark, events, ORDER_GOALS)
+    tables = built(spark, fixture_a(spark, sf_dir), ORDER_GOALS)
     return M.activated_span_days(_profile_a(spark, sf_dir), ORDER_GOALS, activated=tables.table("activation"))
 
 
@@ -538,7 +537,7 @@ def q_org_intersection(spark, sf_dir):
      "0", None)], "stg"))
 def q_check_atomic_values(spark, sf_dir):
     """V7 (F4)."""
-    return _checked_a(spark, sf_dir, lambda t: Q.check_atomic_values(t.table("staging")))
+    return _checked_a(spark, sf_dir, Q.check_atomic_values)
 
 
 @register("check_flag_domain", A_BASE + check_rows([

@@ -16,10 +16,12 @@ class TableSet:
     """Named tables of one build ("the database"); ``list_tables`` is S5.
 
     A table may be given as a DataFrame or as a zero-argument function building it; functions
-    run on first use, so a check that reads two tables never plans (or materialises) the rest."""
+    run on first use, so a check that reads two tables never plans (or materialises) the rest.
+    ``stats``: what was counted while tables were written, by table and name."""
 
-    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]], stats: dict[str, dict[str, int]] | None = None):
         self._tables = dict(tables)
+        self.stats = stats or {}
 
     def list_tables(self) -> list[str]:
         return list(self._tables)
