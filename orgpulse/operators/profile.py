@@ -1,7 +1,8 @@
 """Profiling (A13–A16): frequency tables, ``describe``, ``info`` and correlations.
 
 Quantiles are exact (linear interpolation between the two order statistics around
-``(n - 1) * p``, as pandas does) yet distributed: values are reduced to distinct values with
+``(n - 1) * p``, as pandas does) yet distributed: whole numbers and times by selection over refined
+histograms (:mod:`orgpulse.operators.selection`); other numbers are reduced to distinct values with
 counts, ranked by the two-level :func:`running_totals`, and the few target ranks are looked up
 with a broadcast of the (#columns × #probabilities) target table.  No column is collected into
 one aggregation buffer.
@@ -9,6 +10,8 @@ one aggregation buffer.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations_with_replacement
 from typing import Sequence
 
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from orgpulse.functions.stats import pearson_from_moments
 from orgpulse.functions.timefns import micros_between
 from orgpulse.operators.common import broadcast_if_small, holding, running_totals
+from orgpulse.operators.selection import order_statistics
 from orgpulse.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -56,6 +60,27 @@ def exact_quantiles(long: DataFrame, key: str, value: str, probs: Sequence[float
         F.max(F.when(hit("_hi"), F.col(value))).alias("hi_value"), F.first("frac").alias("frac")), small, cum)
 
 
+def _quantiles(df: DataFrame, columns: Sequence[str], integral: set[str]) -> DataFrame:
+    """column_name, prob, lo_value, hi_value, frac of the DESCRIBE_PROBS quantiles (NULLs left out): whole
+    numbers by selection, others over their sorted distinct values."""
+    spark, parts = df.sparkSession, []
+    whole = [c for c in columns if c in integral]
+    if whole:
+        q = {c: f"`{c}`" for c in whole}
+        got = df.agg(*[f(q[c]).alias(f"{k}{n}") for n, c in enumerate(whole) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+        bounds = {c: (got[f"n{n}"], got[f"lo{n}"], got[f"hi{n}"]) for n, c in enumerate(whole) if got[f"n{n}"]}
+        at = {(c, p): (n - 1) * p for c, (n, _, _) in bounds.items() for p in DESCRIBE_PROBS}
+        found = order_statistics(df, bounds, {c: sorted({r for p in DESCRIBE_PROBS for r in (math.floor(at[c, p]), math.ceil(at[c, p]))})
+                                              for c in bounds})
+        rows = [(c, p, float(found[c, math.floor(x)][0]), float(found[c, math.ceil(x)][0]), x - math.floor(x)) for (c, p), x in at.items()]
+        schema = "column_name string, prob double, lo_value double, hi_value double, frac double"
+        parts.append(spark.createDataFrame(rows, schema))
+    if rest := [c for c in columns if c not in integral]:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in rest])))
+        parts.append(exact_quantiles(long, "column_name", "v", DESCRIBE_PROBS))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pandas-style ``describe`` of numeric and timestamp columns, long form
     ``(column_name, stat, value, value_ts)``.
@@ -75,19 +100,20 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 raise ValueError(f"describe: {f.name} is {f.dataType.simpleString()}, not numeric or datetime")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     def numeric(c: str) -> F.Column:  # NaN counts as missing
+        if isinstance(df.schema[c].dataType, T.IntegralType):
+            return F.col(c).cast("bigint")
         x = F.col(c).cast("double")
         return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
 
     as_num = {c: (micros_between(epoch, F.col(c).cast("timestamp_ntz")) if k == "ts" else numeric(c))
               for c, k in kinds.items()}
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), as_num[c].cast("double").alias("v")) for c in kinds])))
-
     integral = {c for c, k in kinds.items() if k == "ts" or isinstance(df.schema[c].dataType, T.IntegralType)}
-    aggs = []
-    for c in kinds:
-        x = as_num[c]
-        aggs += [F.count(x).cast("double").alias(f"{c}|count"),
+
+    def aggs(as_num: dict) -> list:
+        return [a for c in kinds for a in column_aggs(c, as_num[c])]
+
+    def column_aggs(c: str, x: F.Column) -> list:
+        aggs = [F.count(x).cast("double").alias(f"{c}|count"),
                  F.min(x).cast("double").alias(f"{c}|min"), F.max(x).cast("double").alias(f"{c}|max")]
         if kinds[c] == "ts":
             # exact integer mean of epoch microseconds, floored to a microsecond
@@ -98,7 +124,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             exact_mean = F.try_divide(F.sum(x.cast("decimal(38,0)")).cast("double"), F.count(x).cast("double"))
             aggs += [(exact_mean if c in integral else F.avg(x)).alias(f"{c}|mean"),
                      F.stddev_samp(x).alias(f"{c}|std")]
-    wide = df.agg(*aggs)
+        return aggs
+
+    # read by every pass below: the numbers alone, written once
+    df = materialize(df.select(*[as_num[c].alias(c) for c in kinds]), "describe")
+    as_num = {c: F.col(f"`{c}`") for c in kinds}
+    wide = df.agg(*aggs(as_num))
     simple = []
     for c, k in kinds.items():
         stats = ["count", "mean", "std", "min", "max"] if k == "num" else ["count", "mean_us", "min", "max"]
@@ -107,7 +138,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                                    F.col(f"`{c}|{s}`").alias("v")))
     basic = wide.select(F.inline(F.array(*simple)))
 
-    q = exact_quantiles(long, "column_name", "v", DESCRIBE_PROBS)
+    q = _quantiles(df, kinds, integral)
     is_ts = F.col("column_name").isin([c for c, k in kinds.items() if k == "ts"])
     interp = F.when(is_ts, F.col("lo_value") + F.floor(F.col("frac") * (F.col("hi_value") - F.col("lo_value")))) \
         .otherwise(F.col("lo_value") + F.col("frac") * (F.col("hi_value") - F.col("lo_value")))

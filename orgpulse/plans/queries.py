@@ -798,6 +798,17 @@ def q_train_test_split(spark, sf_dir):
     return _split_b(spark, sf_dir)
 
 
+@register("train_test_split_exact", _MATRIX_B + """
+SELECT organization_id, label, CASE WHEN row_number() OVER (
+           ORDER BY CAST(('0x' || substr(md5(organization_id || '-42'), 1, 15)) AS BIGINT), organization_id)
+           <= ceil(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM mat""")
+def q_train_test_split_exact(spark, sf_dir):
+    """L4: exactly ceil(20 %) of the organizations as test rows."""
+    feats = F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+    matrix = F_.feature_matrix(feats, STREAM_GOALS[0].column).select(ORG, F_.LABEL)
+    return F_.exact_split(matrix)
+
+
 _STATS_B = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _B_FEATURES)
 
 
