@@ -21,6 +21,8 @@ from orgpulse.operators import profile as P
 from orgpulse.operators import quality as Q
 from orgpulse.operators import survival as S
 from orgpulse.operators.common import consecutive_ids
+from orgpulse.operators.recurrent import fit as fit_recurrent
+from orgpulse.operators.recurrent import recurrent_predictions
 from orgpulse.operators.staging import stage, stage_window
 from orgpulse.plans.marts import built, checked, raw_events
 from orgpulse.plans.oracle_sql import (
@@ -28,7 +30,7 @@ from orgpulse.plans.oracle_sql import (
     profile_cte, running_marks_cte, with_ctes,
 )
 from orgpulse.plans.registry import register
-from orgpulse.session import scratch_path
+from orgpulse.session import materialize, scratch_path
 from orgpulse.sources.adapters import ORDER_GOALS, STREAM_GOALS, fixture_a, fixture_b, orders_as_events
 from orgpulse.sources.csv import read_events_csv, write_events_csv
 from orgpulse.sources.inference import infer_csv_schema
@@ -839,6 +841,14 @@ def q_goal_classifier(spark, sf_dir):
     return C.train_and_predict(F_.standardize(_split_b(spark, sf_dir)))
 
 
+@register("goal_recurrent_classifier")
+def q_goal_recurrent_classifier(spark, sf_dir):
+    """The two-layer recurrent network, 50 epochs on the train rows, predictions on the test rows."""
+    feats = F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+    scaled = materialize(F_.standardize(F_.exact_split(F_.feature_matrix(feats, STREAM_GOALS[0].column))), "recurrent-rows")
+    return materialize(recurrent_predictions(scaled, fit_recurrent(scaled)), "recurrent-predictions")
+
+
 @register("goal_classifier_report")
 def q_goal_classifier_report(spark, sf_dir):
     """L8 on the fitted classifier's test predictions (rows only)."""
