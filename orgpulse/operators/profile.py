@@ -160,19 +160,48 @@ def column_profile(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Correlations of doubles in one pass.  ``covar_pop`` and ``var_pop`` keep counts, means and centred
+    (co-)moments, updated per row and merged between tasks by the rule of Chan, Golub and LeVeque, so large offsets
+    (epoch seconds) don't cancel.  A pair goes by the rows that have both values; NaN counts as missing."""
+    def value(c: str) -> str:
+        q = "`" + c.replace("`", "``") + "`"
+        return f"CASE WHEN NOT isnan(CAST({q} AS DOUBLE)) THEN CAST({q} AS DOUBLE) END"
+
+    values = df.selectExpr(*[f"{value(c)} AS _x{i}" for i, c in enumerate(columns)])
+    aggs = []
+    for i, j in combinations_with_replacement(range(len(columns)), 2):
+        aggs += [f"covar_pop(_x{i}, _x{j}) AS _c{i}_{j}", f"var_pop(CASE WHEN _x{j} IS NOT NULL THEN _x{i} END) AS _v{i}_{j}",
+                 f"var_pop(CASE WHEN _x{i} IS NOT NULL THEN _x{j} END) AS _w{i}_{j}"]
+    moments = values.agg(*[F.expr(a) for a in aggs])
+    rows = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            k = f"{min(i, j)}_{max(i, j)}"
+            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_c{k}").alias("c"),
+                                 F.col(f"_v{k}").alias("v"), F.col(f"_w{k}").alias("w")))
+    # rounding may leave [-1, 1]
+    ratio = F.col("c") / (F.sqrt("v") * F.sqrt("w"))
+    return moments.select(F.inline(F.array(*rows))).select("col_a", "col_b", F.when(
+        (F.col("v") > 0) & (F.col("w") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))).alias("corr"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair of integer columns (0/1 goal flags),
-    long form ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error).  Columns of
-    other types are rejected: their moments would not be exact.
-
-    One aggregate pass collects the raw moments (n, sums, cross products of the upper
-    triangle); they are unpivoted to one row per ordered pair, so the correlation formula is
-    a single small expression applied to len(columns)^2 rows.  The many similar expressions
-    are given as SQL text (one JVM call each)."""
+    """Pearson correlation of every ordered pair of numeric or boolean columns, long form
+    ``(col_a, col_b, corr)``; NULL where a column is constant (no ANSI error).  Columns of
+    other types are rejected.
+
+    Integer and boolean columns (0/1 goal flags): one aggregate pass collects the raw moments (n, sums, cross
+    products of the upper triangle), which are exact; they are unpivoted to one row per ordered pair, so the
+    correlation formula is a single small expression applied to len(columns)^2 rows.  The many similar
+    expressions are given as SQL text (one JVM call each).  With any other column all pairs go by centred
+    co-moments (:func:`_comoments`)."""
     columns = list(columns)
     for c in columns:
-        if not isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType)):
-            raise ValueError(f"correlation_matrix: {c} is {df.schema[c].dataType.simpleString()}, not an integer column")
+        if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)):
+            raise ValueError(f"correlation_matrix: {c} is {df.schema[c].dataType.simpleString()}, not a number")
+    if not all(isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType)) for c in columns):
+        return _comoments(df, columns)
     q = ["`" + c.replace("`", "``") + "`" for c in columns]
     aggs = ["count(1) AS _n"] + [f"sum(CAST({c} AS BIGINT)) AS _s{i}" for i, c in enumerate(q)]
     aggs += [f"sum(CAST({q[i]} AS BIGINT) * CAST({q[j]} AS BIGINT)) AS _p{i}_{j}"

@@ -824,6 +824,17 @@ def q_standardized_features(spark, sf_dir):
     return F_.standardize(_split_b(spark, sf_dir))
 
 
+@register("feature_correlation", _MATRIX_B + _union_rows([
+    f"""SELECT '{a}' AS col_a, '{b}' AS col_b,
+       round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 6) AS corr FROM mat"""
+    for a in _B_FEATURES for b in _B_FEATURES]))
+def q_feature_correlation(spark, sf_dir):
+    """Correlation matrix of the numeric features, epoch seconds among them (fixture B)."""
+    feats = F_.org_features(fixture_b(spark, sf_dir), STREAM_GOALS)
+    matrix = F_.feature_matrix(feats, STREAM_GOALS[0].column)
+    return P.correlation_matrix(matrix, F_.feature_columns(matrix))
+
+
 @register("threshold_predictions", with_ctes(EV_B, _TF_CTE) + """
 SELECT organization_id, round(hour_of_day_mean / 23.0, 6) AS probability,
        CASE WHEN hour_of_day_mean / 23.0 > 0.5 THEN 1 ELSE 0 END AS prediction FROM tf""")

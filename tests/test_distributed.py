@@ -143,7 +143,7 @@ def test_distinct_detail_goals_need_no_expand(spark):
     assert "Expand" not in plan
 
 
-def test_describe_skips_nan_and_correlation_rejects_doubles(spark):
+def test_describe_skips_nan_and_correlation_rejects_texts(spark):
     import pytest
 
     from orgpulse.operators.profile import correlation_matrix
@@ -151,7 +151,36 @@ def test_describe_skips_nan_and_correlation_rejects_doubles(spark):
     got = {r.stat: r.value for r in describe(df, ["x"]).collect()}
     assert (got["count"], got["mean"], got["max"], got["50%"]) == (2.0, 1.5, 2.0, 1.5)
     with pytest.raises(ValueError):
-        correlation_matrix(df, ["x"])
+        correlation_matrix(df.selectExpr("string(x) AS x"), ["x"])
+
+
+def test_correlation_of_doubles_with_large_offsets(spark):
+    import math
+    import random
+
+    import pandas as pd
+    import pytest
+
+    from orgpulse.operators.profile import correlation_matrix
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        a = rng.gauss(0, 1)
+        rows.append((1.7e9 + a, 1.7e9 + 0.5 * a + rng.gauss(0, 1), None if i % 7 == 0 else a, 4.25,
+                     math.nan if i % 11 == 0 else rng.random(), i % 2 == 0, i))
+    names = ["a", "b", "c", "flat", "gaps", "flag", "n"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, flat double, gaps double, flag boolean, n int")
+    want = pd.DataFrame(rows, columns=names).astype({"flag": int}).corr()
+    for parts in (1, 7):
+        got = {(r.col_a, r.col_b): r["corr"] for r in correlation_matrix(df.repartition(parts), names).collect()}
+        assert len(got) == 49
+        for x in names:
+            for y in names:
+                if "flat" in (x, y):
+                    assert got[x, y] is None
+                else:
+                    assert got[x, y] == pytest.approx(want.loc[x, y], abs=1e-6)
+    assert {r["corr"] for r in correlation_matrix(df.where("false"), ["a", "b"]).collect()} == {None}
 
 
 def test_classifier_reaches_the_minimum_of_its_loss(spark):
