@@ -12,10 +12,11 @@ marks and :func:`read_back` restores every turn.  The loss mask is a list of spa
 formatted text that cover the escaped texts of the assistant's turns.
 
 Edge cases: a null role or text is empty; a message whose parent is null or missing is a root; a
-message whose ancestors run in a circle has no root and is left out; a null score is 0; repeated ids
-are an error of the input that :func:`from_turns` cannot produce (it numbers rows: equal turns keep
-the order of role and text, null turns come first, a null conv_id is a conversation of its own); an
-empty table gives no rows; other columns are ignored.
+message whose ancestors run in a circle has no root and is left out; a null or NaN score is 0; of
+messages with one id the first by tree, parent, role, text and score (null before others) stays; a
+message without an id is left out (nothing can reply to it and no leaf names it).  :func:`from_turns`
+numbers rows: equal turns keep the order of role and text, null turns come first, a null conv_id is a
+conversation of its own.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,11 +71,22 @@ def _escape(text: Column, signs: str) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"([{signs}])", r"\\$1")
 
 
+def _one_of_each_id(messages: DataFrame, scratch: Scratch) -> DataFrame:
+    """The messages, one of each id; only those whose id repeats are shuffled with their texts."""
+    twice = scratch.keep(messages.groupBy("id").count().where("count > 1").select("id"))
+    if twice.isEmpty():
+        return messages
+    first = messages.join(twice, "id", "left_semi").groupBy("id").agg(
+        F.min(F.struct("tree", "parent", "role", "text", "score")).alias("m")).select("id", "m.*").select(messages.columns)
+    return scratch.keep(messages.join(twice, "id", "left_anti").unionByName(first))
+
+
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``messages(tree, id, parent, role, text, score)`` -> one row per chosen path: tree, leaf, branch
     (1 is the best), score, n_turns, formatted, loss_spans (array of start, end in characters)."""
     scratch = Scratch(messages.sparkSession, "chat")
-    messages = scratch.keep(messages.select("tree", "id", "parent", "role", "text", "score"))
+    messages = _one_of_each_id(scratch.keep(messages.select(
+        "tree", "id", "parent", "role", "text", F.nanvl(F.col("score").cast("double"), F.lit(0.0)).alias("score")).where("id is not null")), scratch)
     paths = _paths(messages, scratch)
     scored = paths.join(messages.select("id", "tree", "score"), "id").groupBy("leaf").agg(
         F.sum(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("up").alias("depth"),

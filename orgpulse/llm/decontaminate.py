@@ -20,8 +20,8 @@ shuffle; the driver holds one block at a time.
 Words are letters, digits and other bytes between ASCII blanks and signs, A-Z lower-cased.  Edge
 cases: an item with fewer than ``n`` words is one shingle of all its words and is looked for as
 such; an item without words (or null) matches nothing, as does a null or empty document; equal items
-are each reported; repeated documents are each reported; a null item_id or doc_id is reported as
-null; empty tables give no rows; other columns are ignored.
+are each reported; repeated documents are each reported; ids keep their types (numbers, texts), a null one is
+reported as null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orgpulse.llm.text import SIGNS, flat, mix64, pieces, shingles, small_batches, tokens
 
@@ -139,11 +140,15 @@ class ItemIndex:
         return found
 
 
+def _id_type(benchmark: DataFrame) -> pa.DataType:
+    return to_arrow_type(benchmark.schema["item_id"].dataType)
+
+
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[ItemIndex]:
     """Indexes of bounded size over all items, read one partition at a time."""
     held, words = [], 0
-    kind = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+    kind = pa.schema([("item_id", _id_type(benchmark)), ("text", pa.string())])
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         held.append({"item_id": row.item_id, "text": row.text or ""})
         words += len((row.text or "").split())
         if words >= BLOCK_SHINGLES:
@@ -156,8 +161,8 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[ItemIndex]:
 def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows ``(doc_id, item_id, n_shared, n_item, containment)``, one per document and contained item."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, n_shared long, n_item long, containment double"
-    spark = docs.sparkSession
+    schema = f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
+    spark, id_type = docs.sparkSession, _id_type(benchmark)
     result = None
     for index in _blocks(benchmark, n):
         shared = spark.sparkContext.broadcast(vars(index))
@@ -169,7 +174,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold
                 place, item, count, part = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(place, pa.int64())),
-                     pa.array([own.ids[i] for i in item], pa.int64()), pa.array(count, pa.int64()),
+                     pa.array([own.ids[i] for i in item], id_type), pa.array(count, pa.int64()),
                      pa.array([len(own.own[i]) for i in item], pa.int64()), pa.array(part, pa.float64())],
                     names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 

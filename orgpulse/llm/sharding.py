@@ -106,8 +106,12 @@ def shard_plan(docs: DataFrame, tree: Sequence[Leaf] | None = None) -> DataFrame
 
 
 def sharded_documents(docs: DataFrame, tree: Sequence[Leaf] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, followed by ``shard`` and ``slot`` (named ``shard_`` and
-    ``slot_`` if ``docs`` has such columns)."""
+    """The rows of ``docs``, all columns, followed by ``shard`` and ``slot`` (with as many ``_`` behind as it
+    takes to differ from the columns of ``docs``)."""
     names = {c.lower() for c in docs.columns}
-    own = [F.col(c).alias(c + "_" if c in names else c) for c in ("shard", "slot")]
+
+    def free(name: str) -> str:
+        return free(name + "_") if name in names else name
+
+    own = [F.col(c).alias(free(c)) for c in ("shard", "slot")]
     return _place(docs, tree or even_tree()).select("row.*", *own)

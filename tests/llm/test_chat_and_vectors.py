@@ -98,3 +98,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)} | {7000: 7000, 9000: 9000, 9001: 9000}
     release(spark)
     assert Counter(got.values())[0] == 201
+
+
+def test_repeated_and_missing_ids_and_scores(spark):
+    rows = [("t", "r", None, "user", "root", 0.0), ("t", "r", None, "user", "root", 0.0), ("t", "r", None, "user", "zzz", 9.0),
+            ("t", "a", "r", "assistant", "low", 1.0), ("t", "b", "r", "assistant", "nan", float("nan")),
+            ("t", "c", "r", "assistant", "none", None), ("t", None, "r", "assistant", "nobody", 99.0), ("u", None, None, "user", "alone", 1.0)]
+    messages = spark.createDataFrame(rows, "tree string, id string, parent string, role string, text string, score double")
+    got = {r.branch: r for r in chat.format_chats(messages, branches=5).collect()}
+    said = {k: chat.read_back(r.formatted) for k, r in got.items()}
+    assert said == {1: [("user", "root"), ("assistant", "low")], 2: [("user", "root"), ("assistant", "nan")],
+                    3: [("user", "root"), ("assistant", "none")]}
+    assert [got[k].score for k in (1, 2, 3)] == [1.0, 0.0, 0.0]

@@ -341,3 +341,22 @@ def test_empty_tables(spark):
                   licenses.license_matches(none), quality.quality_scores(none, labels)):
         assert frame.count() == 0
     assert decontaminate.keep_clean(docs(spark), bench).count() == docs(spark).count()
+
+
+def test_items_with_ids_of_other_types(spark):
+    text = "one two three four five six seven"
+    table = docs(spark, [(1, f"before {text} after", "en", "s"), (2, "nothing of it", "en", "s")])
+    items = spark.createDataFrame([("a-1", text), (None, text), ("b", "absent words only here now")], "item_id string, text string")
+    got = decontaminate.contained_items(table, items)
+    assert dict(got.dtypes)["item_id"] == "string"
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == [(1, "a-1"), (1, None)]
+    assert [r.doc_id for r in decontaminate.keep_clean(table, items).collect()] == [2]
+
+
+def test_sharding_twice_keeps_every_column(spark):
+    table = docs(spark).withColumn("slot", F.lit("x"))
+    once = sharding.sharded_documents(table)
+    twice = sharding.sharded_documents(once)
+    assert twice.columns == [*table.columns, "shard_", "slot_", "shard__", "slot__"]
+    assert twice.count() == table.count() and twice.where("shard_ <> shard__").count() == 0
+
