@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgpulse.llm.licenses import TEMPLATES, template_bigrams
+from orgpulse.llm.licenses import TEMPLATES, needed, reach, template_bigrams
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -54,23 +54,33 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
 
-_BAG = ", ".join(f"({k}, '{name}', {len(grams)}, [{', '.join(repr(g) for g in grams)}])"
+_BAG = ", ".join(f"({k}, '{name}', {len(grams)}, {needed(len(grams), 0.8)}, {reach(len(grams), 0.8)}, [{', '.join(repr(g) for g in grams)}])"
                  for k, (name, grams) in enumerate((n, template_bigrams(t)) for n, t in TEMPLATES))
 
 LICENSES = f"""
-WITH t(k, license_id, nb, grams) AS (VALUES {_BAG}),
-tg AS (SELECT k, g, count(*) AS cb FROM (SELECT k, unnest(grams) AS g FROM t) GROUP BY k, g),
-u AS (SELECT doc_id, unnest(list_distinct([text] || regexp_split_to_array(text, '\\n[ \\t]*\\n')
-                                          || string_split(text, chr(10)))) AS unit FROM documents WHERE text IS NOT NULL),
-w AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(unit, '[A-Za-z0-9]+'), lambda x: lower(x)) AS ws
-      FROM u),
-ug AS (SELECT r, doc_id, na, g, count(*) AS ca FROM (
-        SELECT r, doc_id, len(ws) - 1 AS na, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g
-        FROM w WHERE len(ws) BETWEEN 2 AND 200) GROUP BY r, doc_id, na, g),
-score AS (SELECT r, any_value(doc_id) AS doc_id, license_id, k, 2.0 * sum(least(ca, cb)) / any_value(na + nb) AS dice
-          FROM ug JOIN tg USING (g) JOIN t USING (k) GROUP BY r, license_id, k)
-SELECT doc_id, license_id, round(CAST(max(dice) AS DOUBLE), 6) AS dice, count(*) AS n_units
-FROM score WHERE dice >= 0.8 - 1e-9 GROUP BY doc_id, license_id"""
+WITH t(k, license_id, nb, need, reach, grams) AS (VALUES {_BAG}),
+tg AS (SELECT k, g, count(*) AS times FROM (SELECT k, unnest(grams) AS g FROM t) GROUP BY k, g),
+d AS (SELECT row_number() OVER () AS r, doc_id, ws FROM (
+        SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS ws
+        FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))),
+g AS (SELECT r, unnest(range(1, len(ws))) AS p, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM d),
+hits AS (SELECT r, k, p, g, times FROM g JOIN tg USING (g)),
+enough AS (SELECT r, k FROM hits JOIN t USING (k) GROUP BY r, k, need HAVING count(*) >= need),
+q AS (SELECT r, k, p, coalesce(lag(p, CAST(times AS INTEGER)) OVER (PARTITION BY r, k, g ORDER BY p), -1) AS q
+      FROM hits SEMI JOIN enough USING (r, k)),
+walk AS (SELECT x.r, x.k, x.p AS s, y.p AS e, nb,
+                sum(CASE WHEN y.q < x.p THEN 1 ELSE 0 END) OVER (PARTITION BY x.r, x.k, x.p ORDER BY y.p) AS m
+         FROM q x JOIN q y ON x.r = y.r AND x.k = y.k AND y.p >= x.p JOIN t ON t.k = x.k WHERE y.p < x.p + t.reach),
+best AS (SELECT r, k, s, e, CAST(m AS BIGINT) AS m, CAST(m AS DOUBLE) * 2.0::DOUBLE / (e - s + 1 + nb) AS dice FROM walk
+         QUALIFY row_number() OVER (PARTITION BY r, k, s ORDER BY CAST(m AS DOUBLE) * 2.0::DOUBLE / (e - s + 1 + nb) DESC, e DESC) = 1),
+u AS (SELECT best.*, license_id FROM best JOIN t USING (k) WHERE dice >= 0.8 - 1e-9),
+own AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.r = u.r AND x.k = u.k AND x.s <= u.e AND x.e >= u.s
+        AND (x.dice > u.dice OR (x.dice = u.dice AND (x.m > u.m OR (x.m = u.m AND x.s < u.s)))))),
+kept AS (SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.r = own.r AND x.s <= own.e AND x.e >= own.s
+        AND (x.m > own.m OR (x.m = own.m AND (x.dice > own.dice
+             OR (x.dice = own.dice AND x.license_id = own.license_id AND x.k < own.k))))))
+SELECT doc_id, license_id, round(max(dice), 6) AS dice, count(*) AS n_units
+FROM kept JOIN d USING (r) GROUP BY doc_id, license_id"""
 
 MIXING = f"""
 WITH d AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,

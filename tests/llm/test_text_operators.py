@@ -310,7 +310,64 @@ def test_licences_by_dice(spark):
             (5, "Released under no license", "en", "s"), (6, None, "en", "s"), (7, "", "en", "s"), (None, notice, "en", "s"),
             (8, "word " * 50000, "en", "s")]
     got = {(r.doc_id, r.license_id): (r.dice, r.n_units) for r in licenses.license_matches(docs(spark, data)).collect()}
-    assert got == {(1, "MIT"): (1.0, 1), (2, "MIT"): (1.0, 1), (3, "MIT"): (1.0, 2), (4, "MIT"): (1.0, 2), (None, "MIT"): (1.0, 1)}
+    assert got == {(1, "MIT"): (1.0, 1), (2, "MIT"): (1.0, 1), (3, "MIT"): (1.0, 1), (4, "MIT"): (1.0, 1), (None, "MIT"): (1.0, 1)}
+
+
+def found_licences(spark, texts, **options):
+    data = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    out = [{} for _ in texts]
+    for r in licenses.license_matches(docs(spark, data), **options).collect():
+        out[r.doc_id][r.license_id] = (round(r.dice, 9), r.n_units)
+    return out
+
+
+def test_every_licence_is_reported_as_itself(spark):
+    given = [(name, around) for name, t in licenses.TEMPLATES for around in (
+        f"See the NOTICE file for more about who owns this; {t} Bug reports are welcome at the usual place.",
+        "/*\n * Copyright (c) somebody\n *\n" + "".join(f" * {w}\n" for w in t.split(" ")) + " */\nint main;")]
+    got = found_licences(spark, [t for _, t in given])
+    assert [list(g.items()) for g in got] == [[(name, (1.0, 1))] for name, _ in given]
+
+
+def test_licences_cut_short_and_repeated(spark):
+    named = dict(reversed(licenses.TEMPLATES))  # the first template of each
+    mit, bsd = [t for n, t in licenses.TEMPLATES if n == "MIT"][1], [t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause"][1]
+    first = named["BSD"] + ": 1. Redistributions of source code must retain the above copyright notice."
+    got = found_licences(spark, [first, "\n".join([named["Apache-2.0"]] * 1500), mit + "\n" + bsd,
+                                 named["GPL-2.0"].replace("version 2", "version two"), "the of and " * 400])
+    assert list(got[0]) == ["BSD"] and got[1] == {"Apache-2.0": (1.0, 1500)}
+    assert got[2] == {"MIT": (1.0, 1), "BSD-2-Clause": (1.0, 1)}
+    assert set(got[3]) == {"GPL-1.0", "GPL-2.0", "GPL-3.0"} and got[4] == {}  # equal ones all stay
+
+
+def brute_licences(text, templates, threshold):
+    """Every run of words against every template."""
+    words = [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
+    grams = list(zip(words, words[1:]))
+    units = []
+    for k, (name, t) in enumerate(templates):
+        w = [x.lower() for x in re.findall("[A-Za-z0-9]+", t)]
+        bag = Counter(zip(w, w[1:]))
+        for s in range(len(grams)):
+            best = max(((2.0 * m / (e - s + 1 + bag.total()), m, s, e) for e in range(s, len(grams))
+                        if (m := (Counter(grams[s:e + 1]) & bag).total()) and grams[s] in bag), default=None)
+            if best and best[0] >= threshold - 1e-9:
+                units.append((k, name, *best))
+    meet = lambda x, y: x[4] <= y[5] and x[5] >= y[4]
+    own = [u for u in units if not any(x[0] == u[0] and meet(x, u) and (x[2], x[3], -x[4]) > (u[2], u[3], -u[4]) for x in units)]
+    kept = [u for u in own if not any(meet(x, u) and ((x[3], x[2]) > (u[3], u[2]) or (
+        (x[3], x[2], x[1]) == (u[3], u[2], u[1]) and x[0] < u[0])) for x in own)]
+    return {n: (round(max(u[2] for u in kept if u[1] == n), 9), sum(u[1] == n for u in kept)) for n in {u[1] for u in kept}}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_licences_against_brute_force(spark, threshold):
+    rng = random.Random(5)
+    templates = (("A", "a b a b c a b"), ("A", "a b c"), ("B", "a b a c c a b"), ("C", "d d d d e"), ("D", "f"), ("E", "a b c d e f g h i j"))
+    texts = [" ".join(rng.choice("aabbcdefgz") for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    texts += [" ".join(w for w in f"x {t} {u} y".split() if rng.random() < 0.93) for _, t in templates for _, u in templates]
+    assert found_licences(spark, texts, templates=templates, threshold=threshold) == [
+        brute_licences(t, templates, threshold) for t in texts]
 
 
 def test_quality_tells_junk_from_prose(spark):
