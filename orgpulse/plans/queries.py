@@ -13,6 +13,7 @@ from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.stats import Z_95
 from orgpulse.functions.timefns import day_of_week, hour_of_day
 from orgpulse.operators import classify as C
+from orgpulse.operators import distinct as D
 from orgpulse.operators import features as F_
 from orgpulse.operators import goals as G
 from orgpulse.operators import journey as J
@@ -200,19 +201,42 @@ def q_goal_completion_rates(spark, sf_dir):
     return M.goal_completion_rates(_profile_a(spark, sf_dir), ORDER_GOALS)
 
 
-@register("feature_engagement", with_ctes(EV_A) + """
+_ENGAGEMENT = with_ctes(EV_A) + """
 SELECT activity_detail, count(DISTINCT organization_id) AS engaged_orgs,
        (SELECT count(DISTINCT organization_id) FROM ev) AS total_orgs,
        round(CAST(count(DISTINCT organization_id) AS DOUBLE)
              / nullif((SELECT count(DISTINCT organization_id) FROM ev), 0), 6) AS rate
 FROM ev
 WHERE activity_name = '4-NOT SPECIFIED' AND activity_detail IN ('F', 'O')
-GROUP BY activity_detail""")
+GROUP BY activity_detail"""
+
+
+@register("feature_engagement", _ENGAGEMENT)
 def q_feature_engagement(spark, sf_dir):
     """M7 (the reference's advanced_features_rate)."""
     return M.feature_engagement(fixture_a(spark, sf_dir), A_ADVANCED)
 
 
+@register("feature_engagement_merged", _ENGAGEMENT)
+def q_feature_engagement_merged(spark, sf_dir):
+    """M7 and A4 from monthly distinct states, merged without reading the events again."""
+    return D.feature_engagement_from(*D.monthly_engagement(fixture_a(spark, sf_dir), A_ADVANCED))
+
+
+@register("engaged_orgs_by_month", with_ctes(EV_A, """hit AS (
+    SELECT activity_detail, organization_id, CAST(date_trunc('month', "timestamp") AS DATE) AS month FROM ev
+    WHERE activity_name = '4-NOT SPECIFIED' AND activity_detail IN ('F', 'O'))""", """months AS (
+    SELECT activity_detail, month, count(DISTINCT organization_id) AS engaged_orgs FROM hit GROUP BY 1, 2)""") + """
+SELECT activity_detail, month, engaged_orgs,
+       (SELECT count(DISTINCT organization_id) FROM hit h WHERE h.activity_detail = m.activity_detail
+        AND h.month <= m.month AND year(h.month) = year(m.month)) AS year_to_date,
+       (SELECT count(DISTINCT organization_id) FROM hit h WHERE h.activity_detail = m.activity_detail) AS all_months
+FROM months m""")
+def q_engaged_orgs_by_month(spark, sf_dir):
+    """A2/A4 at three levels from one monthly state: month, year to date, all months."""
+    return D.engaged_by_month(D.monthly_engagement(fixture_a(spark, sf_dir), A_ADVANCED)[0])
+
+
 @register("goal_times", A_BASE + _union_rows([
     f"""SELECT '{n}' AS goal, '{LABELS_A[n]}' AS label,
        count(*) FILTER (WHERE n_{n} >= {k}) AS orgs_reached,
