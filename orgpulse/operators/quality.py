@@ -98,8 +98,13 @@ def check_org_coverage(tables: TableSet) -> DataFrame:
     g = tables.table("goals").select(F.col(ORG).alias("_g")).distinct()
     wide = (s.join(g, s[ORG] == g["_g"], "left")
             .agg(F.count_distinct(ORG).alias("staging_orgs"), F.count_distinct("_g").alias("goal_orgs")))
-    return _checks(wide, [_row("staging_org_count", F.col("staging_orgs")),
-                          _row("trial_goals_org_count", F.col("goal_orgs"), F.col("staging_orgs"))])
+    return coverage_rows(wide)
+
+
+def coverage_rows(counts: DataFrame) -> DataFrame:
+    """The rows of V5 from one row ``staging_orgs, goal_orgs``."""
+    return _checks(counts, [_row("staging_org_count", F.col("staging_orgs")),
+                            _row("trial_goals_org_count", F.col("goal_orgs"), F.col("staging_orgs"))])
 
 
 def org_intersection(tables: TableSet) -> DataFrame:
@@ -190,5 +195,10 @@ def check_goal_totals(tables: TableSet, goals: Sequence[GoalSpec]) -> DataFrame:
     per_org = tables.table("staging").groupBy(ORG).agg(*[reached(g) for g in goals])
     recomputed = per_org.agg(*[F.sum(g.column).alias(f"r_{g.name}") for g in goals])
     mart = tables.table("goals").agg(*[F.sum(g.column).alias(f"m_{g.name}") for g in goals])
+    return total_rows(recomputed, mart, goals)
+
+
+def total_rows(recomputed: DataFrame, mart: DataFrame, goals: Sequence[GoalSpec]) -> DataFrame:
+    """The rows of V11 from one row ``r_<goal>`` and one row ``m_<goal>``."""
     return _checks(_one_row(recomputed, mart), [
         _row(g.column, F.col(f"r_{g.name}"), F.col(f"m_{g.name}")) for g in goals])

@@ -9,18 +9,20 @@ build per input for any number of checks.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpulse.functions.goals import EVENT_ID, ORG, TS, GoalSpec
+from orgpulse.functions.goals import EVENT_ID, ORG, TS, GoalSpec, all_met
 from orgpulse.operators import quality
 from orgpulse.operators.goals import fully_activated, goal_flags, org_goal_profile
 from orgpulse.operators.staging import FIRST_TS, stage
 from orgpulse.session import delete_path, drop_scratch, ensure_checkpoint_dir, scratch_path
 from orgpulse.sources.csv import normalize_org
+from orgpulse.sources.layout import KEYS, layout_of, salted_events, salted_orgs
 from orgpulse.sources.tables import TableSet
 from orgpulse.sources.versions import Build, ConcurrentBuild, VersionedTables
 
@@ -90,23 +92,46 @@ def build_key(events: DataFrame, goals: Sequence[GoalSpec], null_org: str) -> st
     return hashlib.sha256("\n".join([str(BUILD_FORMAT), null_org, repr(tuple(goals)), plan, *seen]).encode()).hexdigest()
 
 
-def built(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec], null_org: str = "nan") -> TableSet | None:
-    """The marts of these events, built on first use and reused by later calls (also of other sessions that
-    share the folder) until the input, the goals or the policy change.  None if the input can't be named."""
-    key = build_key(events, goals, null_org)
+def _shared_build(spark: SparkSession, key: str | None, build_all: Callable[[Build], None]) -> TableSet | None:
+    """The build named ``key`` in the shared folder, made by ``build_all`` if nobody has yet."""
     if key is None:
         return None
     store = VersionedTables(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/orgpulse-builds/{key}")
     if store.current() is None:
         try:
             with store.build() as build:
-                _build(build, events, goals, null_org)
-        except ConcurrentBuild:  # the same marts, by another session
+                build_all(build)
+        except ConcurrentBuild:  # the same tables, by another session
             pass
     with store.read() as tables:  # never replaced: a change of the input has another key
         return tables
 
 
+def built(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec], null_org: str = "nan") -> TableSet | None:
+    """The marts of these events, built on first use and reused by later calls (also of other sessions that
+    share the folder) until the input, the goals or the policy change.  None if the input can't be named."""
+    return _shared_build(spark, build_key(events, goals, null_org), lambda build: _build(build, events, goals, null_org))
+
+
+def _build_laid_out(build: Build, events: DataFrame, goals: Sequence[GoalSpec], null_org: str, buckets: int | None) -> None:
+    raw = raw_events(events, null_org)
+    layout = layout_of(raw, buckets)
+    build.write_laid_out("events", salted_events(raw, layout), layout)
+    flags = build.write_laid_out("goals", salted_orgs(goal_flags(org_goal_profile(raw, goals), goals), layout), layout)
+    build.write_laid_out("activation", flags.where(all_met(goals)).select(*KEYS), layout)
+
+
+def built_by_org(spark: SparkSession, events: DataFrame, goals: Sequence[GoalSpec], null_org: str = "nan",
+                 buckets: int | None = None) -> TableSet:
+    """Events, goals and activation laid out by organization (:mod:`orgpulse.sources.layout`), built once per input
+    like :func:`built`.  Checks and metrics on them are in :mod:`orgpulse.operators.colocated`.  Events that don't come
+    from files are built anew under a fresh folder."""
+    key = build_key(events, goals, null_org)
+    wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{key or uuid.uuid4().hex}-by-org-{wanted}"
+    return _shared_build(spark, name, lambda build: _build_laid_out(build, events, goals, null_org, buckets))
+
+
 def drop_builds(spark: SparkSession) -> None:
     """Delete all reusable builds."""
     delete_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/orgpulse-builds")

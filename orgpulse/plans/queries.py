@@ -13,6 +13,7 @@ from orgpulse.functions.goals import DETAIL, EVENT_ID, NAME, ORG, TS
 from orgpulse.functions.stats import Z_95
 from orgpulse.functions.timefns import day_of_week, hour_of_day
 from orgpulse.operators import classify as C
+from orgpulse.operators import colocated as B
 from orgpulse.operators import distinct as D
 from orgpulse.operators import features as F_
 from orgpulse.operators import goals as G
@@ -25,7 +26,7 @@ from orgpulse.operators.common import consecutive_ids
 from orgpulse.operators.recurrent import fit as fit_recurrent
 from orgpulse.operators.recurrent import recurrent_predictions
 from orgpulse.operators.staging import stage, stage_window
-from orgpulse.plans.marts import built, checked, raw_events
+from orgpulse.plans.marts import built, built_by_org, checked, raw_events
 from orgpulse.plans.oracle_sql import (
     A_BASE, EV_A, EV_B, GOALS_A, GOALS_B, LABELS_A, STAGING_CTE, all_met_sql, check_rows, flags_cte,
     profile_cte, running_marks_cte, with_ctes,
@@ -182,10 +183,13 @@ def q_activated_span_days(spark, sf_dir):
     return M.activated_span_days(_profile_a(spark, sf_dir), ORDER_GOALS)
 
 
-@register("activated_span_days_from_mart", A_BASE + f"""
+_SPAN = A_BASE + f"""
 SELECT count(*) AS activated_orgs,
        round(coalesce(avg(date_sub('microsecond', first_ts, last_ts) / 86400e6), 0.0), 6) AS avg_days
-FROM prof WHERE organization_id IN (SELECT organization_id FROM flags WHERE {all_met_sql(GOALS_A)})""")
+FROM prof WHERE organization_id IN (SELECT organization_id FROM flags WHERE {all_met_sql(GOALS_A)})"""
+
+
+@register("activated_span_days_from_mart", _SPAN)
 def q_activated_span_days_from_mart(spark, sf_dir):
     """M5 through J4: semi-join with the activation mart, written and read back (S3)."""
     tables = built(spark, fixture_a(spark, sf_dir), ORDER_GOALS)
@@ -534,11 +538,14 @@ def q_check_time_range(spark, sf_dir):
     return Q.check_time_range(fixture_a(spark, sf_dir))
 
 
-@register("check_org_coverage", _Q_BASE + """, c AS (
+_COVERAGE = _Q_BASE + """, c AS (
     SELECT count(DISTINCT s.organization_id) AS staging_orgs, count(DISTINCT g.organization_id) AS goal_orgs
     FROM stg s LEFT JOIN flags g ON s.organization_id = g.organization_id)
 """ + check_rows([("staging_org_count", "staging_orgs", None, None),
-                  ("trial_goals_org_count", "goal_orgs", "staging_orgs", None)], "c"))
+                  ("trial_goals_org_count", "goal_orgs", "staging_orgs", None)], "c")
+
+
+@register("check_org_coverage", _COVERAGE)
 def q_check_org_coverage(spark, sf_dir):
     """V5 (J3: left join staging → goals)."""
     return _checked_a(spark, sf_dir, Q.check_org_coverage)
@@ -613,19 +620,45 @@ def q_tables_not_empty(spark, sf_dir):
     return _checked_a(spark, sf_dir, Q.tables_not_empty)
 
 
-@register("check_goal_totals", _Q_BASE + """, per_org AS (
+_TOTALS = _Q_BASE + """, per_org AS (
     SELECT organization_id, """ + ", ".join(
         f"CASE WHEN sum(CASE WHEN {p} THEN 1 ELSE 0 END) >= {k} THEN 1 ELSE 0 END AS r_{n}"
         for n, p, k in GOALS_A) + """
     FROM stg GROUP BY organization_id),
 c AS (SELECT * FROM (SELECT """ + ", ".join(f"sum(r_{n}) AS r_{n}" for n, _, _ in GOALS_A) + """ FROM per_org)
       CROSS JOIN (SELECT """ + ", ".join(f"sum(goal_{n}) AS m_{n}" for n, _, _ in GOALS_A) + """ FROM flags))
-""" + check_rows([(f"goal_{n}", f"r_{n}", f"m_{n}", None) for n, _, _ in GOALS_A], "c"))
+""" + check_rows([(f"goal_{n}", f"r_{n}", f"m_{n}", None) for n, _, _ in GOALS_A], "c")
+
+
+@register("check_goal_totals", _TOTALS)
 def q_check_goal_totals(spark, sf_dir):
     """Goal totals recomputed from staging equal the goals mart."""
     return _checked_a(spark, sf_dir, lambda t: Q.check_goal_totals(t, ORDER_GOALS))
 
 
+def _laid_out_a(spark, sf_dir):
+    return built_by_org(spark, fixture_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("org_coverage_laid_out", _COVERAGE)
+def q_org_coverage_laid_out(spark, sf_dir):
+    """V5 on tables bucketed by organization: the join has no shuffle below it."""
+    return B.check_org_coverage(_laid_out_a(spark, sf_dir))
+
+
+@register("goal_totals_laid_out", _TOTALS)
+def q_goal_totals_laid_out(spark, sf_dir):
+    """V11 on tables bucketed by organization."""
+    return B.check_goal_totals(_laid_out_a(spark, sf_dir), ORDER_GOALS)
+
+
+@register("activated_span_days_laid_out", _SPAN)
+def q_activated_span_days_laid_out(spark, sf_dir):
+    """M5 through J4 on tables bucketed by organization."""
+    tables = _laid_out_a(spark, sf_dir)
+    return B.activated_span_days(tables.table("events"), tables.table("activation"))
+
+
 # --------------------------------------------------------------------------------------
 # profiling
 # --------------------------------------------------------------------------------------
