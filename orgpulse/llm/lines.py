@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgpulse.llm.scratch import Scratch, small
+from orgpulse.llm.scratch import Scratch, small, small_lists
 from orgpulse.llm.text import mix64, small_batches
 
 WINDOW = 2
@@ -101,7 +101,8 @@ def repeated_chunks(docs: DataFrame, divisor: int, chunkings: int, scratch: Scra
     again = scratch.keep(_multi_line(docs, divisor, chunkings, False).groupBy("hash").agg(
         F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("hash", "first"))
     seen = scratch.keep(_multi_line(docs, divisor, chunkings, True).join(small(again), "hash"))
-    firsts = seen.where(spot == F.col("first")).groupBy("hash").agg(F.first("bytes").alias("first_bytes"))
+    # written, so that the join has plain sides and a hot chunk's partition can be split
+    firsts = scratch.keep(seen.where(spot == F.col("first")).groupBy("hash").agg(F.first("bytes").alias("first_bytes")))
     found = seen.where(spot != F.col("first")).join(firsts, "hash").where("bytes = first_bytes")
     return scratch.keep(found.groupBy("doc_id", "variant").agg(F.collect_set(F.struct("place", "end")).alias("places")))
 
@@ -130,7 +131,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, chunkings: int = 1) -> DataFr
                 names=["doc_id", "n_lines", "removed_lines", "removed_chunks", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    theirs = small(gone).withColumnRenamed("doc_id", "id").withColumnRenamed("variant", "other")
+    theirs = small_lists(gone, "places", 8).withColumnRenamed("doc_id", "id").withColumnRenamed("variant", "other")
     return keyed.join(theirs, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("variant") == F.col("other")), "left").select(
         "doc_id", "text", "places").mapInArrow(
         rebuild, f"doc_id {kind}, n_lines long, removed_lines long, removed_chunks long, text string")

@@ -73,6 +73,17 @@ def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids.hint("merge")
 
 
+#: Bytes of values of a broadcast side whose rows hold lists (see :func:`small_lists`).
+BROADCAST_BYTES = 32 << 20
+
+
+def small_lists(table: DataFrame, lists: str, entry_bytes: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for a written table with a column of lists: broadcast if rows (32 bytes each) and list entries
+    hold at most ``most_bytes``."""
+    size = table.agg(F.coalesce(F.sum(F.size(lists) * F.lit(entry_bytes).cast("long") + 32), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= most_bytes else table.hint("merge")
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete all scratch tables (of ``spark``); frames returned earlier can't be read afterwards."""
     for root, session in list(_HELD.items()):
